@@ -24,7 +24,7 @@ select conv_id as page_id, turn as seg_no, text as src, case turn % 4 when 0 the
     "fx_att": """
 select cast(user_id % 10 as bigint) as run_id, concat('https://h', cast(user_id % 7 as string), '.example.com/i/', cast(event_id % 500 as string), case when event_id % 3 = 0 then '.jpg' else '' end) as url,
   event_id % 500 as idx, case when event_id % 4 = 0 then '' else concat('f', cast(event_id % 6 as string)) end as folder, case when event_id % 5 = 0 then '' else 'https://ref.example.com/' end as referer,
-  row_number() over (partition by user_id % 10, user_id % 7, event_id % 500, event_id % 3 order by event_id) - 1 as attempt_no,
+  row_number() over (partition by user_id % 10, user_id % 7, event_id % 500, event_id % 3 = 0 order by event_id) - 1 as attempt_no,
   case event_type when 'error' then 503 when 'signup' then 404 when 'view' then 429 else 200 end as http_status,
   case when event_id % 5 = 0 then 'text/html' else 'image/jpeg' end as content_type, ts from events
 """,
@@ -44,7 +44,7 @@ select o_orderkey as file_id, concat('/data/s', cast(o_custkey % 40 as string),
   cast(floor(o_totalprice) as bigint) as length, o_orderdate as mtime from orders
 """,
     "fx_seg": """
-select floor(p_partkey / 8) as page_id, p_partkey % 8 as seg_no, p_partkey as seg_id, p_partkey % 40 as series_id,
+select cast(floor(p_partkey / 8) as bigint) as page_id, p_partkey % 8 as seg_no, p_partkey as seg_id, p_partkey % 40 as series_id,
   case p_partkey % 24
     when 0 then concat('结母', p_name) when 1 then concat('非常好oooo那', p_name) when 2 then concat(p_name, '.com')
     when 3 then upper(p_name) when 4 then concat('www.', p_brand, '说了别这样里面！！')
@@ -111,3 +111,30 @@ select pos as term_id, zh, vi, enabled, source, 1704067200 + pos as created_s,
   case when pos % 2 = 0 then 1704067200 + pos * 2 end as updated_s
 from (select *, row_number() over (partition by zh order by pos) as rn from fx_pair where pos % 3 = 0) where rn = 1
 """
+VIEWS["fx_site"] = """
+select page_id, url, listing_id, page_no, concat(html,
+  '<h1 class="big post-title">Chap <b>', cast(page_id as string), '</b></h1><article class="post-content"><p><img data-src="/c/', cast(page_id as string),
+  '-1.jpg" src="data:x"><img src=c2.webp><img src="/c/', cast(page_id as string), '-1.jpg"></p></article>',
+  '<article class="post-item x"><h2 class="entry-title"><a href="/art/', cast(page_id % 13 as string), '.html" title=" ">Series A <i>', cast(page_id % 13 as string), '</i></a></h2></article>',
+  '<article class="x post-item"><h2 class="entry-title"><a title="Series B" href="/art/', cast(page_id % 5 as string), '.html">other</a></h2></article>',
+  '<a href="/page/', cast(page_id % 4 + 1 as string), '">more</a><a href="/photos-index-aid-', cast(page_id % 9 as string), '.html"><img src="t.svg"> A longer title for the gallery: no ', cast(page_id as string), '?</a>',
+  '<a href="/photos-index-aid-77.html"></a><a href="/photos-index-aid-77.html">short</a>') as html
+from fx_pg
+"""
+VIEWS["fx_list"] = """
+select listing_id, concat('https://site.example.com/l', cast(listing_id as string)) as url from (select distinct listing_id from fx_pg)
+"""
+VIEWS["fx_list_page"] = """
+select case when page_no = 1 then concat('https://site.example.com/l', cast(listing_id as string))
+   else concat('https://site.example.com/l', cast(listing_id as string), '?p=', cast(page_no as string)) end as url,
+ listing_id, page_no, concat('<a href="?p=', cast(page_id % 5 + 1 as string), '">n</a><a href="/photos-index-aid-', cast(page_id as string), '.html">[team] Story ',
+  cast(listing_id as string), ' - part ', cast(page_no as string), '</a><a href="/photos-index-aid-', cast(100000 + page_id as string), '.html">[team] Story ', cast(listing_id as string), ' - extra</a>') as html
+from fx_pg
+"""
+VIEWS["fx_art_page"] = """
+select case when page_no = 1 then concat('https://site.example.com/l', cast(listing_id as string))
+   else concat('https://site.example.com/l', cast(listing_id as string), '/page/', cast(page_no as string)) end as url,
+ listing_id, page_no, concat('<a href="/page/', cast(page_id % 5 + 1 as string), '">n</a><article class="post-item"><h2 class="entry-title"><a href="/a', cast(page_id % 30 as string), '.html">Tale ',
+  cast(listing_id as string), ' 1', cast(page_id % 30 as string), '</a></h2></article>') as html
+from fx_pg
+"""

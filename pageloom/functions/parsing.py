@@ -20,6 +20,9 @@ from pageloom.functions.text import (
     text_lines,
 )
 
+# plain JSON: the reader would otherwise take single quotes as well
+STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+
 
 def bracketed(text: ColumnLike) -> Column:
     """From the first ``[`` to the last ``]``; null when there is no such span."""
@@ -28,7 +31,7 @@ def bracketed(text: ColumnLike) -> Column:
 
 def page_boxes(reply: ColumnLike, width: ColumnLike, height: ColumnLike) -> Column:
     """Array of (box, text, conf) read from a page reply; bad items are skipped, bad JSON gives none."""
-    items = F.from_json(bracketed(reply), "array<struct<bbox array<string>, text string>>", {"mode": "PERMISSIVE"})
+    items = F.from_json(bracketed(reply), "array<struct<bbox array<string>, text string>>", STRICT)
     read = F.transform(items, lambda i: F.struct(
         pixel_box(i["bbox"], width, height).alias("box"),
         strip(F.coalesce(i["text"], F.lit(""))).alias("text"), F.lit(0.99).alias("conf")))
@@ -39,7 +42,7 @@ def page_boxes(reply: ColumnLike, width: ColumnLike, height: ColumnLike) -> Colu
 def reply_texts(reply: ColumnLike, expected: ColumnLike) -> Column:
     """Texts of a JSON-array reply; null unless it holds exactly ``expected`` items."""
     raw = bracketed(strip_artifacts(reply))
-    items = F.from_json(raw, "array<string>")
+    items = F.from_json(raw, "array<string>", STRICT)
 
     def text_of(item: Column) -> Column:
         known = F.from_json(item, "struct<" + ", ".join(f"{k} string" for k in L.REPLY_KEYS) + ">")
@@ -88,7 +91,7 @@ def yes_numbers(reply: ColumnLike) -> Column:
 
 def sources_array(text: ColumnLike) -> Column:
     """JSON list of names; anything else is an empty list."""
-    return F.coalesce(F.from_json(col(text), "array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(F.from_json(col(text), "array<string>", STRICT), F.array().cast("array<string>"))
 
 
 def merge_sources(existing: ColumnLike, source: ColumnLike) -> Column:
@@ -103,7 +106,7 @@ def script_url_lists(script: ColumnLike) -> Column:
     lists = []
     for q in ('"', "'"):
         raw = F.regexp_extract_all(col(script), F.lit(rf"(?is){q}{L.SCRIPT_LIST_KEYS}{q}\s*:\s*(\[.*?\])"), F.lit(1))
-        arrays = F.transform(raw, lambda a: F.coalesce(F.from_json(a, "array<string>"), F.array().cast("array<string>")))
+        arrays = F.transform(raw, lambda a: F.coalesce(F.from_json(a, "array<string>", STRICT), F.array().cast("array<string>")))
         lists.append(F.transform(F.flatten(arrays), lambda u: strip(u)))
     quoted = F.regexp_extract_all(col(script), F.lit(L.SCRIPT_QUOTED_IMAGE), F.lit(1))
     as_item = lambda checked: (lambda u: F.struct(u.alias("raw"), F.lit(checked).alias("ready")))
