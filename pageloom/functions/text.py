@@ -204,7 +204,7 @@ def fix_closed_vocab(src: ColumnLike, trans: ColumnLike, vocab: Sequence[tuple[s
 
         def step(out: Column, want: Column) -> Column:
             wrong = F.get(F.filter(foreign, lambda e: F.lower(out).contains(F.lower(e["name"]))), F.lit(0))["name"]
-            at = F.position(wrong, out)
+            at = F.position(F.lower(wrong), F.lower(out))
             fixed = F.concat(F.substring(out, F.lit(1), at - 1), want["name"],
                              F.substring(out, at + F.length(wrong), F.length(out)))
             return F.when(F.lower(out).contains(F.lower(want["name"])) | wrong.isNull(), out).otherwise(fixed)

@@ -72,10 +72,11 @@ def enforce_terms(df: DataFrame, terms: DataFrame, seg_key: Sequence[str], term_
     """
     lengths = terms.agg(F.coalesce(F.collect_set(F.length("zh")), F.array().cast("array<int>")).alias("n")).scalar()
     text = F.col(src)
-    pieces = F.flatten(F.transform(lengths, lambda n: F.when(
+    pieces = F.flatten(F.transform(F.col("_lengths"), lambda n: F.when(
         F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
                                          lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))))
-    cut = df.select(*seg_key, *[k for k in term_key if k not in seg_key], F.explode(F.array_distinct(pieces)).alias("zh"))
+    cut = df.withColumn("_lengths", lengths).select(
+        *seg_key, *[k for k in term_key if k not in seg_key], F.explode(F.array_distinct(pieces)).alias("zh"))
     found = cut.join(terms.select(*term_key, "zh", "vi", "pos"), [*term_key, "zh"])
     per_seg = found.groupBy(*seg_key).agg(
         F.array_sort(F.collect_list(F.struct((-F.length("zh")).alias("n"), "pos", "zh", "vi"))).alias("_terms"))
