@@ -263,7 +263,7 @@ def s14(t):
 select page_id, count(*)::bigint as regions, count(*) <= 3 or count(*) filter ({trim('trans')} <> '') = 0
   or coalesce(sum({S.count('trans', '[' + S.MARKS + ']')}) filter ({trim('trans')} <> ''), 0) * 10 > sum(length({trim('trans')})) filter ({trim('trans')} <> '') as passes from fx_conv group by 1""")
 def a14(t):
-    marks = F.sum(text.pattern_count("trans", f"(?iu)[{L.VIETNAMESE_MARKS}]"))
+    marks = F.sum(text.pattern_count("trans", L.VIETNAMESE_MARK))
     detected = F.when(marks * 10 > F.sum(F.length("trans")), "vin").otherwise("eng")
     return segments.page_language_gate(t.fx_conv, detected, "VIN", min_regions=3)
 

@@ -8,10 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.catalog.views import VIEWS
+from pageloom.session import spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels"
           " conversations").split()
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -46,7 +49,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(df) if name in TEXT_TABLES else df
         if name in VIEWS:
             return self.sql(f"select * from {name}")
         raise AttributeError(name)

@@ -67,15 +67,15 @@ def needs_retry(text: ColumnLike, variant: str = "chat") -> Column:
     def decide(c: Column) -> Column:
         return (
             F.when(F.length(strip(c)) < 4, False).when(c.rlike(foreign), True)
-            .when(c.rlike(f"(?iu)[{L.VIETNAMESE_MARKS}]"), False)
-            .otherwise(pattern_count(c, L.ENGLISH_WORD) >= 2)
+            .when(c.rlike(L.VIETNAMESE_MARK), False)
+            .otherwise(c.rlike(L.TWO_ENGLISH_WORDS))
         )
 
     return let(cleaned, decide)
 
 
 def has_vietnamese_marks(text: ColumnLike) -> Column:
-    return F.coalesce(col(text).rlike(f"(?iu)[{L.VIETNAMESE_MARKS}]"), F.lit(False))
+    return F.coalesce(col(text).rlike(L.VIETNAMESE_MARK), F.lit(False))
 
 
 def target_is_vietnamese(lang: ColumnLike) -> Column:
@@ -115,16 +115,6 @@ def is_repetitive(text: ColumnLike, threshold: int = 5) -> Column:
     text = col(text)
     t, size = threshold, threshold // 2
 
-    def same_word_run(words: Column) -> Column:
-        runs = F.aggregate(
-            words,
-            F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")),
-            lambda acc, w: let(
-                F.when(acc["last"] == w, acc["run"] + 1).otherwise(1),
-                lambda run: F.struct(w.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))),
-        )
-        return (F.size(words) >= t) & (runs["best"] >= t)
-
     def phrase_again(words: Column) -> Column:
         def hit(i: Column) -> Column:
             phrase = F.array_join(F.slice(words, i, F.lit(size)), " ")
@@ -134,12 +124,23 @@ def is_repetitive(text: ColumnLike, threshold: int = 5) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - t + 1, F.lit(1)))
         return F.when(F.size(words) >= 2 * t, F.exists(starts, hit)).otherwise(False)
 
+    def same_token_run(tokens: Column) -> Column:
+        # the first unequal neighbour ends the comparison, so nearly every token costs one
+        def starts_run(w: Column, i: Column) -> Column:
+            out = F.lit(True)
+            for k in range(1, t):
+                out = out & w.eqNullSafe(F.get(tokens, i + k))
+            return out
+
+        return F.array_contains(F.transform(tokens, starts_run), True)
+
+    # a token is one Han character at the head of a run, or the rest of the run
     tokens = F.regexp_extract_all(text, F.lit(f"{L.UNIFIED_HAN}|{L.NON_WS_CLASS}+"), F.lit(0))
     words = F.regexp_extract_all(text, F.lit(f"{L.NON_WS_CLASS}+"), F.lit(0))
     found = (
         F.when(F.length(strip(text)) < t, False)
         .when(text.rlike(rf"(?s)(.)\1{{{t - 1}}}"), True)
-        .when(let(tokens, same_word_run), True)
+        .when(let(tokens, same_token_run), True)
         .otherwise(let(words, phrase_again))
     )
     return F.coalesce(found, F.lit(False))

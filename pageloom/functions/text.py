@@ -94,8 +94,13 @@ def strip_artifacts(text: ColumnLike, variant: str = "translate", keep_markers:
 
 
 def mark_compact(text: ColumnLike) -> Column:
-    """Lower-case, without white space, only the characters an address can hold."""
-    return F.regexp_replace(F.lower(col(text)), r"[^a-z0-9._:/-]", "")
+    """Lower-case, without white space, only the characters an address can hold.
+
+    Everything else goes first, so that lower-casing meets short ASCII text; the two other letters
+    whose lower case is an ASCII letter stay until then.
+    """
+    kept = F.lower(F.regexp_replace(col(text), r"(?i)[^a-z0-9._:/\-\u0130\u212a]+", ""))
+    return let(kept, lambda k: F.when(k.rlike(r"[^\x00-\x7f]"), F.regexp_replace(k, r"[^\x00-\x7f]+", "")).otherwise(k))
 
 
 def is_watermark(text: ColumnLike, variant: str = "chat") -> Column:
@@ -103,7 +108,7 @@ def is_watermark(text: ColumnLike, variant: str = "chat") -> Column:
     text = col(text)
     if variant == "ocr":
         test = lambda c: (
-            c.contains(".com") | c.endswith("com") | c.rlike(r"\bacg\b") | text.rlike(L.MARK_URL)
+            c.contains(".com") | c.endswith("com") | c.rlike(r"\bacg\b") | (text.rlike(L.MARK_ENDING) & text.rlike(L.MARK_URL))
         )
         return F.coalesce((F.length(strip(text)) >= 3) & let(mark_compact(text), test), F.lit(False))
     words = L.MARK_WORDS[variant]
@@ -121,8 +126,11 @@ def is_watermark(text: ColumnLike, variant: str = "chat") -> Column:
 
 def clean_watermark_lines(text: ColumnLike, source: ColumnLike | None = None, variant: str = "translate") -> Column:
     """Drop the lines that are site marks; a text made of nothing else becomes empty."""
-    raw = col(text)
-    # The chat form re-tests the raw text, the other two the source as well.
+    return let(col(text), lambda raw: _without_mark_lines(raw, source, variant))
+
+
+def _without_mark_lines(raw: Column, source: ColumnLike | None, variant: str) -> Column:
+    # the chat form re-tests the raw text, the other two the source as well
     src_hit = F.lit(False) if source is None or variant == "chat" else is_watermark(source, variant)
 
     def keep(clean: Column) -> Column:
@@ -229,7 +237,10 @@ def repair_brackets(text: ColumnLike) -> Column:
     closers = F.lit("".join(c for _, c in L.BRACKETS if c not in {o for o, _ in L.BRACKETS}))
     fits = F.lit("".join(c for _, c in L.BRACKETS))
     state = "struct<open array<struct<at int, mark string>>, fix array<struct<at int, mark string>>>"
-    every = "[" + "".join("\\" + m for pair in L.BRACKETS for m in dict.fromkeys(pair)) + "]"
+    marks = list(dict.fromkeys(m for pair in L.BRACKETS for m in pair))
+    near, far = [m for m in marks if m < "\u0100"], [m for m in marks if m >= "\u0100"]
+    # ordinary letters are turned away by the first class and the range test
+    every = "(?:[" + "".join("\\" + m for m in near) + "]|[\u2000-\uffff&&[" + "".join(far) + "]])"
 
     def fitting(opener: Column) -> Column:
         return F.substring(fits, F.position(opener, openers), F.lit(1))

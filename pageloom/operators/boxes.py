@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from pageloom.functions.text import is_watermark
 from pageloom.session import pin
 
 TILE = 256
-SMALL_GROUP = 20_000
+SMALL_GROUP = 2_000
 SIDES = list(G.SIDES)
 
 
@@ -203,9 +202,10 @@ def dedupe_overlaps(df: DataFrame, limit: float = 0.5, small: int = SMALL_GROUP)
     """
     a, b = F.col("a"), F.col("b")
     banded = bands(df, 0)
-    edges = near_pairs_of(banded, banded).filter(a["region_id"] < b["region_id"]).filter(G.iou(a, b) > limit).select(
+    # the pairs are few and used for sizes and for both ways of settling
+    edges = pin(near_pairs_of(banded, banded).filter(a["region_id"] < b["region_id"]).filter(G.iou(a, b) > limit).select(
         "page_id", a["band"].alias("band"), a["region_id"].alias("i"), b["region_id"].alias("j"),
-        (F.length(a["text"]) >= F.length(b["text"])).alias("i_stays"))
+        (F.length(a["text"]) >= F.length(b["text"])).alias("i_stays")))
     few, many = _split_by_size(edges, ["page_id", "band"], small)
     played = few.groupBy("page_id", "band").agg(F.collect_list(F.array("i", "j", F.col("i_stays").cast("int"))).alias("pairs"))
     lost = played.select("page_id", F.explode(_losers("pairs")).alias("region_id"))
@@ -287,7 +287,7 @@ def group_nearby(df: DataFrame, gap: int = 18, overlap: float = 0.15, small: int
     A group grows against its own box until nothing more fits. Regions across an empty strip taller than
     ``gap`` can never meet, so every band stands alone; a band larger than ``small`` is grown by joins.
     """
-    banded = bands(df, gap).select("page_id", F.col("region_id").cast("int").alias("region_id"), "band", *SIDES)
+    banded = pin(bands(df, gap).select("page_id", F.col("region_id").cast("int").alias("region_id"), "band", *SIDES))
     few, many = _split_by_size(banded, ["page_id", "band"], small)
 
     boxed = few.groupBy("page_id", "band").agg(F.collect_list(F.array("y1", "x1", "region_id", "x2", "y2")).alias("boxes"))
@@ -308,24 +308,23 @@ def _seeds(gap: int, overlap: float):
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
     def seeds(bands_of_boxes: pd.Series) -> pd.Series:
-        def grow(boxes) -> list[list[int]]:
-            rows = np.array(sorted(tuple(b) for b in boxes))
-            y1, x1, ids, x2, y2 = rows.T
-            seed = np.full(len(rows), -1)
-            for i in range(len(rows)):
-                if seed[i] >= 0:
-                    continue
-                seed[i] = i
-                while True:
-                    mine = seed == i
-                    gx1, gy1, gx2, gy2 = x1[mine].min(), y1[mine].min(), x2[mine].max(), y2[mine].max()
-                    apart = np.maximum(y1 - gy2, gy1 - y2)
-                    span, common = np.maximum(x2, gx2) - np.minimum(x1, gx1), np.minimum(x2, gx2) - np.maximum(x1, gx1)
-                    joins = (seed < 0) & (apart <= gap) & (span > 0) & (common > overlap * span)
-                    if not joins.any():
-                        break
-                    seed[joins] = i
-            return np.stack([ids, ids[seed]], axis=1).tolist()
+        def grow(boxes) -> list[tuple[int, int]]:
+            free = sorted(tuple(b) for b in boxes)
+            out = []
+            while free:
+                y1, x1, seed, x2, y2 = free[0]
+                free, taken = free[1:], [free[0]]
+                while taken:
+                    out += [(b[2], seed) for b in taken]
+                    y1, x1 = min(y1, *(b[0] for b in taken)), min(x1, *(b[1] for b in taken))
+                    x2, y2 = max(x2, *(b[3] for b in taken)), max(y2, *(b[4] for b in taken))
+                    taken, rest = [], []
+                    for b in free:
+                        span = max(b[3], x2) - min(b[1], x1)
+                        fits = max(b[0] - y2, y1 - b[4]) <= gap and span > 0 and min(b[3], x2) - max(b[1], x1) > overlap * span
+                        (taken if fits else rest).append(b)
+                    free = rest
+            return out
 
         return bands_of_boxes.map(grow)
 

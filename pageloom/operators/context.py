@@ -71,7 +71,7 @@ def page_story(df: DataFrame, series: str = "series_id", page: str = "page_id",
         series, page, F.right(F.array_join(F.transform("l", lambda x: x["line"]), " / "), F.lit(chars + 1)).alias("story"))
     everyone = df.select(series, page).distinct().join(joined, [series, page], "left")
     recent = recent_items(everyone, [series], page, F.col("story"), pages, "recent")
-    text = strip(F.array_join("recent", " / "))
+    text = F.array_join("recent", " / ")
     cut = F.when(F.length(text) > chars, F.concat(F.lit("…"), F.right(text, F.lit(chars)))).otherwise(text)
     return recent.select(series, page, cut.alias("context"))
 

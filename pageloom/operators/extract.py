@@ -81,9 +81,9 @@ def extract_media_urls(pages: DataFrame, scripts: DataFrame | None = None, keep:
             F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"]).alias("_scripts"))
         source = pages.join(texts, "page_id", "left")
         external = F.coalesce("_scripts", F.array().cast("array<string>"))
-    read = source.select("page_id", *keep, media_array("html", "url", external).alias("_media"))
-    found = read.select("page_id", *keep, F.size("_media").cast("bigint").alias("total"), F.posexplode("_media").alias("i", "m"))
-    return found.select("page_id", *keep, (F.col("i") + 1).cast("bigint").alias("ord"), "total", "m.url", "m.origin")
+    numbered = let(media_array("html", "url", external), lambda found: F.transform(found, lambda m, i: F.struct(
+        (i + 1).cast("bigint").alias("ord"), F.size(found).cast("bigint").alias("total"), m["url"].alias("url"), m["origin"].alias("origin"))))
+    return source.select("page_id", *keep, F.explode(numbered).alias("m")).select("page_id", *keep, "m.*")
 
 
 def article_media(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import content_key, is_blank
+from pageloom.sources.snapshots import folder_exists
 
 CACHE_SCHEMA = "key string, source string, translation string, model string, src_lang string, ts timestamp"
 
@@ -34,10 +35,7 @@ def save_cache(cache: DataFrame, path: str) -> None:
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Unreadable lines give no entry."""
-    try:
-        return spark.read.schema(CACHE_SCHEMA).option("mode", "DROPMALFORMED").json(path).filter(F.col("key").isNotNull())
-    except Exception as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
+    """Unreadable lines give no entry, a missing folder none at all."""
+    if not folder_exists(spark, path):
         return spark.createDataFrame([], CACHE_SCHEMA)
+    return spark.read.schema(CACHE_SCHEMA).option("mode", "DROPMALFORMED").json(path).filter(F.col("key").isNotNull())

@@ -19,16 +19,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def current_version(spark: SparkSession, path: str) -> str | None:
     """Latest entry of the pointer log; the log holds one short row per version."""
-    try:
-        log = spark.read.schema(_POINTER).json(f"{path}/versions")
-    except Exception as exc:  # the folder does not exist yet
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
+    if not folder_exists(spark, f"{path}/versions"):
         return None
-    row = log.agg(F.max_by("version", "seq").alias("version")).first()
-    return row["version"]
+    log = spark.read.schema(_POINTER).json(f"{path}/versions")
+    return log.agg(F.max_by("version", "seq").alias("version")).first()["version"]
 
 
 def write_snapshot(df: DataFrame, path: str, partitions: int | None = None) -> str:
