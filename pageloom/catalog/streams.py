@@ -9,6 +9,7 @@ from pageloom.catalog.registry import query
 from pageloom.catalog.sql_parts import trim
 from pageloom.catalog.term_store import flat, now, store
 from pageloom.operators import images, journal
+from pageloom.plans.ordered import best_per_group
 from pageloom.session import pin
 from pageloom.sources import snapshots
 from pageloom.streaming import jobs
@@ -100,7 +101,8 @@ def st1(t):
 @query("st6_stream_live_terms")
 def st6(t):
     root = snapshots.scratch_path(t.spark, "live")
-    snapshots.write_snapshot(store(t).withColumn("zh", F.regexp_replace("zh", "^宗| \\d+$", "")).dropDuplicates(["zh"]), f"{root}/terms")
+    short = store(t).withColumn("zh", F.regexp_replace("zh", "^宗| \\d+$", ""))
+    snapshots.write_snapshot(best_per_group(short, ["zh"], F.col("term_id")), f"{root}/terms")
     own = t.sql("select split_part(p_name, ' ', 1) as zh, min(p_type) as vi, min(p_partkey) as pos from part group by 1")
 
     def write(batch, number):
