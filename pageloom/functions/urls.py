@@ -154,6 +154,7 @@ def natural_key(name: ColumnLike, fold_case: bool = True) -> Column:
     """Sort key: text and number runs alternate, numbers compare by value."""
     text = F.lower(col(name)) if fold_case else col(name)
     parts = F.regexp_extract_all(text, F.lit(r"(\D*)(\d*)"), F.lit(0))
+    digits = lambda p: F.regexp_replace(F.regexp_extract(p, r"\d*$", 0), r"^0+(?=\d)", "")
+    # longer numbers are larger, equally long ones compare as text: no number is too long
     return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(
-        F.regexp_extract(p, r"^\D*", 0).alias("text"),
-        F.nullif(F.regexp_extract(p, r"\d*$", 0), F.lit("")).cast("decimal(38,0)").alias("number")))
+        F.regexp_extract(p, r"^\D*", 0).alias("text"), F.length(digits(p)).alias("size"), digits(p).alias("digits")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import lexicon as L
 from pageloom.functions.predicates import has_vietnamese_marks
 from pageloom.functions.text import ColumnLike, col, is_blank, strip
-from pageloom.plans.ordered import dense_position, running_sum, top_per_group, with_neighbours
+from pageloom.plans.ordered import dense_position, running_sum, same_keys, top_per_group, with_neighbours
 
 
 def recent_items(df: DataFrame, keys: Sequence[str], pos: str, item: Column, k: int, out: str) -> DataFrame:
@@ -22,7 +22,7 @@ def recent_items(df: DataFrame, keys: Sequence[str], pos: str, item: Column, k:
     frame = lambda w: {out: F.collect_list("_item").over(w.rowsBetween(-(k - 1), 0))}
     recent = with_neighbours(items, keys, "_n", k - 1, 0, frame).select(*keys, F.col("_n").alias("_before"), out)
     none = F.filter(F.array(F.col("_item")), lambda _: F.lit(False))
-    joined = counted.join(recent, [*keys, "_before"], "left")
+    joined = same_keys(counted, recent, [*keys, "_before"], "left")
     return joined.withColumn(out, F.coalesce(out, none)).select(*df.columns, out)
 
 

@@ -26,27 +26,35 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _blocks(df: DataFrame, pos: str, rows: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(pos) / F.lit(rows)).cast("bigint"))
+def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys as one struct: equal also where a key is null, so windows and joins share one partitioning."""
+    return df.withColumn("_key", F.struct(*keys)).drop(*keys)
 
 
-def _carried(blocked: DataFrame, keys: Sequence[str], total: Column, combine: Callable[[Column], Column]) -> DataFrame:
+def _unkeyed(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(f"_key.{c}").alias(c) if c in keys else F.col(c) for c in columns])
+
+
+def _blocks(df: DataFrame, keys: Sequence[str], pos: str, rows: int) -> DataFrame:
+    return _keyed(df.withColumn("_block", F.floor(F.col(pos) / F.lit(rows)).cast("bigint")), keys)
+
+
+def _carried(blocked: DataFrame, total: Column, combine: Callable[[Column], Column]) -> DataFrame:
     """What the earlier blocks of each group amount to, one row per block that has any."""
-    totals = blocked.groupBy(*keys, "_block").agg(total.alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy("_key", "_block").agg(total.alias("_total"))
+    earlier = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.withColumn("_carry", combine(F.col("_total")).over(earlier))
     return carry.filter(F.col("_carry").isNotNull()).drop("_total")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str, rows: int = BLOCK_ROWS) -> DataFrame:
     """Sum of ``value`` up to and including the row. ``pos`` is an integer, unique within ``keys``."""
-    blocked = _blocks(df.withColumn("_value", value), pos, rows)
-    inside = Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    carry = _carried(blocked, keys, F.sum("_value"), F.sum)
-    summed = blocked.withColumn("_inside", F.sum("_value").over(inside))
-    joined = same_keys(summed, carry, [*keys, "_block"], "left")
-    return joined.withColumn(out, F.col("_inside") + F.coalesce(F.col("_carry"), F.lit(0))).drop(
-        "_value", "_inside", "_carry", "_block")
+    blocked = _blocks(df.withColumn("_value", value), keys, pos, rows)
+    inside = Window.partitionBy("_key", "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    carry = _carried(blocked, F.sum("_value"), F.sum)
+    joined = blocked.withColumn("_inside", F.sum("_value").over(inside)).join(carry, ["_key", "_block"], "left")
+    summed = joined.withColumn(out, F.col("_inside") + F.coalesce(F.col("_carry"), F.lit(0)))
+    return _unkeyed(summed, keys, [c for c in df.columns if c != out] + [out])
 
 
 def dense_position(df: DataFrame, keys: Sequence[str], pos: str, out: str = "position", rows: int = BLOCK_ROWS) -> DataFrame:
@@ -56,13 +64,12 @@ def dense_position(df: DataFrame, keys: Sequence[str], pos: str, out: str = "pos
 
 def carry_last(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str, rows: int = BLOCK_ROWS) -> DataFrame:
     """Latest non-null ``value`` at or before the row."""
-    blocked = _blocks(df.withColumn("_value", value), pos, rows)
-    inside = Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    blocked = _blocks(df.withColumn("_value", value), keys, pos, rows)
+    inside = Window.partitionBy("_key", "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     tail = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(pos)))
-    carry = _carried(blocked, keys, tail, lambda c: F.last(c, ignorenulls=True))
-    seen = blocked.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
-    joined = same_keys(seen, carry, [*keys, "_block"], "left")
-    return joined.withColumn(out, F.coalesce("_inside", "_carry")).drop("_value", "_inside", "_carry", "_block")
+    carry = _carried(blocked, tail, lambda c: F.last(c, ignorenulls=True))
+    joined = blocked.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside)).join(carry, ["_key", "_block"], "left")
+    return _unkeyed(joined.withColumn(out, F.coalesce("_inside", "_carry")), keys, [c for c in df.columns if c != out] + [out])
 
 
 def with_neighbours(
@@ -97,16 +104,15 @@ def any_order_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
     sampling could cut the ranges elsewhere.
     """
     named = {f"_o{i}": c for i, c in enumerate(order)}
-    marked = df.withColumns(named)
-    laid = pin(marked.repartitionByRange(*[F.col(k) for k in keys], *[F.col(n) for n in named]).withColumn(
-        "_part", F.spark_partition_id()))
-    counts = laid.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    marked = _keyed(df.withColumns(named), keys)
+    laid = pin(marked.repartitionByRange("_key", *named).withColumn("_part", F.spark_partition_id()))
+    counts = laid.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
-    inside = Window.partitionBy(*keys, "_part").orderBy(*named)
-    ranked = laid.withColumn("_inside", F.row_number().over(inside))
-    return same_keys(ranked, before, [*keys, "_part"]).withColumn(
-        out, (F.col("_inside") + F.col("_before")).cast("bigint")).drop("_inside", "_before", "_part", *named)
+    inside = Window.partitionBy("_key", "_part").orderBy(*named)
+    ranked = laid.withColumn("_inside", F.row_number().over(inside)).join(before, ["_key", "_part"])
+    placed = ranked.withColumn(out, (F.col("_inside") + F.col("_before")).cast("bigint"))
+    return _unkeyed(placed, keys, [c for c in df.columns if c != out] + [out])
 
 
 def best_per_group(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:

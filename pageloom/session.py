@@ -12,7 +12,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # String building inside lambdas is cheap to repeat, plan nodes are not.
+    # plans with long expressions would otherwise fill the logs
     "spark.sql.maxPlanStringLength": "20000",
 }
 

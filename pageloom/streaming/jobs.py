@@ -34,9 +34,9 @@ def stream_distinct(rows: DataFrame, keys: list[str], lateness: str | None = Non
 
 
 def stream_journal(journal: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Append every entry to the run's files; the tail is read from there."""
+    """Append every entry to the log files; the tail is read from there. Runs are a column, not folders: they are many."""
     return (journal.writeStream.format("parquet").outputMode("append").option("path", path)
-            .option("checkpointLocation", checkpoint).partitionBy("run_id"))
+            .option("checkpointLocation", checkpoint))
 
 
 class RecentPairs(StatefulProcessor):
