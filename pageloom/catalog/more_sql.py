@@ -79,3 +79,13 @@ _SPELT = urls_and_text._SPELT
 add("n2_parse_string_array", f"""
 with r as (select reply_id, replace(replace(text, chr(10), ' '), '"', '') as t, role from (select conv_id * 1000 + turn as reply_id, text, role, (conv_id + turn) % 6 as kind from conversations) where kind = 2)
 select reply_id, {S.clean_marks('y')} || '¦' || role || ' chủ' as texts from (select reply_id, role, {_SPELT} as y from (select reply_id, role, {urls_and_text._glued_sql('t')} as x from r))""")
+
+_PAIR_IOU = "(greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0)::bigint * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0))"
+add("j10_dedupe_overlaps", f"""
+with c as (select (page_id // 32)::bigint as page_id, (page_id % 32 * 64 + region_id)::int as region_id, x1, y1, x2, y2, length(text) as n from fx_box),
+e as (select a.page_id, list([a.region_id, b.region_id, case when a.n >= b.n then 1 else 0 end] order by a.region_id, b.region_id) as edges
+  from c a join c b on a.page_id = b.page_id and a.region_id < b.region_id
+  where {_PAIR_IOU} / ({_SIZE.format(t='a')} + {_SIZE.format(t='b')} - {_PAIR_IOU}) > 0.5 group by 1),
+g as (select page_id, list_reduce(edges, lambda acc, x: case when list_contains(acc, x[1]) or list_contains(acc, x[2]) then acc
+  else list_append(acc, case when x[3] = 1 then x[2] else x[1] end) end, []::int[]) as gone from e)
+select c.page_id, c.region_id from c left join g using (page_id) where g.gone is null or not list_contains(g.gone, c.region_id)""")
