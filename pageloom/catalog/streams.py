@@ -17,7 +17,7 @@ from pageloom.streaming import jobs
 big = lambda c: F.col(c).cast("bigint") if isinstance(c, str) else c.cast("bigint")
 
 
-def staged(df, name: str, order: str, parts: int = 4):
+def staged(df, name: str, order: str, parts: int = 2):
     """Write a table in ``order`` as successive files and read it back as a stream, one write per micro-batch."""
     spark = df.sparkSession
     path = snapshots.scratch_path(spark, name)
@@ -76,7 +76,7 @@ select series_id, seg_id, coalesce(len(r), 0)::bigint as n, coalesce(array_to_st
 def st5(t):
     path, offsets = _table(t.spark, "context")
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    source = staged(t.fx_ctx.select("series_id", "seg_id", "src", "trans"), "ctx", "seg_id", 3)
+    source = staged(t.fx_ctx.select("series_id", "seg_id", "src", "trans"), "ctx", "seg_id")
     run(jobs.stream_recent_context(source).writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", offsets), t.spark)
     return t.spark.read.parquet(path)
 
