@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontamination, mixing, quality_classifier, sharding, simhash
-from pageloom.llm.sql import MIXING_SQL, PHRASES_SQL
+from pageloom.llm import (
+    decontamination,
+    license_scan,
+    lm_scoring,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    simhash,
+    url_filter,
+    warc,
+)
+from pageloom.llm.sql import MIXING_SQL, PHRASES_SQL, URLS_SQL, WARC_SQL, licenses_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +70,37 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_classifier")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op6_url_filter", URLS_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judged(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
+
+
+@query("op9_warc", WARC_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.read_archives(archives, payloads=False).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+@query("op3_license_scan", licenses_sql(license_scan.TEMPLATES, license_scan.THRESHOLD))
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_parts", "n_matches", F.concat_ws(",", "licenses").alias("licenses"), "best", F.round("best_dice", 6).alias("best_dice"))
+
+
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(table(spark, sf_dir, "documents"))

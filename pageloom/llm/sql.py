@@ -37,3 +37,50 @@ select doc_id, source, round(rate, 6) as rate, cast(n as bigint) as n_copies, re
        md5('23:' || coalesce(cast(doc_id as varchar), '') || ':' || cast(replica as varchar)) as mix_key
 from (select *, unnest(range(1, cast(n as bigint) + 1)) as replica from drawn)
 """
+
+URLS_SQL = r"""
+with rule(host, path, verdict) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                                          ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+page as (select row_number() over () as r, page_id,
+                translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path from pages),
+best as (select r, arg_max({'rule': rule.host || rule.path, 'verdict': verdict}, length(rule.host || rule.path)) as b
+         from page join rule on (page.host = rule.host or ends_with(page.host, '.' || rule.host)) and starts_with(page.path, rule.path) group by r)
+select page_id, host, path, b.rule as rule, coalesce(b.verdict, 'allow') as verdict from page left join best using (r)
+"""
+
+WARC_SQL = """
+with page as (select page_id, encode(coalesce(html, '')) as payload from pages),
+named as (select *, sha256(payload) as digest, min(page_id) over (partition by payload) as first_id from page),
+kind as (select *, octet_length(payload) >= 100 and first_id is not null and page_id is distinct from first_id as again from named)
+select page_id, octet_length(payload) as payload_bytes, digest as payload_digest, case when again then 'revisit' else 'response' end as record_type,
+       case when again then first_id end as refers_to, cast(null as varchar) as problem
+from kind
+"""
+
+
+def licenses_sql(templates: dict[str, str], threshold: float) -> str:
+    """Every distinct part of every text against every template; the size bounds are left to the coefficient."""
+    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in templates.items())
+
+    def grams(column: str) -> str:
+        lower = f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        words = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x{{7F}}]+')"
+        same = f"list_transform({words}, lambda w: case w when 'licence' then 'license' when 'licenced' then 'licensed' when 'licences' then 'licenses' else w end)"
+        return f"(select list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) from (select {same} as ws))"
+
+    return rf"""
+with template(name, body) as (values {values}),
+own as (select name, {grams('body')} as g from template),
+doc as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+part as (select distinct r, p from (select r, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\n[ \t\r]*\n'), [t])) as p from doc)
+         where not regexp_full_match(p, '\s*')),
+cut as (select r, p, {grams('p')} as g from part),
+dice as (select r, p, name, 2.0 * len(list_intersect(own.g, cut.g)) / (len(own.g) + len(cut.g)) as d
+         from cut join own on len(cut.g) between len(own.g) / 3.0 and len(own.g) * 3.0),
+best as (select r, p, arg_min(name, (-d, name)) as name, max(d) as d from dice where d >= {threshold} group by r, p),
+found as (select r, count(*) as n, string_agg(distinct name, ',' order by name) as names, arg_min(name, (-d, name)) as best, max(d) as d from best group by r),
+size as (select r, count(*) as n_parts from part group by r)
+select doc_id, coalesce(n_parts, 0) as n_parts, coalesce(n, 0) as n_matches, coalesce(names, '') as licenses, best, round(d, 6) as best_dice
+from doc left join size using (r) left join found using (r)
+"""
