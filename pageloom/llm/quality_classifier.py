@@ -6,8 +6,8 @@ repeats the one before) alone and in runs of three, all hashed to ``BUCKETS`` bu
 model counts a bounded sample of rows labelled good. Counts are added up per task, then over tasks: at most ``BUCKETS`` rows
 reach the driver, and a table of that size is sent out.
 
-The number k of documents to draw is the number whose weight per feature reaches a cut; the cut is the one that separates the labelled
-sample best. Which documents are drawn is decided by weight plus Gumbel noise, hashed from seed and id.
+The number k of documents to draw is the number whose weight per feature reaches a cut; the cut is the one that best separates the half
+of the labelled sample that the target model has not seen. Which documents are drawn is decided by weight plus Gumbel noise, hashed from seed and id.
 
 Defined cases: a null or blank text has no features, weight 0, and is drawn like any other; null labels are no labels; a document
 with several labels counts once, good only if all its labels are good; without labels of both kinds everything is kept;
@@ -33,8 +33,8 @@ BUCKETS = 1 << 15
 #: Labelled rows the target model and the cut are fitted on, at most.
 SAMPLE = 20_000
 SEED = 31
-#: Added to each bucket of both models, in words per million.
-SMOOTH = 1.0
+#: Features' worth of the raw model that is mixed into the target model: a small sample says little about rare buckets.
+PRIOR = 10 * BUCKETS
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _BLOCK = 1 << 16
 
@@ -110,27 +110,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled_sample(labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id") -> DataFrame:
-    """(label_id, good): at most about ``sample`` labelled ids, chosen by hash. Good: quality 1 and not toxic; ids with quality 1 that
+    """(label_id, good, fits): at most about ``sample`` labelled ids, chosen by hash; half of them fit the target model, half the cut. Good: quality 1 and not toxic; ids with quality 1 that
     are toxic are neither."""
     each = (labels.filter(quoted(doc_id).isNotNull() & F.col("quality").isNotNull()).groupBy(quoted(doc_id).alias("label_id"))
             .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")))
     clear = staged(each.filter((F.col("quality") == 0) | (F.col("toxic") == 0)).select("label_id", (F.col("quality") == 1).alias("good")))
     share = min(1.0, sample / max(1, clear.count()))
-    return staged(clear.filter(F.pmod(F.xxhash64("label_id", F.lit(SEED)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))))
+    h = F.xxhash64("label_id", F.lit(SEED))
+    return staged(clear.filter(F.pmod(h, F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).withColumn("fits", F.shiftright(h, 40).bitwiseAND(F.lit(1)) == 0))
 
 
 def log_ratios(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
     """log(target model / raw model) of every bucket."""
-    good = F.broadcast(sample.filter("good").select("label_id", "good"))  # at most SAMPLE rows
+    good = F.broadcast(sample.filter("good and fits").select("label_id", "good"))  # at most SAMPLE rows
     rows = docs.select(quoted(doc_id).alias("id"), quoted(text).alias("text")).join(good, F.col("id") == F.col("label_id"), "left").select(
         "text", F.coalesce("good", F.lit(False)).alias("good"))
     sums = rows.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     counts = np.zeros((2, BUCKETS))
     for bucket, raw, target in sums.collect():  # one row per bucket
         counts[:, bucket] = raw, target
-    total = np.maximum(counts.sum(axis=1, keepdims=True), 1.0)
-    raw, target = counts / total + SMOOTH / 1e6
-    return np.log(target) - np.log(raw)
+    n_raw, n_target = counts.sum(axis=1)
+    raw = (counts[0] + 1 / BUCKETS) / (n_raw + 1)
+    return np.log((counts[1] + PRIOR * raw) / (n_target + PRIOR)) - np.log(raw)
 
 
 def weigher(ratios: np.ndarray):
@@ -160,7 +161,7 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
 
 def best_cut(scored: DataFrame, sample: DataFrame) -> float | None:
     """The weight per feature that separates good and bad labelled documents best (mean of both shares); None without both kinds."""
-    known = scored.filter("n_features > 0").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    known = scored.filter("n_features > 0").join(F.broadcast(sample.filter("not fits")), F.col("doc_id") == F.col("label_id"))
     rows = known.select((F.col("log_weight") / F.col("n_features")).alias("w"), "good").groupBy("good").agg(
         F.percentile("w", [i / 1000 for i in range(1001)]).alias("at"), F.count(F.lit(1)).alias("n")).collect()
     marks = {r["good"]: np.array(r["at"]) for r in rows if r["n"]}

@@ -141,7 +141,7 @@ class _Archive:
             trained = zstandard.ZstdCompressionDict(b"".join(self.waiting)[:DICTIONARY_BYTES].ljust(8, b"\n"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         store, path = _opened(self.uri)
         store.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out = store.open_output_stream(path)
+        self.out = store.open_output_stream(path, compression=None)  # the name would have it compressed again
         content = zstandard.ZstdCompressor(level=3).compress(trained.as_bytes())
         self._put(struct.pack("<II", SKIPPABLE, len(content)) + content)
         self.packer = zstandard.ZstdCompressor(level=3, dict_data=trained, write_checksum=True, write_content_size=True)
@@ -233,7 +233,7 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
         for uri in given.column("archive").to_pylist():
             rows, held, position = [], 0, 0
             store, path = _opened(uri)
-            with store.open_input_stream(path) as stream:
+            with store.open_input_stream(path, compression=None) as stream:
                 parts = frames(stream)
                 while True:
                     try:
