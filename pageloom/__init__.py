@@ -1,4 +1,4 @@
-"""Spark-native operators for crawled pages, bilingual terms, translated segments and page regions."""
+"""Spark-native operators for fetched web pages, bilingual terms, translated segments and page regions."""
 
 from pageloom.session import build_session
 

@@ -1,4 +1,4 @@
-"""Pages, crawl plans and downloads."""
+"""Pages, listing plans and downloads."""
 
 from __future__ import annotations
 
@@ -58,25 +58,32 @@ def x1(t):
     return extract.extract_media_urls(t.fx_site).drop("total")
 
 
-@query("x1_external_scripts", """
-select page_id, 'https://cdn.example.net/' || page_id::varchar || '.png' as url, 'script' as origin from pages""")
+@query("x1_external_scripts", f"""
+with m as ({media_sql("fx_site")}), last as (select page_id, count(*) as n from m group by 1), p as (select page_id, url, coalesce(n, 0) as n from fx_site left join last using (page_id))
+select page_id, ord, url, origin from m
+union all select page_id, n + 1, {_resolve('url', "'shared.png'")}, 'script' from p
+union all select page_id, n + 2, 'https://cdn.example.net/shared.webp', 'script' from p
+union all select page_id, n + 3, 'https://cdn.example.net/' || page_id::varchar || '.png', 'script' from p""")
 def x1b(t):
-    made = t.pages.select("page_id", "url", F.concat("html", F.lit('<script src="/js/d.js"></script><script src="https://else.com/x.js"></script>')).alias("html"))
-    files = made.select(F.concat(F.regexp_extract("url", r"^[a-z]+://[^/?#]*", 0), F.lit("/js/d.js")).alias("script_url"), "page_id")
-    texts = files.groupBy("script_url").agg(F.concat_ws(";", F.sort_array(F.collect_set(F.concat(F.lit("p="), "page_id")))).alias("ids"))
-    scripts = texts.select("script_url", F.concat(F.lit("x='https://cdn.example.net/"), F.regexp_replace("ids", r"p=(\d+);?", "$1.png' 'https://cdn.example.net/"), F.lit("'")).alias("text"))
-    own = F.concat(F.lit("https://cdn.example.net/"), F.col("page_id").cast("string"), F.lit(".png"))
-    return extract.extract_media_urls(made, scripts).filter(F.col("url") == own).select("page_id", "url", "origin")
+    # one script that all pages of a host name, one of the page's own, one of another host
+    own = F.concat(F.lit("/js/p"), F.col("page_id").cast("string"), F.lit(".js"))
+    made = t.fx_site.select("page_id", "url", F.concat("html", F.lit('<script src="/js/d.js"></script><script src="'), own, F.lit('"></script><script src="https://else.com/x.js"></script>')).alias("html"))
+    host = F.regexp_extract("url", r"^[a-z]+://[^/?#]*", 0)
+    shared = made.select(F.concat(host, F.lit("/js/d.js")).alias("script_url")).distinct().withColumn(
+        "text", F.lit("""{"images": ["shared.png", 5]}; x = 'https://cdn.example.net/shared.webp'"""))
+    single = made.select(F.concat(host, own).alias("script_url"), F.concat(F.lit("x='https://cdn.example.net/"), F.col("page_id").cast("string"), F.lit(".png'")).alias("text"))
+    other = made.limit(1).select(F.lit("https://else.com/x.js").alias("script_url"), F.lit("x='https://else.com/x.png'").alias("text"))
+    return extract.extract_media_urls(made, shared.unionByName(single).unionByName(other)).select("page_id", "ord", "url", "origin")
 
 
 @query("n3_script_image_urls", """
 select page_id, item from (select page_id, trim(unnest(string_split(regexp_extract(html, '"images":\\[([^\\]]*)\\]', 1), ',')), ' "') as item from fx_pg)
 union all select page_id, 'https://q.example.com/' || page_id::varchar || '.JPEG' from fx_pg union all select page_id, 'a.png' from fx_pg""")
 def n3(t):
-    made = t.fx_pg.select("page_id", F.concat("html", F.lit("<script>'pics': [ 'no json' ], 'photo_list': [\"a.png\", 7], u='https://q.example.com/"),
+    made = t.fx_pg.select("page_id", F.concat("html", F.lit("<script>'pics': [ 'no json' ], 'photo_list': [\"a.png\", 7, null, {\"b\": \"c.png\"}], u='https://q.example.com/"),
                                               F.col("page_id").cast("string"), F.lit(".JPEG'</script>")).alias("html"))
     scripts = made.select("page_id", F.explode(H.inline_scripts("html")).alias("s")).select("page_id", F.explode(parsing.script_url_lists("s")).alias("i"))
-    return scripts.filter("i.raw <> '7'").select("page_id", F.col("i.raw").alias("item"))
+    return scripts.select("page_id", F.col("i.raw").alias("item"))
 
 
 @query("n4_srcset_urls", f"""
@@ -131,28 +138,29 @@ def a6(t):
 
 
 _TITLES = "select doc_id, lang, source, concat('[', source, '] ', lang, ' ', case doc_id % 2 when 0 then 'vol 1' else 'vol 12' end, ' ', text) as title from documents"
-_PREFIX = f"""(select lang, source, max(n) as n from (select lang, source, n, count(distinct left(title, n)) as d from ({_TITLES}), unnest(range(0, 200)) as r(n)
-  group by 1, 2, 3) where d = 1 group by 1, 2)"""
-_PREFIXED = f"""(select t.lang, t.source, rtrim(left(any_value(title), any_value(n)::bigint)) as p, count(*) as k from ({_TITLES}) t join {_PREFIX} x using (lang, source) group by 1, 2)"""
+# every title of a group lies between its smallest and its largest, so their common beginning is all titles'
+_PREFIXED = f"""(select lang, source, k, rtrim(left(lo, n::bigint)) as p from (select *, case when lo = hi then length(lo)
+  else list_max(list_filter(range(0, least(length(lo), length(hi)) + 1), lambda n: left(lo, n) = left(hi, n))) end as n
+  from (select lang, source, min(title) as lo, max(title) as hi, count(*) as k from ({_TITLES}) group by 1, 2)))"""
 
 
 @query("a5_common_prefix", f"""
 select lang, source, p as plain, case when k > 1 then case when strpos(reverse(p), ' ') > 0 and length(p) - strpos(reverse(p), ' ') > 0
-  then left(p, length(p) - strpos(reverse(p), ' ') + 1) else p end else '' end as cut from {_PREFIXED} where k > 1""")
+  then left(p, length(p) - strpos(reverse(p), ' ') + 1) else p end else '' end as cut from {_PREFIXED}""")
 def a5(t):
-    groups = t.sql(_TITLES).groupBy("lang", "source").agg(common_prefix("title").alias("plain"), common_prefix("title", True).alias("cut"), F.count(F.lit(1)).alias("k"))
-    return groups.filter("k > 1").drop("k")
+    groups = t.sql(_TITLES).groupBy("lang", "source").agg(common_prefix("title").alias("plain"), common_prefix("title", True).alias("cut"))
+    return groups
 
 
-@query("ud6_lcp_agg", f"select lang, source, p as prefix from {_PREFIXED} where k > 1")
+@query("ud6_lcp_agg", f"select lang, source, p as prefix from {_PREFIXED}")
 def ud6(t):
-    return t.sql(_TITLES).groupBy("lang", "source").agg(common_prefix("title").alias("prefix"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    return t.sql(_TITLES).groupBy("lang", "source").agg(common_prefix("title").alias("prefix"))
 
 
-@query("t37_sub_folder", f"""select doc_id, {S.sanitize(S.trim("substr(title, length(p) + 1)"))} as folder from ({_TITLES}) join {_PREFIXED} using (lang, source) where k > 1""")
+@query("t37_sub_folder", f"""select doc_id, {S.sanitize(S.trim("substr(title, length(p) + 1)"))} as folder from ({_TITLES}) join {_PREFIXED} using (lang, source)""")
 def t37(t):
     titles = t.sql(_TITLES)
-    prefixes = titles.groupBy("lang", "source").agg(common_prefix("title").alias("p"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    prefixes = titles.groupBy("lang", "source").agg(common_prefix("title").alias("p"))
     return titles.join(prefixes, ["lang", "source"]).select("doc_id", sub_folder("title", "p").alias("folder"))
 
 
@@ -173,7 +181,7 @@ def x4(t):
     from pageloom.plans.ordered import any_order_position
 
     plan = listing.plan_listing(t.fx_list, t.fx_list_page)
-    return any_order_position(plan, ["listing_id"], listing.crawl_order(), "place").select(
+    return any_order_position(plan, ["listing_id"], listing.visit_order(), "place").select(
         "listing_id", "page_no", "ord", "title", "url", "folder", "place")
 
 
@@ -187,7 +195,7 @@ def o5(t):
     from pageloom.plans.ordered import any_order_position
 
     media = extract.extract_media_urls(t.fx_pg).withColumn("listing_id", F.col("page_id") % 12)
-    return any_order_position(media, ["listing_id"], listing.crawl_order("page_id", "ord"), "place").select("page_id", "url", "place")
+    return any_order_position(media, ["listing_id"], listing.visit_order("page_id", "ord"), "place").select("page_id", "url", "place")
 
 
 _EXIST = "select '/d/' || (page_id % 3)::varchar as folder, (page_id % 40)::varchar || '.jpg' as name, (page_id % 2) as length from fx_pg where page_id % 7 = 0"
@@ -253,7 +261,7 @@ e as (select run_id, url, min(attempt_no) filter (what <> 'retryable') as at, ma
 f as (select j.* from j join e on j.run_id = e.run_id and j.url = e.url and j.attempt_no = coalesce(e.at, e.last)),
 r as (select run_id, url, idx, folder, referer, (attempt_no + 1)::bigint as tries,
   case when what in ('success', 'skipped') then what when what = 'permanent' or attempt_no >= 3 then 'failed' else 'retrying' end as outcome,
-  case when what not in ('success', 'skipped') then 'HTTP ' || http_status::varchar end as error,
+  case when what not in ('success', 'skipped') then coalesce('HTTP ' || http_status::varchar, error) end as error,
   case when what = 'retryable' and attempt_no < 3 then least(power(2.0, attempt_no + 1), 30.0)::double end as next_wait from f)"""
 
 

@@ -17,15 +17,19 @@ from pageloom.streaming import jobs
 big = lambda c: F.col(c).cast("bigint") if isinstance(c, str) else c.cast("bigint")
 
 
+#: Files, and so tasks, of a micro-batch.
+FILES = 4
+
+
 def staged(df, name: str, order: str, parts: int = 2):
-    """Write a table in ``order`` as successive files and read it back as a stream, one write per micro-batch."""
+    """Write a table in ``order`` as successive sets of ``FILES`` files and read it back as a stream, one set per micro-batch."""
     spark = df.sparkSession
     path = snapshots.scratch_path(spark, name)
-    laid = pin(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
+    laid = pin(df.repartitionByRange(parts * FILES, order).withColumn("_part", F.spark_partition_id()))
     for part in range(parts):
-        # the file source takes files by age
-        laid.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        # the file source takes files by age; every task of a part writes one file
+        laid.filter(F.floor(F.col("_part") / FILES) == part).drop("_part").write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def run(writer, spark):
@@ -113,7 +117,7 @@ def st6(t):
     return t.spark.read.parquet(f"{root}/out").select("series_id", "seg_id", "enforced")
 
 
-@query("st7_stream_cached_translate", "select page_id, seg_no, reverse(src) as translation from (select page_id, seg_no, trans as src from fx_conv where trans <> '')")
+@query("st7_stream_cached_translate", "select page_id, seg_no, reverse(src) as translation from (select page_id, seg_no, trans as src from fx_conv)")
 def st7(t):
     root = snapshots.scratch_path(t.spark, "cached")
 
@@ -121,7 +125,7 @@ def st7(t):
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     sink = jobs.cached_translate_sink(f"{root}/cache", lambda xs: [x[::-1] for x in xs], write, "m", "zh")
-    rows = t.fx_conv.filter("trans <> ''").select("page_id", "seg_no", F.col("trans").alias("src"))
+    rows = t.fx_conv.select("page_id", "seg_no", F.col("trans").alias("src"))
     run(staged(rows, "conv", "page_id", 2).writeStream.option("checkpointLocation", f"{root}/offsets").foreachBatch(sink), t.spark)
     return t.spark.read.parquet(f"{root}/out").select("page_id", "seg_no", "translation")
 

@@ -25,7 +25,8 @@ select conv_id as page_id, turn as seg_no, text as src, case turn % 4 when 0 the
 select cast(user_id % 10 as bigint) as run_id, concat('https://h', cast(user_id % 7 as string), '.example.com/i/', cast(event_id % 500 as string), case when event_id % 3 = 0 then '.jpg' else '' end) as url,
   event_id % 500 as idx, case when event_id % 4 = 0 then '' else concat('f', cast(event_id % 6 as string)) end as folder, case when event_id % 5 = 0 then '' else 'https://ref.example.com/' end as referer,
   row_number() over (partition by user_id % 10, user_id % 7, event_id % 500, event_id % 3 = 0 order by event_id) - 1 as attempt_no,
-  case event_type when 'error' then 503 when 'signup' then 404 when 'view' then 429 else 200 end as http_status,
+  case when event_id % 13 = 0 then null when event_type = 'error' then 503 when event_type = 'signup' then 404 when event_type = 'view' then 429 else 200 end as http_status,
+  case when event_id % 13 = 0 then concat('timed out after ', cast(event_id % 40 as string), ' s') end as error,
   case when event_id % 5 = 0 then 'text/html' else 'image/jpeg' end as content_type, ts from events
 """,
     "fx_ev": """

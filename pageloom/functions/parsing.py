@@ -106,8 +106,10 @@ def script_url_lists(script: ColumnLike) -> Column:
     lists = []
     for q in ('"', "'"):
         raw = F.regexp_extract_all(col(script), F.lit(rf"(?is){q}{L.SCRIPT_LIST_KEYS}{q}\s*:\s*(\[.*?\])"), F.lit(1))
-        arrays = F.transform(raw, lambda a: F.coalesce(F.from_json(a, "array<string>", STRICT), F.array().cast("array<string>")))
-        lists.append(F.transform(F.flatten(arrays), lambda u: strip(u)))
+        arrays = F.transform(raw, lambda a: F.coalesce(F.from_json(a, "array<variant>", STRICT), F.array().cast("array<variant>")))
+        # only items that are JSON strings are addresses
+        texts = F.filter(F.flatten(arrays), lambda v: F.schema_of_variant(v) == "STRING")
+        lists.append(F.transform(texts, lambda v: strip(F.variant_get(v, "$", "string"))))
     quoted = F.regexp_extract_all(col(script), F.lit(L.SCRIPT_QUOTED_IMAGE), F.lit(1))
     as_item = lambda checked: (lambda u: F.struct(u.alias("raw"), F.lit(checked).alias("ready")))
     items = F.concat(*[F.transform(a, as_item(False)) for a in lists], F.transform(quoted, as_item(True)))

@@ -49,7 +49,7 @@ def filename_from_url(url: ColumnLike, default: str = "") -> Column:
 
 
 def gallery_page_url(url: ColumnLike, page: ColumnLike) -> Column:
-    """Page number as ``p=``; the test is on the bare substring, as the crawl plan expects."""
+    """Page number as ``p=``; the test is on the bare substring, as the listing plan expects."""
     url, page = col(url), col(page).cast("string")
     added = F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), F.lit("p="), page)
     return F.when(url.contains("p="), F.regexp_replace(url, F.lit(r"([?&]p=)\d+"), F.concat(F.lit("$1"), page))).otherwise(added)

@@ -40,13 +40,13 @@ def _tag_candidates(tags: Column) -> Column:
     return let(read, lambda tags_read: F.concat(F.flatten(F.transform(tags_read, sources)), F.flatten(F.transform(tags_read, sets))))
 
 
-def _script_candidates(scripts: Column, origin: str) -> Column:
-    return F.transform(F.flatten(F.transform(scripts, script_url_lists)), lambda i: _candidate(i["raw"], origin, i["ready"]))
+def _script_candidates(items: Column, origin: str) -> Column:
+    return F.transform(items, lambda i: _candidate(i["raw"], origin, i["ready"]))
 
 
 def media_array(html: ColumnLike, base: ColumnLike, external: Column | None = None) -> Column:
     """Distinct (url, origin) of a page in the order of first sight: attributes, srcset, inline scripts, script files."""
-    found = [_tag_candidates(H.tags(H.markup(html), "img", "source")), _script_candidates(H.inline_scripts(html), "inline")]
+    found = [_tag_candidates(H.tags(H.markup(html), "img", "source")), _script_candidates(F.flatten(F.transform(H.inline_scripts(html), script_url_lists)), "inline")]
     if external is not None:
         found.append(_script_candidates(external, "script"))
     usable = F.filter(F.concat(*[f.cast(_CANDIDATES) for f in found]), lambda c: (c["raw"] != "") & (c["ready"] | ~c["raw"].startswith("data:")))
@@ -55,8 +55,11 @@ def media_array(html: ColumnLike, base: ColumnLike, external: Column | None = No
         (c["ready"] | c["typed"]).alias("sure")))
 
     def first(seen: Column) -> Column:
-        urls = F.transform(seen, lambda f: f["url"])
-        return F.filter(seen, lambda f, i: F.array_position(urls, f["url"]) == i + 1)
+        # by address and place: the first of each address stays, then places order what is left
+        ranked = F.array_sort(F.transform(seen, lambda f, i: F.struct(f["url"].alias("url"), i.alias("i"), f["origin"].alias("origin"), f["sure"].alias("sure"))))
+        fresh = let(ranked, lambda r: F.filter(r, lambda f, k: (k == 0) | (F.get(r, k - 1)["url"] != f["url"])))
+        placed = F.array_sort(F.transform(fresh, lambda f: F.struct(f["i"].alias("i"), f["url"].alias("url"), f["origin"].alias("origin"), f["sure"].alias("sure"))))
+        return F.transform(placed, lambda f: F.struct(f["url"].alias("url"), f["origin"].alias("origin"), f["sure"].alias("sure")))
 
     return let(F.filter(full, lambda f: f["sure"] | is_image_url(f["url"])), first)
 
@@ -77,10 +80,12 @@ def extract_media_urls(pages: DataFrame, scripts: DataFrame | None = None, keep:
     """
     source, external = pages, None
     if scripts is not None:
-        texts = external_scripts(pages).join(scripts, "script_url").groupBy("page_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"]).alias("_scripts"))
-        source = pages.join(texts, "page_id", "left")
-        external = F.coalesce("_scripts", F.array().cast("array<string>"))
+        # a script is read once, however many pages name it; only its short list of addresses meets the pages
+        lists = scripts.select("script_url", script_url_lists("text").alias("items")).filter(F.size("items") > 0)
+        found = external_scripts(pages).join(lists, "script_url").groupBy("page_id").agg(
+            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "items"))), lambda s: s["items"])).alias("_items"))
+        source = pages.join(found, "page_id", "left")
+        external = F.coalesce("_items", F.array().cast("array<struct<raw:string,ready:boolean>>"))
     numbered = let(media_array("html", "url", external), lambda found: F.transform(found, lambda m, i: F.struct(
         (i + 1).cast("bigint").alias("ord"), F.size(found).cast("bigint").alias("total"), m["url"].alias("url"), m["origin"].alias("origin"))))
     return source.select("page_id", *keep, F.explode(numbered).alias("m")).select("page_id", *keep, "m.*")

@@ -1,4 +1,4 @@
-"""Which crawl plan an address belongs to."""
+"""Which listing plan an address belongs to."""
 
 from __future__ import annotations
 

@@ -6,6 +6,8 @@ tasks, one call per batch; a failing batch never fails the job.
 
 from __future__ import annotations
 
+import html as html_text
+import json
 import re
 from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import urljoin, urlparse
@@ -135,14 +137,17 @@ class ExplodeMedia:
         for tag in tags:
             attrs: dict[str, str] = {}
             for key, value in re.findall(r"""([A-Za-z_:][\w:.\-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", tag):
-                attrs.setdefault(key.lower(), value.strip("\"'").replace("&amp;", "&"))
+                attrs.setdefault(key.lower(), html_text.unescape(value.strip("\"'")))
             typed = "image" in attrs.get("type", "")
             plain += [(attrs.get(n, "").strip(), typed) for n in L.SOURCE_ATTRIBUTES]
             sets += [(p.split()[0], False) for p in attrs.get("srcset", "").split(",") if p.strip()]
         for script in scripts:
             for quote in "\"'":
-                for items in re.findall(rf"(?is){quote}{L.SCRIPT_LIST_KEYS}{quote}\s*:\s*\[(.*?)\]", script):
-                    listed += [(i, False) for i in re.findall(r'"([^"]*)"', items)]
+                for items in re.findall(rf"(?is){quote}{L.SCRIPT_LIST_KEYS}{quote}\s*:\s*(\[.*?\])", script):
+                    try:
+                        listed += [(i.strip(), False) for i in json.loads(items) if isinstance(i, str)]
+                    except ValueError:
+                        continue
             listed += [(m[0], True) for m in re.findall(L.SCRIPT_QUOTED_IMAGE, script)]
         seen: dict[str, None] = {}
         for raw, accepted in plain + sets + listed:

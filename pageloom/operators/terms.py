@@ -63,10 +63,11 @@ def load_enabled(store: DataFrame) -> DataFrame:
 
 
 def list_terms(store: DataFrame, q: str | None = None, status: str | None = None) -> DataFrame:
-    """Pending first, then latest change. ``q`` is a LIKE fragment; case folds beyond ASCII too."""
+    """Pending first, then latest change. ``q`` is a LIKE fragment without an escape character; case folds beyond ASCII too."""
     out = store
     if q:
-        out = out.filter(F.col("zh").ilike(f"%{q}%") | F.col("vi").ilike(f"%{q}%"))
+        like = "%" + q.replace("\\", "\\\\") + "%"
+        out = out.filter(F.col("zh").ilike(like) | F.col("vi").ilike(like))
     if status in ("enabled", "pending"):
         out = out.filter(F.col("enabled") == (status == "enabled"))
     return out.orderBy(F.col("enabled"), F.coalesce("updated", "created").desc(), F.col("term_id").desc())

@@ -33,7 +33,9 @@ def resolve_attempts(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
     Two keyed aggregates in one pass, combined before the shuffle.
     """
     judged = attempts.filter(F.col("attempt_no") <= max_retries).withColumn("_what", http_outcome("http_status", "content_type", "url"))
-    row = F.struct("idx", "folder", "referer", "attempt_no", "http_status", "_what")
+    # network failures have no status; what they said is carried along
+    said = F.col("error") if "error" in attempts.columns else F.lit(None).cast("string")
+    row = F.struct("idx", "folder", "referer", "attempt_no", "http_status", "_what", said.alias("_said"))
     ends = F.when(F.col("_what") != "retryable", F.col("attempt_no"))
     best = judged.groupBy("run_id", "url").agg(
         F.min_by(row, ends).alias("ended"), F.max_by(row, "attempt_no").alias("latest"), F.min(ends).alias("_at"))
@@ -43,7 +45,7 @@ def resolve_attempts(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
     return final.select(
         "run_id", "url", "r.idx", "r.folder", "r.referer", (F.col("r.attempt_no") + 1).cast("bigint").alias("tries"),
         F.when(what.isin("success", "skipped"), what).when(spent | (what == "permanent"), "failed").otherwise("retrying").alias("outcome"),
-        F.when(~what.isin("success", "skipped"), F.concat(F.lit("HTTP "), F.col("r.http_status").cast("string"))).alias("error"),
+        F.when(~what.isin("success", "skipped"), F.coalesce(F.concat(F.lit("HTTP "), F.col("r.http_status").cast("string")), F.col("r._said"))).alias("error"),
         F.when((what == "retryable") & ~spent, backoff_seconds(F.col("r.attempt_no") + 1)).alias("next_wait"))
 
 

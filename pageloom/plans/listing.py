@@ -1,4 +1,4 @@
-"""Crawl plans of listing pages, as tables."""
+"""Visit plans of listing pages, as tables."""
 
 from __future__ import annotations
 
@@ -48,9 +48,9 @@ def _folders(items: DataFrame, output: str, style: str) -> DataFrame:
 
 
 def plan_listing(listings: DataFrame, pages: DataFrame, style: str = "gallery", output: str = "output") -> DataFrame:
-    """listings: listing_id, url. pages: url, html. One row per item to crawl.
+    """listings: listing_id, url. pages: url, html. One row per item to visit.
 
-    ``page_no`` and ``ord`` give the crawl order: highest page first, each page from its end.
+    ``page_no`` and ``ord`` give the visit order: highest page first, each page from its end.
     """
     html = pages.select(F.col("url").alias("page_url"), "html")
     mode = "query" if style == "gallery" else "path"
@@ -67,13 +67,13 @@ def plan_listing(listings: DataFrame, pages: DataFrame, style: str = "gallery",
     items = fetched.select("listing_id", "page_no", F.posexplode(read).alias("ord", "i")).select(
         "listing_id", "page_no", F.col("ord").cast("bigint").alias("ord"), "i.*")
     if style == "article":
-        # the crawl meets a repeated article first on the highest page, lowest place first from its end
+        # the visit meets a repeated article first on the highest page, lowest place first from its end
         items = best_per_group(items, ["listing_id", "url"], F.struct(-F.col("page_no"), -F.col("ord")))
     else:
         items = items.withColumn("url", slide_url("url")).filter(F.col("url").isNotNull())
     return _folders(items, output, style)
 
 
-def crawl_order(page_no: ColumnLike = "page_no", ord_col: ColumnLike = "ord") -> list[Column]:
+def visit_order(page_no: ColumnLike = "page_no", ord_col: ColumnLike = "ord") -> list[Column]:
     """Highest page first, each page from its end (ascending sort keys)."""
     return [-col(page_no), -col(ord_col)]

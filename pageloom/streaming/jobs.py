@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
@@ -20,6 +21,9 @@ from pageloom.sources.snapshots import read_snapshot, read_terms, write_snapshot
 
 BatchSink = Callable[[DataFrame, int], None]
 
+#: Distinct texts that are numbered together before they are cut into calls.
+PART_TEXTS = 10_000
+
 
 def stream_progress(journal: DataFrame) -> DataFrame:
     """Latest counters per run; write in update or complete mode."""
@@ -125,8 +129,10 @@ def cached_translate_sink(cache_path: str, fn: BatchFunction, write: Callable[[D
         cache = read_snapshot(spark, cache_path, CACHE_SCHEMA)
         looked = pin(cache_lookup(batch, cache, model, lang))
         missing = looked.filter("cached is null").groupBy("key").agg(F.min("src").alias("src"))
-        # spread by a part of the key: a micro-batch is no group of its own
-        keyed = missing.withColumns({"part": F.pmod(F.xxhash64("key"), F.lit(64)), "pos": F.xxhash64("key")})
+        # parts by hash, as many as the batch needs, each numbered from 1
+        parts = max(1, math.ceil(missing.count() / PART_TEXTS))
+        part = F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part")
+        keyed = missing.select("key", "src", part).withColumn("pos", F.row_number().over(Window.partitionBy("part").orderBy("key")))
         made = pin(batch_map(keyed, fn, ["part"], "pos").select("key", "src", "trans", F.current_timestamp().alias("ts")))
         new = cache_entries(made.select("src", "trans", "ts"), model, lang)
         write_snapshot(precedence_union(cache, new, ["key"]), cache_path)

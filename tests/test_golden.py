@@ -136,3 +136,34 @@ def test_names(spark):
     assert value(spark, urls.sanitize_name("t"), t="a%2Fb:c%zz+d. ") == "a_b_c%zz+d"
     assert value(spark, urls.sanitize_name("t"), t=". .") == "image"
     assert value(spark, urls.url_filename("t", F.lit(12345)), t="https://x/y") == "image_12345_" + __import__("hashlib").md5(b"https://x/y").hexdigest()[:8] + ".jpg"
+
+
+def test_listing_reads_a_backslash_as_itself(spark):
+    from pageloom.operators.terms import list_terms
+
+    store = spark.createDataFrame([(1, "a\\z", "x", True), (2, "a%z", "x", True), (3, "az", "x", True)], "term_id long, zh string, vi string, enabled boolean").withColumns(
+        {"updated": F.lit(None).cast("timestamp"), "created": F.current_timestamp()})
+    assert [r.term_id for r in list_terms(store, "a\\").collect()] == [1]
+    assert {r.term_id for r in list_terms(store, "a_z").collect()} == {1, 2}
+
+
+def test_failed_attempts_say_why(spark):
+    from pageloom.plans.downloads import resolve_attempts
+
+    rows = [(1, "u", 0, "", "", n, None, None, f"timed out {n}") for n in range(4)] + [(1, "v", 0, "", "", 0, 404, None, None)]
+    attempts = spark.createDataFrame(rows, "run_id long, url string, idx long, folder string, referer string, attempt_no int, http_status int, content_type string, error string")
+    got = {r.url: (r.outcome, r.error) for r in resolve_attempts(attempts).collect()}
+    assert got == {"u": ("failed", "timed out 3"), "v": ("failed", "HTTP 404")}
+    assert {r.url: r.error for r in resolve_attempts(attempts.drop("error")).collect()} == {"u": None, "v": "HTTP 404"}
+
+
+def test_table_function_and_frame_agree_on_escapes(spark):
+    from pageloom.operators.extract import extract_media_urls
+    from pageloom.operators.stages import register_table_functions
+
+    html = """<img data-src='b&quot;.png'><script>{"images": ["https:\\/\\/h.x\\/p\\/1.jpg", 7, "c.png"]}</script><img src=c.png>"""
+    pages = spark.createDataFrame([(1, "https://h.x/a/", html)], "page_id long, url string, html string")
+    register_table_functions(spark)
+    pages.createOrReplaceTempView("escaped_pages")
+    by_sql = [r.url for r in spark.sql("select m.* from escaped_pages p, lateral explode_media(p.html, p.url) m order by ord").collect()]
+    assert by_sql == [r.url for r in extract_media_urls(pages).orderBy("ord").collect()] and "https://h.x/p/1.jpg" in by_sql
