@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.catalog.views import VIEWS
-from pageloom.session import spread
+from pageloom.session import ship_package, spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels"
           " conversations").split()
@@ -46,6 +46,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        ship_package(spark)
         # the SQL side reads timestamps as UTC
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,21 @@ def build_session(app: str = "pageloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: functions of its modules are pickled by name, and workers
+    need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_pageloom_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / "pageloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(home.rglob("*.py")):
+            archive.write(source, source.relative_to(home.parent))
+    context.addPyFile(str(target))
+    context._pageloom_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a local one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
