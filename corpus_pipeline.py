@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm import decontamination, mixing, quality_classifier, sharding, simhash
 from pageloom.llm.common import staged
+from pageloom.session import ship_package
 
 #: Sampling, grouping and the seeded layout of files have no SQL form; tests hold every stage against a plain version.
 ORACLE_SQL = None
@@ -13,11 +14,13 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the importance resampling keeps."""
+    ship_package(spark)
     return quality_classifier.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints: the one with the smallest id."""
+    ship_package(spark)
     return simhash.deduplicated(docs)
 
 

@@ -20,6 +20,7 @@ from pageloom.llm import (
     warc,
 )
 from pageloom.llm.sql import MIXING_SQL, PHRASES_SQL, URLS_SQL, WARC_SQL, licenses_sql
+from pageloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,7 @@ ORACLES: dict[str, str] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
