@@ -24,6 +24,7 @@ from pageloom.functions.text import (
     fix_closed_vocab,
     fix_ocr_source,
     is_watermark,
+    let,
     matches,
     pattern_count,
     strip,
@@ -63,23 +64,37 @@ def finalise_translation(df: DataFrame, src: str = "src", trans: str = "trans",
     return picked.withColumn(out, F.when(F.col(out).isin("", L.JOINER), F.col(out)).otherwise(fixed))
 
 
+def _pieces(text: Column, least: Column, most: Column, block: int = 1024) -> Column:
+    """What stands at each place of a text, ``most`` characters long, shorter at the end but not below ``least``. Cut by way of
+    blocks, as reaching a place in a long text costs its distance."""
+
+    def inside(start: Column) -> Column:
+        part = F.substring(text, start + 1, F.lit(block) + most - 1)
+        places = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(block), F.length(t)))), lambda i: F.substring(t, i, most))
+        return let(part, places)
+
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(block))
+    return F.filter(F.flatten(F.transform(starts, inside)), lambda p: F.length(p) >= least)
+
+
 def enforce_terms(df: DataFrame, terms: DataFrame, seg_key: Sequence[str], term_key: Sequence[str] = (), src: str = "src",
                   trans: str = "trans", out: str = "enforced") -> DataFrame:
     """Replace source terms left in a translation, longest first, unless their fixed translation is there.
 
-    terms: term_key..., zh (unique within it), vi, pos. Terms are found by equality: a source is
-    cut into its substrings of the lengths that occur among the terms, so no text meets a term it lacks.
+    terms: term_key..., zh (unique within it), vi, pos. A source gives one piece per place, as long as the longest term;
+    its beginning, as long as the shortest term, meets the terms that begin alike, and the piece tells whether the whole
+    term stands there. Rows before the join are bounded by the length of the text.
     """
-    lengths = terms.agg(F.coalesce(F.collect_set(F.length("zh")), F.array().cast("array<int>")).alias("n")).scalar()
-    text = F.col(src)
-    pieces = F.flatten(F.transform(F.col("_lengths"), lambda n: F.when(
-        F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
-                                         lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))))
-    cut = df.withColumn("_lengths", lengths).select(
-        *seg_key, *[k for k in term_key if k not in seg_key], F.explode(F.array_distinct(pieces)).alias("zh"))
-    found = cut.join(terms.select(*term_key, "zh", "vi", "pos"), [*term_key, "zh"])
+    terms = terms.filter(F.col("zh") != "")
+    bound = lambda of: terms.agg(of(F.length("zh")).alias("n")).scalar()
+    pieces = _pieces(F.coalesce(F.col(src), F.lit("")), F.col("_least"), F.col("_most"))
+    cut = df.withColumns({"_least": bound(F.min), "_most": bound(F.max)}).filter(F.col("_least").isNotNull()).select(
+        *seg_key, *[k for k in term_key if k not in seg_key], "_least", F.explode(F.array_distinct(pieces)).alias("_piece"))
+    heads = cut.withColumn("_head", F.left("_piece", F.col("_least"))).drop("_least")
+    fixed = terms.withColumn("_least", bound(F.min)).select(*term_key, "zh", "vi", "pos", F.left("zh", F.col("_least")).alias("_head"))
+    found = heads.join(fixed, [*term_key, "_head"]).filter(F.col("_piece").startswith(F.col("zh")))
     per_seg = found.groupBy(*seg_key).agg(
-        F.array_sort(F.collect_list(F.struct((-F.length("zh")).alias("n"), "pos", "zh", "vi"))).alias("_terms"))
+        F.array_sort(F.collect_set(F.struct((-F.length("zh")).alias("n"), "pos", "zh", "vi"))).alias("_terms"))
 
     def step(acc: Column, term: Column) -> Column:
         left = acc.contains(term["zh"]) & ~F.lower(acc).contains(F.lower(term["vi"]))

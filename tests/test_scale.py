@@ -98,3 +98,14 @@ def test_idempotent(spark, build):
 def test_slots_have_the_asked_size(spark):
     rows = spark.createDataFrame([(["a"], "x\ny\nz", 2), ([], "", 3), (["a", "b", "c"], "", 1)], "p array<string>, r string, n int")
     assert [r.s for r in rows.select(text.align_slots("p", "r", "n").alias("s")).collect()] == [["x", "y"], ["", "", ""], ["a"]]
+
+
+def test_terms_in_a_very_long_source(spark):
+    from pageloom.operators.segments import enforce_terms
+
+    words = [f"词{i}語" for i in range(40)]
+    src = "".join(f"{chr(0x4E00 + i % 5000)}" for i in range(100_000)) + "".join(words)
+    rows = spark.createDataFrame([(1, 1, src, " ".join(words)), (1, 2, "词", "词1語"), (1, 3, None, "词1語"), (2, 4, src, "词1語")], "series_id long, seg_id long, src string, trans string")
+    terms = spark.createDataFrame([(1, w, f"T{i}.", i) for i, w in enumerate(words)] + [(1, "缺", "none", 99), (1, "", "blank", 100)], "series_id long, zh string, vi string, pos int")
+    got = {r.seg_id: r.enforced for r in enforce_terms(rows, terms, ["seg_id"], ["series_id"]).collect()}
+    assert got == {1: " ".join(f"T{i}." for i in range(40)), 2: "词1語", 3: "词1語", 4: "词1語"}
