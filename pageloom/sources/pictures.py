@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 
 
@@ -23,18 +23,19 @@ def png_bytes(data: bytes, width: int, height: int) -> bytes:
 
 
 def write_png_files(images: DataFrame, path: str, broken: Column) -> int:
-    """One file per row (page_id, width, height, data) on storage every executor mounts; returns the number written."""
-    target = path.removeprefix("file:")
+    """One file per row (page_id, width, height, data) below a folder given as URI (or plain local path); returns the number written."""
+    uri = path if ":" in path else f"file://{path}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(target, exist_ok=True)
+        store, target = pafs.FileSystem.from_uri(uri)
+        store.create_dir(target, recursive=True)
         for frame in frames:
             for row in frame.itertuples(index=False):
                 body = b"no picture" if row.broken else png_bytes(bytes(row.data), row.width, row.height)
                 # a retried task writes the same file again
-                with open(f"{target}/{row.page_id}.png.part", "wb") as out:
+                with store.open_output_stream(f"{target}/{row.page_id}.png.part") as out:
                     out.write(body)
-                os.replace(f"{target}/{row.page_id}.png.part", f"{target}/{row.page_id}.png")
+                store.move(f"{target}/{row.page_id}.png.part", f"{target}/{row.page_id}.png")
             yield pd.DataFrame({"files": [len(frame)]})
 
     written = images.select("page_id", "width", "height", "data", broken.alias("broken")).mapInPandas(run, "files long")

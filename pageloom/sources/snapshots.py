@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pageloom.session import checkpoint_dir
 
 TERM_SCHEMA = ("term_id bigint, zh string, vi string, enabled boolean, sources array<string>, created timestamp,"
                " updated timestamp")
-_POINTER = "seq bigint, version string"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -24,22 +23,44 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
+class StoreChanged(RuntimeError):
+    """Another writer added a version since this one began."""
+
+
+def _store(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _latest(spark: SparkSession, path: str) -> int:
+    """Number of the newest version, 0 without one. The pointer log is a folder of one short file per version, named by number."""
+    store, folder = _store(spark, path)
+    if not store.exists(folder):
+        return 0
+    return max((int(f.getPath().getName()) for f in store.listStatus(folder) if f.getPath().getName().isdigit()), default=0)
+
+
 def current_version(spark: SparkSession, path: str) -> str | None:
-    """Latest entry of the pointer log; the log holds one short row per version."""
-    if not folder_exists(spark, f"{path}/versions"):
-        return None
-    log = spark.read.schema(_POINTER).json(f"{path}/versions")
-    return log.agg(F.max_by("version", "seq").alias("version")).first()["version"]
+    number = _latest(spark, path)
+    return spark.read.text(f"{path}/versions/{number:018d}").first()["value"] if number else None
 
 
 def write_snapshot(df: DataFrame, path: str, partitions: int | None = None) -> str:
-    """Write the next version beside the old one, then append to the pointer log. Readers never see a half table."""
+    """Write the next version beside the old one, then add its pointer. Readers never see a half table. The pointer's number
+    follows the version that was current when the write began and is never overwritten: of two writers the later one fails."""
     spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
+    number, version = _latest(spark, path) + 1, f"v-{uuid.uuid4().hex}"
     out = df if partitions is None else df.repartition(partitions)
     out.write.mode("errorifexists").parquet(f"{path}/{version}")
-    pointer = spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("seq"), F.lit(version).alias("version"))
-    pointer.coalesce(1).write.mode("append").json(f"{path}/versions")
+    store, folder = _store(spark, path)
+    if _latest(spark, path) >= number:
+        raise StoreChanged(f"{path} got another version meanwhile")
+    try:
+        pointer = store.create(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:018d}"), False)
+    except Py4JJavaError as error:
+        raise StoreChanged(f"{path} got another version meanwhile") from error
+    pointer.write(bytearray(version.encode()))
+    pointer.close()
     return version
 
 

@@ -109,3 +109,22 @@ def test_terms_in_a_very_long_source(spark):
     terms = spark.createDataFrame([(1, w, f"T{i}.", i) for i, w in enumerate(words)] + [(1, "缺", "none", 99), (1, "", "blank", 100)], "series_id long, zh string, vi string, pos int")
     got = {r.seg_id: r.enforced for r in enforce_terms(rows, terms, ["seg_id"], ["series_id"]).collect()}
     assert got == {1: " ".join(f"T{i}." for i in range(40)), 2: "词1語", 3: "词1語", 4: "词1語"}
+
+
+def test_of_two_writers_the_later_one_fails(spark, monkeypatch):
+    import pytest
+
+    from pageloom.sources import snapshots
+
+    path, df = snapshots.scratch_path(spark, "store"), spark.range(3)
+    assert snapshots.current_version(spark, path) is None
+    first = snapshots.write_snapshot(df, path)
+    latest = snapshots._latest
+    seen = iter([0])  # this writer began before the first version was there
+    monkeypatch.setattr(snapshots, "_latest", lambda *a: next(seen, latest(*a)))
+    with pytest.raises(snapshots.StoreChanged):
+        snapshots.write_snapshot(df, path)
+    monkeypatch.undo()
+    assert snapshots.current_version(spark, path) == first
+    second = snapshots.write_snapshot(df.limit(1), path)
+    assert snapshots.current_version(spark, path) == second and snapshots.read_snapshot(spark, path, "id bigint").count() == 1
