@@ -7,6 +7,7 @@ from pageloom.catalog import sql_parts as S
 from pageloom.catalog.flow import vocab_sql
 from pageloom.catalog.registry import ORACLES, with_views
 from pageloom.catalog.sql_parts import trim
+from pageloom.functions import lexicon as L
 
 NOW = term_store.NOW
 
@@ -89,3 +90,34 @@ e as (select a.page_id, list([a.region_id, b.region_id, case when a.n >= b.n the
 g as (select page_id, list_reduce(edges, lambda acc, x: case when list_contains(acc, x[1]) or list_contains(acc, x[2]) then acc
   else list_append(acc, case when x[3] = 1 then x[2] else x[1] end) end, []::int[]) as gone from e)
 select c.page_id, c.region_id from c left join g using (page_id) where g.gone is null or not list_contains(g.gone, c.region_id)""")
+
+# a character, a word (or a single Han character) five times in a row; or, of ten words or more, two words that stand in the rest again
+# and three times at least in the whole
+_RUN = " and ".join(f"x is not distinct from lag(x, {k}) over w" for k in range(1, 5))
+add("f17_is_repetitive", rf"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '\S+') as ws from documents),
+runs as (select doc_id from (select doc_id, x is not null and {_RUN} as five from (
+    select doc_id, 0 as kind, unnest(string_split(t, '')) as x, unnest(range(length(t))) as i from d
+    union all select doc_id, 1, unnest(g), unnest(range(len(g))) from (select doc_id, regexp_extract_all(t, '[一-鿿]|\S+') as g from d))
+  window w as (partition by doc_id, kind order by i)) group by 1 having bool_or(five)),
+phrases as (select doc_id, t, ws, i, ws[i] || ' ' || ws[i + 1] as p from (select doc_id, t, ws, unnest(range(1, len(ws) - 3)) as i from d where len(ws) >= 10)),
+again as (select distinct doc_id from phrases where (length(t) - length(replace(t, p, ''))) // length(p) >= 3 and contains(array_to_string(ws[i + 2:], ' '), p))
+select doc_id, length({trim('t')}) >= 5 and (doc_id in (select doc_id from runs) or doc_id in (select doc_id from again)) as repetitive from d""")
+
+_PAIRS_OF = "map {" + ", ".join(f"{S.q(o)}: {S.q(c)}" for o, c in L.BRACKETS) + "}"
+_OPENING = "[" + ", ".join(S.q(o) for o, _ in L.BRACKETS) + "]"
+_CLOSING = "[" + ", ".join(S.q(c) for c in dict.fromkeys(c for _, c in L.BRACKETS)) + "]"
+add("t21_repair_brackets", f"""
+with recursive base as (select id, {trim('txt')} as t from (select doc_id as id, text || ' (a ]b' || chr(39) || ' 【c) 」' as txt from documents
+  union all select -1 - seg_id, src || trans from fx_seg)),
+ch as (select id, unnest(string_split(t, '')) as c, unnest(range(length(t))) as loc from base),
+mark as (select id, loc, c, row_number() over (partition by id order by loc) as k from ch where list_contains({_OPENING}, c) or list_contains({_CLOSING}, c)),
+walk as (
+  select id, 0::bigint as k, []::struct(place bigint, mark varchar)[] as stack, []::struct(place bigint, mark varchar)[] as fixed from base
+  union all
+  select w.id, m.k, case when list_contains({_OPENING}, m.c) then list_append(w.stack, {{'place': m.loc, 'mark': m.c}}) else w.stack[:-2] end,
+    case when not list_contains({_OPENING}, m.c) and len(w.stack) > 0 then [w.stack[-1], {{'place': m.loc, 'mark': ({_PAIRS_OF})[w.stack[-1].mark]}}] else []::struct(place bigint, mark varchar)[] end
+  from walk w join mark m on w.id = m.id and m.k = w.k + 1),
+kept as (select id, f.place as loc, f.mark as c from (select id, unnest(fixed) as f from walk))
+select b.id, {trim("coalesce(string_agg(case when m.k is null then ch.c else coalesce(kept.c, '') end, '' order by ch.loc), '')")} as txt
+from base b left join ch on b.id = ch.id left join mark m on ch.id = m.id and ch.loc = m.loc left join kept on ch.id = kept.id and ch.loc = kept.loc group by b.id""")
