@@ -40,7 +40,7 @@ SMOOTH = 0.1
 #: Entries that one task gathers for a slice, about.
 SLICE_TOKENS = 2_000_000
 END, START = b"\n", b"\t"  # no word holds either
-_BUFFER, _SEEN, _PART = 3_000_000, 200_000, 1 << 16
+_BUFFER, _SEEN, _PART = 3_000_000, 500_000, 1 << 17
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 SLICE_FIELDS = "slice int, bits long, filter binary, words array<long>, counts array<long>"
 SCORE_FIELDS = "row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>"
@@ -55,20 +55,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class Seen(dict):
+    """Token -> even hash; remembers tokens up to a bound."""
+
+    def __missing__(self, token: bytes) -> int:
+        h = xxhash.xxh64_intdigest(token) & ~1
+        if len(self) < _SEEN:
+            self[token] = h
+        return h
+
+
 class Tokens:
     """Token hashes of a text, end token last, in parts of bounded size; word hashes are even, pair hashes odd."""
 
     def __init__(self):
-        self.seen: dict[bytes, int] = {}
-
-    def hash(self, token: bytes) -> int:
-        h = self.seen.get(token)
-        if h is None:
-            h = xxhash.xxh64_intdigest(token) & ~1
-            if len(self.seen) >= _SEEN:
-                self.seen.clear()
-            self.seen[token] = h
-        return h
+        self.hash = Seen().__getitem__
 
     def parts(self, text: str | None) -> Iterator[np.ndarray]:
         """Arrays of hashes; the first entry of each is the token before it (the start mark at first)."""
@@ -77,12 +78,15 @@ class Tokens:
         last = START
         for at in range(0, len(tokens), _PART):
             part = tokens[at:at + _PART]
-            yield np.array([self.hash(last), *map(self.hash, part)], dtype=np.uint64)
+            h = np.empty(len(part) + 1, np.uint64)
+            h[0] = self.hash(last)
+            h[1:] = np.fromiter(map(self.hash, part), np.uint64, len(part))
+            yield h
             last = part[-1]
 
 
-def pairs(h: np.ndarray) -> np.ndarray:
-    return mixed(h[:-1] * K2 + h[1:] * K3) | np.uint64(1)
+def pairs(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return mixed(before * K2 + h * K3) | np.uint64(1)
 
 
 def _count(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[pa.RecordBatch]:
@@ -95,7 +99,7 @@ def _count(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[pa.Record
     for batch in batches:
         for text in batch.column("text"):
             for h in tokens.parts(text.as_py()):
-                held += [h[1:], pairs(h)]
+                held += [h[1:], pairs(h[:-1], h[1:])]
                 n += 2 * len(h)
             if n >= _BUFFER:
                 yield emptied()
@@ -202,38 +206,53 @@ class Counts:
         return np.where(self.words[at] == h, self.counts[at], -1)
 
 
-def _score(batches: Iterator[pa.RecordBatch], sent, n_all: int, v_all: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], sent, n_all: int, v_all: int, n_docs: int) -> Iterator[pa.RecordBatch]:
+    """Texts are probed together, about ``_PART`` tokens at a time: a probe costs as many array steps for one token as for all."""
     model, tokens = Counts(*sent.value), Tokens()
-    whole = n_all + SMOOTH * (v_all + 1)
+    whole, start = n_all + SMOOTH * (v_all + 1), np.uint64(tokens.hash(START))
+
+    def scored(rows: pa.RecordBatch, parts: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+        h, k = np.concatenate(parts), rows.num_rows
+        lengths = np.array([len(p) for p in parts])
+        owner = np.repeat(np.array(owners), lengths)
+        own = np.ones(len(h), bool)
+        own[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = False  # the token before each part
+        exact = model.frequent(h)
+        counts = exact.astype(np.float64)
+        counts[exact < 0] = model.probed(h[exact < 0])
+        counts[~own & (h == start)] = n_docs
+        at = np.flatnonzero(own)
+        p = (model.probed(pairs(h[at - 1], h[at])) + PRIOR * (counts[at] + SMOOTH) / whole) / (counts[at - 1] + PRIOR)
+        known = exact[at] >= 0
+        logs = np.where(known, np.log10(np.maximum(exact[at], 0) + SMOOTH), 0.0)
+        rare, of = h[at][~known], owner[at]
+        total = lambda weights: np.bincount(of, weights, k)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(of[~known], minlength=k))]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [rows.column("row"), rows.column("doc_id"), rows.column("held_out"), pa.array(np.bincount(of, minlength=k)), pa.array(total(known).astype(np.int64)),
+             pa.array(total(logs)), pa.array(total(np.log10(np.minimum(p, 1.0)))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare.view(np.int64)))],
+            names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare"])
+
     for batch in batches:
-        rows = []
-        for text in batch.column("text"):
-            n, known, logs, score, rare = 0, 0, 0.0, 0.0, []
+        first, parts, owners, n = 0, [], [], 0
+        for i, text in enumerate(batch.column("text")):
             for h in tokens.parts(text.as_py()):
-                exact = model.frequent(h)
-                counts = exact.astype(np.float64)
-                others = exact < 0
-                counts[others] = model.probed(h[others])
-                here = exact[1:] >= 0
-                n, known = n + len(here), known + int(here.sum())
-                logs += float(np.log10(exact[1:][here] + SMOOTH).sum())
-                rare.append(h[1:][~here])
-                seen = counts[:-1]
-                p = (model.probed(pairs(h)) + PRIOR * (counts[1:] + SMOOTH) / whole) / (seen + PRIOR)
-                score += float(np.log10(np.minimum(p, 1.0)).sum())
-            rows.append((n, known, logs, score, np.concatenate(rare).view(np.int64)))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
-             pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.list_(pa.int64()))],
-            names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare"])
+                parts.append(h)
+                owners.append(i - first)
+                n += len(h)
+            if n >= _PART:
+                yield scored(batch.slice(first, i + 1 - first), parts, owners)
+                first, parts, owners, n = i + 1, [], [], 0
+        if parts:
+            yield scored(batch.slice(first), parts, owners)
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, max_filter_mb: int = MAX_FILTER_MB) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, model = docs.sparkSession, trained(docs, doc_id, text, max_filter_mb)
     words = model.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("h"), F.col("w.counts").alias("n"))
-    n_all, v_all = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    ends = F.when(F.col("h") == F.lit(np.uint64(Seen()[END]).astype(np.int64).item()), F.col("n"))
+    n_all, v_all, n_docs = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(ends), F.lit(0))).first()
     # sixteenths of a power of two: a bounded number of bands, whole bands from the top while they fit
     bands = words.groupBy(F.floor(F.log2("n") * 16).alias("band")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).orderBy(F.desc("band")).collect()
     least, room = None, frequent
@@ -253,7 +272,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent
     sent = spark.sparkContext.broadcast((np.array([b for b, _ in filled], np.int64), b"".join(f for _, f in filled), h[order], n[order]))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), quoted(doc_id).alias("doc_id"), held_out(quoted(doc_id)).alias("held_out"), quoted(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = staged(rows.mapInArrow(lambda batches: _score(batches, sent, n_all, v_all, None), SCORE_FIELDS.format(kind=kind)))
+    scored = staged(rows.mapInArrow(lambda batches: _score(batches, sent, n_all, v_all, n_docs), SCORE_FIELDS.format(kind=kind)))
     rare = scored.select("row", F.explode("rare").alias("h")).join(words.select("h", "n"), "h", "left")
     sums = rare.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))).alias("more_logs"))
     whole = math.log10(n_all + SMOOTH * (v_all + 1)) if n_all + v_all else math.log10(SMOOTH)
