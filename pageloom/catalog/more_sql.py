@@ -94,15 +94,30 @@ select c.page_id, c.region_id from c left join g using (page_id) where g.gone is
 # a character, a word (or a single Han character) five times in a row; or, of ten words or more, two words that stand in the rest again
 # and three times at least in the whole
 _RUN = " and ".join(f"x is not distinct from lag(x, {k}) over w" for k in range(1, 5))
-add("f17_is_repetitive", rf"""
-with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '\S+') as ws from documents),
-runs as (select doc_id from (select doc_id, x is not null and {_RUN} as five from (
-    select doc_id, 0 as kind, unnest(string_split(t, '')) as x, unnest(range(length(t))) as i from d
-    union all select doc_id, 1, unnest(g), unnest(range(len(g))) from (select doc_id, regexp_extract_all(t, '[一-鿿]|\S+') as g from d))
-  window w as (partition by doc_id, kind order by i)) group by 1 having bool_or(five)),
-phrases as (select doc_id, t, ws, i, ws[i] || ' ' || ws[i + 1] as p from (select doc_id, t, ws, unnest(range(1, len(ws) - 3)) as i from d where len(ws) >= 10)),
-again as (select distinct doc_id from phrases where (length(t) - length(replace(t, p, ''))) // length(p) >= 3 and contains(array_to_string(ws[i + 2:], ' '), p))
-select doc_id, length({trim('t')}) >= 5 and (doc_id in (select doc_id from runs) or doc_id in (select doc_id from again)) as repetitive from d""")
+def repetitive_sql(base: str) -> str:
+    """base: id, t. Rows (id, repetitive)."""
+    return rf"""
+(with d as (select id, t, regexp_extract_all(t, '\S+') as ws from ({base})),
+runs as (select id from (select id, x is not null and {_RUN} as five from (
+    select id, 0 as kind, unnest(string_split(t, '')) as x, unnest(range(length(t))) as i from d
+    union all select id, 1, unnest(g), unnest(range(len(g))) from (select id, regexp_extract_all(t, '[一-鿿]|\S+') as g from d))
+  window w as (partition by id, kind order by i)) group by 1 having bool_or(five)),
+phrases as (select id, t, ws, i, ws[i] || ' ' || ws[i + 1] as p from (select id, t, ws, unnest(range(1, len(ws) - 3)) as i from d where len(ws) >= 10)),
+again as (select distinct id from phrases where (length(t) - length(replace(t, p, ''))) // length(p) >= 3 and contains(array_to_string(ws[i + 2:], ' '), p))
+select id, length({trim('t')}) >= 5 and (id in (select id from runs) or id in (select id from again)) as repetitive from d)"""
+
+
+_WHOLE_TEXTS = "select doc_id as id, coalesce(text, '') as t from documents"
+add("f17_is_repetitive", f"select id as doc_id, repetitive from {repetitive_sql(_WHOLE_TEXTS)}")
+
+_JUDGED = f"""select id, page_id, seg_no, s, {S.clean_marks('t', 'chat')} as r from (
+  select row_number() over () as id, page_id, seg_no, {S.artifacts("coalesce(src, '')", 'chat')} as s, {S.artifacts("coalesce(trans, '')", 'chat')} as t from (
+    select page_id, seg_no, src, trans from fx_conv union all select -1 - page_id, seg_no, src, trans from fx_seg))"""
+add("f18_accept_translation", f"""
+with j as materialized ({_JUDGED})
+select page_id, seg_no, case when r = {S.q(L.JOINER)} then true when lower(s) = {trim('lower(r)')} then true when {S.watermark('s', 'chat')} and r = '' then true
+  when {S.needs_retry('r', 'chat')} then false else not repetitive end as accepted
+from j join {repetitive_sql('select id, r as t from j')} using (id)""")
 
 _PAIRS_OF = "map {" + ", ".join(f"{S.q(o)}: {S.q(c)}" for o, c in L.BRACKETS) + "}"
 _OPENING = "[" + ", ".join(S.q(o) for o, _ in L.BRACKETS) + "]"
@@ -121,3 +136,38 @@ walk as (
 kept as (select id, f.place as loc, f.mark as c from (select id, unnest(fixed) as f from walk))
 select b.id, {trim("coalesce(string_agg(case when m.k is null then ch.c else coalesce(kept.c, '') end, '' order by ch.loc), '')")} as txt
 from base b left join ch on b.id = ch.id left join mark m on ch.id = m.id and ch.loc = m.loc left join kept on ch.id = kept.id and ch.loc = kept.loc group by b.id""")
+
+# groups are started in reading order and take whatever fits their box until nothing does
+_FITS = """greatest(r.y1 - y2, y1 - r.y2) <= 18 and greatest(r.x2, x2) - least(r.x1, x1) > 0
+  and least(r.x2, x2) - greatest(r.x1, x1) > 0.15 * (greatest(r.x2, x2) - least(r.x1, x1))"""
+
+
+def _grown(side: str, best: str) -> str:
+    return f"case when len(f) > 0 then {'least' if best == 'min' else 'greatest'}({side}, list_{best}(list_transform(f, lambda r: r.{side}))) else free[1].{side} end"
+
+
+add("g13_group_nearby", f"""
+with recursive walk as (
+  select page_id, list({{'y1': y1::bigint, 'x1': x1::bigint, 'id': region_id::bigint, 'x2': x2::bigint, 'y2': y2::bigint}} order by y1, x1, region_id) as free,
+    null::bigint as seed, null::bigint as x1, null::bigint as y1, null::bigint as x2, null::bigint as y2,
+    []::struct(y1 bigint, x1 bigint, id bigint, x2 bigint, y2 bigint)[] as took from fx_box group by 1
+  union all
+  select page_id, case when len(f) > 0 then list_filter(free, lambda r: not list_contains(list_transform(f, lambda g: g.id), r.id)) else free[2:] end,
+    case when len(f) > 0 then seed else free[1].id end, {_grown('x1', 'min')}, {_grown('y1', 'min')}, {_grown('x2', 'max')}, {_grown('y2', 'max')},
+    case when len(f) > 0 then f else [free[1]] end
+  from (select *, list_filter(free, lambda r: seed is not null and {_FITS}) as f from walk where len(free) > 0))
+select page_id, t.id as region_id, seed as group_no from (select page_id, seed, unnest(took) as t from walk)""")
+
+# names are handed out one by one: the first of name, name_1, name_2, ... that neither a file nor an earlier row has
+add("w1_contested_names", r"""
+with recursive work as (select file_id, folder, name, regexp_replace(name, '\.[^.]*$', '') as stem, regexp_extract(name, '\.[^.]*$') as ending, row_number() over (partition by folder order by file_id) as k
+  from (select file_id, folder, case when file_id % 5 = 0 then regexp_replace(name, '\.', '_1.', 'g') when file_id % 7 = 0 then regexp_replace(name, '\.', '_2.', 'g') else name end as name from fx_file)),
+walk as (
+  select f.folder, 0::bigint as k, null::bigint as file_id, null::varchar as name, null::varchar as unique_name, coalesce(any_value(t.names), []::varchar[]) as taken
+  from (select distinct folder from work) f left join (select folder, list(distinct name) as names from fx_file where file_id % 11 = 0 group by 1) t on f.folder = t.folder group by 1
+  union all
+  select folder, k, file_id, name, u, list_append(taken, u) from (
+    select w.folder, w.k, w.file_id, w.name, s.taken, list_filter(list_transform(range(0, len(s.taken) + 1), lambda i: case when i = 0 then w.name else w.stem || '_' || i::varchar || w.ending end),
+      lambda c: not list_contains(s.taken, c))[1] as u
+    from walk s join work w on w.folder = s.folder and w.k = s.k + 1))
+select file_id, folder, name, unique_name from walk where k > 0""")
