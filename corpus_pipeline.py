@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm import decontamination, mixing, quality_classifier, sharding, simhash
-from pageloom.llm.common import staged
+from pageloom.llm.common import packed, staged
 from pageloom.session import ship_package
 
 #: Sampling, grouping and the seeded layout of files have no SQL form; tests hold every stage against a plain version.
@@ -31,7 +31,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources, in shuffled order."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    rows = docs.select(packed(docs).alias("record"), "doc_id", "source")  # whatever else the documents hold stays as it is
+    return mixing.replicated(rows, mixing.source_rates(docs)).select("record.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,17 @@ def test_pipeline_runs_over_its_stages(spark):
     for shard in {r.shard for r in rows}:
         slots = sorted(r.slot for r in rows if r.shard == shard)
         assert slots == list(range(len(slots)))
+
+
+def test_stages_keep_the_columns_of_documents(spark, edge_docs):
+    import corpus_pipeline
+
+    docs = edge_docs.filter("doc_id is not null")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns, name
+        rows = {r.doc_id: r for r in docs.collect()}
+        assert all(r == rows[r.doc_id] for r in out.collect()), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
