@@ -25,10 +25,10 @@ def staged(df, name: str, order: str, parts: int = 2):
     """Write a table in ``order`` as successive sets of ``FILES`` files and read it back as a stream, one set per micro-batch."""
     spark = df.sparkSession
     path = snapshots.scratch_path(spark, name)
-    laid = pin(df.repartitionByRange(parts * FILES, order).withColumn("_part", F.spark_partition_id()))
+    laid = pin(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
     for part in range(parts):
-        # the file source takes files by age; every task of a part writes one file
-        laid.filter(F.floor(F.col("_part") / FILES) == part).drop("_part").write.mode("append").parquet(path)
+        # the file source takes files by age; the rows of a part are dealt out evenly, so that each of its tasks writes a file
+        laid.filter(F.col("_part") == part).drop("_part").repartition(FILES).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
