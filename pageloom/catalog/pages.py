@@ -190,7 +190,7 @@ def x4b(t):
     return listing.plan_listing(t.fx_list, t.fx_art_page, "article").select("listing_id", "page_no", "title", "url", "folder")
 
 
-@query("o5_crawl_order", f"select page_id, url, row_number() over (partition by page_id % 12 order by page_id desc, ord desc)::bigint as place from ({media_sql('fx_pg')})")
+@query("o5_visit_order", f"select page_id, url, row_number() over (partition by page_id % 12 order by page_id desc, ord desc)::bigint as place from ({media_sql('fx_pg')})")
 def o5(t):
     from pageloom.plans.ordered import any_order_position
 
