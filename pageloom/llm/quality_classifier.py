@@ -36,54 +36,59 @@ SEED = 31
 #: Features' worth of the raw model that is mixed into the target model: a small sample says little about rare buckets.
 PRIOR = 10 * BUCKETS
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
-_BLOCK = 1 << 16
+_BLOCK, _GATHERED = 1 << 18, 1 << 20
+
+
+class Seen(dict):
+    """Token -> hash of its lower case (32 bits) and shape (above them); remembers tokens up to a bound."""
+
+    MOST = 500_000
+
+    def __missing__(self, token: str) -> int:
+        first = token[0]
+        if not (first.isalpha() or first.isdigit()):
+            kind = 8 + zlib.crc32(token[:4].encode("utf-8", "replace")) % 1000
+        elif first.isdigit():
+            kind = 7
+        elif len(token) > 1 and token.isupper():
+            kind = 1
+        elif token.islower():
+            kind = 2
+        elif token[1:].islower() or len(token) == 1:
+            kind = 3
+        else:
+            kind = 4
+        known = zlib.crc32(token.lower().encode("utf-8", "replace")) | (kind * 4 + min(3, len(token) // 6)) << 32
+        if len(self) < self.MOST:
+            self[token] = known
+        return known
 
 
 class Features:
-    """Bucket numbers of texts; remembers the hashes of words it has seen, up to a bound."""
-
-    SEEN = 200_000
+    """Bucket numbers of texts."""
 
     def __init__(self, buckets: int = BUCKETS):
-        self.buckets, self.seen = buckets, {}
-
-    def word(self, token: str) -> tuple[int, int]:
-        known = self.seen.get(token)
-        if known is None:
-            first = token[0]
-            if not (first.isalpha() or first.isdigit()):
-                kind = 8 + zlib.crc32(token[:4].encode("utf-8", "replace")) % 1000
-            elif first.isdigit():
-                kind = 7
-            elif len(token) > 1 and token.isupper():
-                kind = 1
-            elif token.islower():
-                kind = 2
-            elif token[1:].islower() or len(token) == 1:
-                kind = 3
-            else:
-                kind = 4
-            known = (zlib.crc32(token.lower().encode("utf-8", "replace")), kind * 4 + min(3, len(token) // 6))
-            if len(self.seen) < self.SEEN:
-                self.seen[token] = known
-        return known
+        self.buckets, self.known = buckets, Seen().__getitem__
 
     def blocks(self, text: str | None) -> Iterator[np.ndarray]:
-        """Bucket numbers, a bounded number of words at a time; neighbours across blocks are kept."""
-        last: list[tuple[int, int]] = []
-        part: list[tuple[int, int]] = []
-        for found in _TOKEN.finditer(text or ""):
-            part.append(self.word(found.group()))
-            if len(part) == _BLOCK:
+        """Bucket numbers, a bounded stretch of text at a time; neighbours across stretches are kept."""
+        text = text or ""
+        last, at = np.zeros(0, np.uint64), 0
+        while at < len(text):
+            # stretches end at a blank, so no token is cut
+            end = text.find(" ", at + _BLOCK)
+            end = len(text) if end < 0 else end
+            tokens = _TOKEN.findall(text, at, end)
+            at = end
+            if tokens:
+                part = np.fromiter(map(self.known, tokens), np.uint64, len(tokens))
                 yield self._numbers(last, part)
-                last, part = part[-2:], []
-        if part:
-            yield self._numbers(last, part)
+                last = np.concatenate([last, part])[-2:]
 
-    def _numbers(self, last: list, part: list) -> np.ndarray:
-        both = np.array(last + part, dtype=np.uint64)
+    def _numbers(self, last: np.ndarray, part: np.ndarray) -> np.ndarray:
+        both = np.concatenate([last, part])
         skip = len(last)
-        word, shape = both[:, 0], both[:, 1]
+        word, shape = both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)
         same = np.zeros(len(both), np.uint64)
         same[1:] = word[1:] == word[:-1]
         shape = shape * np.uint64(2) + same
@@ -98,13 +103,26 @@ class Features:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features, counts = Features(), np.zeros((2, BUCKETS), np.int64)
+    held: tuple[list, list] = [], []
+    n = 0
+
+    def added() -> None:
+        for row, parts in zip(counts, held, strict=True):
+            if parts:
+                row += np.bincount(np.concatenate(parts), minlength=BUCKETS)
+                parts.clear()
+
     for batch in batches:
         for text, good in zip(batch.column("text"), batch.column("good").to_pylist(), strict=True):
             for numbers in features.blocks(text.as_py()):
-                found = np.bincount(numbers, minlength=BUCKETS)
-                counts[0] += found
+                held[0].append(numbers)
                 if good:
-                    counts[1] += found
+                    held[1].append(numbers)
+                n += len(numbers)
+            if n >= _GATHERED:
+                added()
+                n = 0
+    added()
     used = np.flatnonzero(counts[0])
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[0][used]), pa.array(counts[1][used])], names=["bucket", "raw", "target"])
 
