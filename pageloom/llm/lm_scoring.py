@@ -38,9 +38,9 @@ FREQUENT = 1 << 19
 PRIOR = 5.0
 SMOOTH = 0.1
 #: Entries that one task gathers for a slice, about.
-SLICE_TOKENS = 2_000_000
+SLICE_TOKENS = 500_000
 END, START = b"\n", b"\t"  # no word holds either
-_BUFFER, _SEEN, _PART = 3_000_000, 500_000, 1 << 17
+_BUFFER, _SEEN, _PART = 1_000_000, 200_000, 1 << 17
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 SLICE_FIELDS = "slice int, bits long, filter binary, words array<long>, counts array<long>"
 SCORE_FIELDS = "row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>"
@@ -273,6 +273,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent
     rows = docs.select(F.monotonically_increasing_id().alias("row"), quoted(doc_id).alias("doc_id"), held_out(quoted(doc_id)).alias("held_out"), quoted(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = staged(rows.mapInArrow(lambda batches: _score(batches, sent, n_all, v_all, n_docs), SCORE_FIELDS.format(kind=kind)))
+    sent.destroy()  # workers live on and would keep the filter
     rare = scored.select("row", F.explode("rare").alias("h")).join(words.select("h", "n"), "h", "left")
     sums = rare.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))).alias("more_logs"))
     whole = math.log10(n_all + SMOOTH * (v_all + 1)) if n_all + v_all else math.log10(SMOOTH)
