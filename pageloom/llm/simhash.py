@@ -114,21 +114,26 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dense: int = DENSE) -> DataFrame:
-    """One row per document: doc_id, fp (signed 64-bit), component_id (smallest doc_id of the group)."""
+    """One row per document: doc_id, fp (signed 64-bit), root (a fingerprint that names the group), component_id (smallest doc_id
+    of the group)."""
     prints = staged(docs.select(quoted(doc_id).alias("doc_id"), fingerprint(quoted(text)).alias("fp")))
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = staged(components(fingerprint_links(distinct.select("fp"), dense)))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = staged(rooted.join(names, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = staged(rooted.join(names, "root").select("fp", "root", "component_id"))
+    return prints.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dense: int = DENSE) -> DataFrame:
-    """All columns of one document per group, the one with the smallest id; of rows that share that id the one with the smallest
-    text stays. A group without any id keeps one row too."""
+    """All columns of one document per group, the one with the smallest id; of rows that share that id one stays, by a hash of the
+    text. A group without any id keeps one row, chosen alike. Each text moves once: joined by id, then aggregated by it where it is."""
     groups = near_duplicate_groups(docs, doc_id, text, dense)
-    kept = staged(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    rows = (docs.select(quoted(doc_id).alias("id"), F.coalesce(quoted(text), F.lit("")).alias("t"), packed(docs).alias("record"))
-            .groupBy("id").agg(F.min_by("record", "t").alias("record")))
-    return rows.join(kept, rows["id"].eqNullSafe(kept["doc_id"]), "left_semi").select("record.*")
+    kept = staged(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct())
+    nameless = staged(groups.filter("component_id is null").select("fp", "root").distinct())
+    rows = docs.select(quoted(doc_id).alias("id"), F.xxhash64(quoted(text)).alias("h"), packed(docs).alias("record"))
+    first = F.min_by("record", "h").alias("record")
+    named = rows.filter("id is not null").join(kept, "id", "left_semi").groupBy("id").agg(first)
+    others = (docs.filter(quoted(doc_id).isNull()).select(fingerprint(quoted(text)).alias("fp"), F.xxhash64(quoted(text)).alias("h"), packed(docs).alias("record"))
+              .join(nameless, "fp").groupBy("root").agg(first))
+    return named.select("record.*").unionByName(others.select("record.*"))

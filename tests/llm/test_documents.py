@@ -188,11 +188,13 @@ def test_links_of_a_family(spark, dense):
     assert {i: roots.get(i, i) for i, _, _ in want} == {i: c for i, _, c in want}
 
 
-def test_one_of_each_group_stays(edge_docs, no_docs):
+def test_one_of_each_group_stays(spark, edge_docs, no_docs):
+    more = [(None, "no id and so on and on"), (None, "no id and so on and on"), (None, "another text that has no id either")]
+    edge_docs = edge_docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
     kept = simhash.deduplicated(edge_docs)
     groups = simhash.near_duplicate_groups(edge_docs).collect()
     assert kept.columns == edge_docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter({r.component_id for r in groups})
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(g.component_id for g in {g.root: g for g in groups}.values())
     assert simhash.deduplicated(no_docs).count() == 0
 
 
