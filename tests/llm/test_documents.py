@@ -246,6 +246,14 @@ def test_base_scores(small_docs, edge_docs, frequent):
         assert sum(r.score for r in held) > sum(r.base_score for r in held) and all(r.score <= 0 for r in got)
 
 
+@pytest.mark.parametrize("frequent", [0, 1 << 19])
+def test_a_filter_beyond_the_bound_gives_the_same_scores(small_docs, edge_docs, monkeypatch, frequent):
+    docs = small_docs.select("doc_id", "text").unionByName(edge_docs.select("doc_id", "text"))
+    monkeypatch.setattr(lm_scoring, "SLICE_TOKENS", 20_000)
+    want, got = (Counter((*r[:5], round(r.base_score, 6), round(r.score, 9)) for r in lm_scoring.scores(docs, frequent=frequent, max_filter_mb=mb).collect()) for mb in (256, 0))
+    assert got == want and any(r[-1] < -1 for r in want)
+
+
 def test_model_of_nothing(no_docs, edge_docs):
     assert lm_scoring.scores(no_docs).count() == 0
     only_held = edge_docs.filter(lm_scoring.held_out(F.col("doc_id")))
