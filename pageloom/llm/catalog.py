@@ -103,6 +103,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_parts", "n_matches", F.concat_ws(",", "licenses").alias("licenses"), "best", F.round("best_dice", 6).alias("best_dice"))
 
 
+@query("op3_license_windows")
+def op3_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_windows(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.size("licenses").cast("long").alias("n_licenses"), F.concat_ws(",", "licenses").alias("licenses"),
+        F.round(F.array_max("dices"), 6).alias("best_dice"))
+
+
 @query("op7_lm_scoring")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scores(table(spark, sf_dir, "documents"))

@@ -5,6 +5,11 @@ lower case, words are runs of letters, digits and characters beyond ASCII, Briti
 bigrams can reach a coefficient t only with parts of b*t/(2-t) to b*(2-t)/t bigrams; templates outside these bounds are not
 compared, and a part stops being read once it has more distinct bigrams than any template allows. Each text is read whole in its row.
 
+``license_windows`` looks for notices and full licence texts anywhere: wrapped, inline or amid other words. Each template is compared to
+windows of the whole normalised text at every start; window sizes run over the template's bounds, all of them for short templates, in
+steps of a twentieth for long ones. A template is left out only if the text shares fewer bigrams with it than any window that reaches
+the coefficient must.
+
 Defined cases: a null or blank text has no parts and no licence; parts of one word have no bigram; of templates that tie the first
 by name is the best; rows of one doc_id stay separate; an empty table gives no rows; other columns are not read.
 """
@@ -15,12 +20,14 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.llm.common import quoted
+from pageloom.llm.license_texts import TEXTS
 
 THRESHOLD = 0.8
 #: fixed values: usual short notices, by name.
@@ -43,6 +50,8 @@ SPELLINGS = {b"licence": b"license", b"licenced": b"licensed", b"licences": b"li
 _CHARS = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 RESULT = T.StructType([T.StructField("n_parts", T.LongType()), T.StructField("n_matches", T.LongType()), T.StructField("licenses", T.ArrayType(T.StringType())),
                        T.StructField("best", T.StringType()), T.StructField("best_dice", T.DoubleType())])
+WINDOWS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("licenses", T.ArrayType(T.StringType())),
+                        T.StructField("dices", T.ArrayType(T.DoubleType())), T.StructField("starts", T.ArrayType(T.LongType()))])
 
 
 def normal_words(part: str) -> list[bytes]:
@@ -101,3 +110,73 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
 
     scan.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return docs.select(quoted(doc_id).alias("doc_id"), F.pandas_udf(scan, RESULT)(quoted(text)).alias("r")).select("doc_id", "r.*")
+
+
+class WindowScanner:
+    def __init__(self, templates: dict[str, str], threshold: float = THRESHOLD):
+        self.threshold = threshold
+        self.templates = []
+        for name in sorted(templates):
+            words = normal_words(templates[name])
+            if grams := bigrams(words, 1 << 30):
+                b, whole = len(grams), len(words) - 1
+                low = math.ceil(b * threshold / (2 - threshold) - 1e-9)
+                # a window may repeat bigrams as often as the template does
+                high = math.floor(b * (2 - threshold) / threshold + 1e-9) * whole // b
+                sizes, w = {whole}, low
+                while w <= high:
+                    sizes.add(w)
+                    w += max(1, w // 20)
+                self.templates.append((name, grams, low, sorted(sizes)))
+        self.vocabulary = set().union(*(t[1] for t in self.templates))
+        self.least = min((t[2] for t in self.templates), default=1 << 30)
+
+    def scan(self, text: str | None) -> tuple[int, list, list, list]:
+        """Words of the text; names of the templates found, the best coefficient of each and the first word of its window."""
+        words = normal_words(text or "")
+        shared = self.vocabulary.intersection(zip(words, words[1:], strict=False))
+        found, ids, before = [], None, None
+        for name, own, low, sizes in self.templates if len(shared) >= self.least else ():
+            if len(own & shared) < low:
+                continue
+            if ids is None:
+                number: dict = {}
+                ids = np.array([number.setdefault(g, len(number)) for g in zip(words, words[1:], strict=False)])
+                order = np.argsort(ids, kind="stable")
+                before = np.full(len(ids), -1)
+                again = ids[order[1:]] == ids[order[:-1]]
+                before[order[1:][again]] = order[:-1][again]
+            known = np.zeros(len(number), bool)
+            known[[number[g] for g in own & shared]] = True
+            at = np.flatnonzero(known[ids])
+            best = (0.0, 0)
+            for w in sorted({min(w, len(ids)) for w in sizes}):
+                common = self.distinct(at, before, w, len(ids))
+                dice = 2 * common / (len(own) + self.distinct(np.arange(len(ids)), before, w, len(ids)))
+                k = int(np.argmax(dice))
+                if dice[k] > best[0]:
+                    best = float(dice[k]), k
+            if best[0] >= self.threshold:
+                found.append((name, *best))
+        return len(words), *([f[i] for f in found] for i in range(3))
+
+    @staticmethod
+    def distinct(at: np.ndarray, before: np.ndarray, w: int, n: int) -> np.ndarray:
+        """Distinct bigrams among places ``at`` in every window of ``w``: a place counts from the start that leaves out the same
+        bigram before it, or that just reaches it, to its own."""
+        first = np.maximum(before[at], at - w) + 1
+        change = np.bincount(np.maximum(first, 0), minlength=n + 1)[:n + 1] - np.bincount(at + 1, minlength=n + 1)[:n + 1]
+        return np.cumsum(change)[:n - w + 1]
+
+
+def license_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, n_words, licenses (sorted names), dices and starts (first word) of their best windows."""
+    templates = {**TEMPLATES, **TEXTS} if templates is None else templates
+
+    def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scanner = WindowScanner(templates, threshold)
+        for part in texts:
+            yield pd.DataFrame([scanner.scan(t) for t in part], columns=WINDOWS.names)
+
+    scan.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return docs.select(quoted(doc_id).alias("doc_id"), F.pandas_udf(scan, WINDOWS)(quoted(text)).alias("r")).select("doc_id", "r.*")

@@ -221,6 +221,36 @@ def test_size_bounds_lose_no_template():
             assert (got[1] if got else 0) == (want if want >= license_scan.THRESHOLD else 0), (name, part)
 
 
+def test_licences_anywhere(spark, edge_docs):
+    import textwrap
+
+    mit, gpl = license_scan.TEXTS["MIT-text"], license_scan.TEXTS["GPL-3.0-text"]
+    rows = [(1, "intro words " * 50 + "\n" + "\n".join(textwrap.wrap(mit, 72)) + "\n" + "closing words " * 50),
+            (2, "Copyright 2020 Foo Incorporated. All rights reserved. Released under the MIT License."),
+            (3, "The library is free and is released under the MIT License. See the docs for more."),
+            (4, "\n".join(textwrap.wrap(gpl, 70))), (5, "nothing"), (6, None), (7, "This work is licensed under\nthe GNU General\nPublic License, version 2.")]
+    got = {r.doc_id: dict(zip(r.licenses, r.dices, strict=True)) for r in license_scan.license_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["MIT-text"] == 1 and got[1]["MIT-permission"] == 1
+    assert got[2] == {"All-rights-reserved": 1, "MIT": 1} and got[3] == {"MIT": 1}
+    assert got[4]["GPL-3.0-text"] == 1 and got[5] == {} and got[6] == {} and got[7]["GPL-2.0"] == 1
+    assert license_scan.license_windows(edge_docs).count() == edge_docs.count()
+
+
+def test_windows_against_loops():
+    import random
+
+    rng = random.Random(3)
+    template = "a b c a b d e f g h"
+    scanner = license_scan.WindowScanner({"x": template})
+    own = license_scan.bigrams(template.encode().split(), 1 << 30)
+    for _ in range(200):
+        words = [rng.choice("abcdefghz") if rng.random() < 0.25 else w for w in ("z " * rng.randrange(5) + template + " a b c" * rng.randrange(3)).split()]
+        cut = [license_scan.bigrams([w.encode() for w in words[i:j]], 1 << 30) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+        want = max(2 * len(own & g) / (len(own) + len(g)) for g in cut)
+        got = scanner.scan(" ".join(words))[2]
+        assert (got[0] if got else 0) == (want if want >= 0.8 else 0), words
+
+
 # -- language model
 
 def lm_tokens(text):
