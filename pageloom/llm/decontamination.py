@@ -49,13 +49,16 @@ def test_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
 
 
 def build_index(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings (doc_row, doc_id, word, pos) of the windows' words and of the end mark, sorted by document within each file."""
+    """Postings (doc_row, doc_id, word, pos, text_hash) of the windows' words and of the end mark, sorted by document within each file;
+    only the end mark carries the hash of the text."""
     marked = docs.sparkSession.range(1).select(F.lit(END).alias("word"))
     vocabulary = staged(windows.select(F.explode("terms").alias("word")).distinct().unionByName(marked))
     # numbered in a step of its own: beside the generator the rows would be numbered after it
-    numbered = docs.select(F.monotonically_increasing_id().alias("doc_row"), quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
-    tokens = numbered.select("doc_row", "doc_id", F.posexplode(F.array_append(words_of(F.col("text")), F.lit(END))).alias("pos", "word"))
-    return staged(tokens.join(small(vocabulary, vocabulary.count()), "word").select("doc_row", "doc_id", "word", "pos"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("doc_row"), quoted(doc_id).alias("doc_id"), quoted(text).alias("text"),
+                           F.xxhash64(quoted(text)).alias("text_hash"))
+    tokens = numbered.select("doc_row", "doc_id", "text_hash", F.posexplode(F.array_append(words_of(F.col("text")), F.lit(END))).alias("pos", "word"))
+    return staged(tokens.join(small(vocabulary, vocabulary.count()), "word").select(
+        "doc_row", "doc_id", "word", "pos", F.when(F.col("word") == END, F.col("text_hash")).alias("text_hash")))
 
 
 def lists_by_rarity(index: DataFrame, windows: DataFrame) -> DataFrame:
@@ -117,20 +120,22 @@ def covered_words(matches: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_row, doc_id, n_words, n_hit, items (sorted ids, as strings, of the items with occurring windows)."""
+    """One row per document: doc_row, doc_id, n_words, n_hit, items (sorted ids, as strings, of the items with occurring windows),
+    text_hash (64 bits)."""
     windows, members = test_windows(items, item_id, item_text, window)
     index = build_index(docs, windows, doc_id, text)
     matches = phrase_matches(index, lists_by_rarity(index, windows))
     found = (matches.select("doc_row", "window").distinct().join(members, "window").groupBy("doc_row")
              .agg(F.sort_array(F.collect_set("item")).alias("items")))
     hit = staged(covered_words(matches).join(found, "doc_row"))
-    return (index.filter(F.col("word") == END).select("doc_row", "doc_id", F.col("pos").cast("long").alias("n_words"))
+    return (index.filter(F.col("word") == END).select("doc_row", "doc_id", F.col("pos").cast("long").alias("n_words"), "text_hash")
             .join(hit, "doc_row", "left")
             .select("doc_row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                    F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+                    F.coalesce("items", F.array().cast("array<string>")).alias("items"), "text_hash"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents (all columns) without a hit; rows that share a doc_id go together."""
-    hit = staged(contamination(docs, items, doc_id, text).filter("n_hit > 0").select(F.col("doc_id").alias("hit_id")).distinct())
-    return docs.join(small(hit, hit.count()), quoted(doc_id).eqNullSafe(F.col("hit_id")), "left_anti")
+    """The documents (all columns) without a hit; rows are known by id and hash of the text, as ids may repeat or be missing."""
+    hit = staged(contamination(docs, items, doc_id, text).filter("n_hit > 0").select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).alias("hit")).distinct())
+    # one struct on either side: equal though the id is null
+    return docs.join(small(hit, hit.count()), F.struct(quoted(doc_id).alias("id"), F.xxhash64(quoted(text)).alias("h")) == F.col("hit"), "left_anti")

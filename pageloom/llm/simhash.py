@@ -113,27 +113,29 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dense: int = DENSE) -> DataFrame:
-    """One row per document: doc_id, fp (signed 64-bit), root (a fingerprint that names the group), component_id (smallest doc_id
-    of the group)."""
-    prints = staged(docs.select(quoted(doc_id).alias("doc_id"), fingerprint(quoted(text)).alias("fp")))
+def _grouped(docs: DataFrame, doc_id: str, text: str, dense: int) -> DataFrame:
+    """near_duplicate_groups with text_hash, a 64-bit hash of the text, at the end."""
+    prints = staged(docs.select(quoted(doc_id).alias("doc_id"), fingerprint(quoted(text)).alias("fp"), F.xxhash64(quoted(text)).alias("text_hash")))
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = staged(components(fingerprint_links(distinct.select("fp"), dense)))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = staged(rooted.join(names, "root").select("fp", "root", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "root", "component_id", "text_hash")
+
+
+def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dense: int = DENSE) -> DataFrame:
+    """One row per document: doc_id, fp (signed 64-bit), root (a fingerprint that names the group), component_id (smallest doc_id
+    of the group)."""
+    return _grouped(docs, doc_id, text, dense).drop("text_hash")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dense: int = DENSE) -> DataFrame:
-    """All columns of one document per group, the one with the smallest id; of rows that share that id one stays, by a hash of the
-    text. A group without any id keeps one row, chosen alike. Each text moves once: joined by id, then aggregated by it where it is."""
-    groups = near_duplicate_groups(docs, doc_id, text, dense)
-    kept = staged(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct())
-    nameless = staged(groups.filter("component_id is null").select("fp", "root").distinct())
-    rows = docs.select(quoted(doc_id).alias("id"), F.xxhash64(quoted(text)).alias("h"), packed(docs).alias("record"))
-    first = F.min_by("record", "h").alias("record")
-    named = rows.filter("id is not null").join(kept, "id", "left_semi").groupBy("id").agg(first)
-    others = (docs.filter(quoted(doc_id).isNull()).select(fingerprint(quoted(text)).alias("fp"), F.xxhash64(quoted(text)).alias("h"), packed(docs).alias("record"))
-              .join(nameless, "fp").groupBy("root").agg(first))
-    return named.select("record.*").unionByName(others.select("record.*"))
+    """All columns of one document per group: of the rows with the group's smallest id (none if no row of it has one) the one with
+    the smallest hash of the text. Rows are known by id and hash of the text, as ids may repeat or be missing. Each text moves once:
+    joined by that key, then aggregated by it where it is."""
+    groups = _grouped(docs, doc_id, text, dense).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # keys travel as one struct: equal though the id is null
+    kept = staged(groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))).alias("key")).select("key"))
+    rows = docs.select(F.struct(quoted(doc_id).alias("id"), F.xxhash64(quoted(text)).alias("h")).alias("key"), packed(docs).alias("record"))
+    return rows.join(kept, "key", "left_semi").groupBy("key").agg(F.first("record").alias("record")).select("record.*")

@@ -77,6 +77,14 @@ def test_clean_documents_keep_all_columns(spark, edge_docs):
     assert clean.columns == edge_docs.columns and clean.count() == edge_docs.count() - 1
 
 
+def test_only_contaminated_rows_of_an_id_go(spark):
+    bad = "so w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 on"
+    items = spark.createDataFrame([(1, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, bad), (None, "clean without an id"), (None, None), (7, bad), (7, "clean of the same id"), (8, "clean")], "doc_id long, text string")
+    left = decontamination.clean_documents(docs, items).collect()
+    assert Counter(map(tuple, left)) == Counter([(None, "clean without an id"), (None, None), (7, "clean of the same id"), (8, "clean")])
+
+
 # -- sharding
 
 @pytest.mark.parametrize("bucket_bytes", [1 << 10, 1 << 25])
@@ -198,6 +206,14 @@ def test_one_of_each_group_stays(spark, edge_docs, no_docs):
     assert simhash.deduplicated(no_docs).count() == 0
 
 
+def test_every_group_keeps_a_row_though_ids_repeat(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(3, b), (5, a), (5, b), (5, c), (6, a), (None, c), (None, d), (None, d), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(map(tuple, simhash.deduplicated(docs).collect()))
+    assert kept == Counter([(3, b), (5, a), (5, c), (None, d), (None, None)])
+
+
 # -- licences
 
 def test_licences(spark, edge_docs):
