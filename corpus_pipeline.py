@@ -8,7 +8,7 @@ from pageloom.llm import decontamination, mixing, quality_classifier, sharding,
 from pageloom.llm.common import packed, staged
 from pageloom.session import ship_package
 
-#: Sampling, grouping and the seeded layout of files have no SQL form; tests hold every stage against a plain version.
+#: Sampling, grouping and the seeded layout of files have no SQL form.
 ORACLE_SQL = None
 
 
