@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm import (
     decontamination,
+    hard_negatives,
     license_scan,
     lm_scoring,
     mixing,
@@ -16,10 +17,12 @@ from pageloom.llm import (
     quality_rules,
     sharding,
     simhash,
+    token_files,
     url_filter,
     warc,
+    whitening,
 )
-from pageloom.llm.sql import MIXING_SQL, PHRASES_SQL, URLS_SQL, WARC_SQL, licenses_sql
+from pageloom.llm.sql import MIXING_SQL, NEGATIVES_SQL, PHRASES_SQL, URLS_SQL, WARC_SQL, licenses_sql
 from pageloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +116,26 @@ def op3_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_lm_scoring")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+#: The end id the contract names; the vocabulary file is a parameter of the operator and stays where it is installed.
+END_ID = 2
+
+
+@query("op12_token_files")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = token_files.write_token_files(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), END_ID, by_word=True)
+    return token_files.read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))

