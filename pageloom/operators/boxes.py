@@ -10,18 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pageloom.functions import geometry as G
 from pageloom.functions.predicates import has_visible_text
 from pageloom.functions.text import is_watermark
+from pageloom.operators.settle import CELL_ROWS, losers_of_duels, losers_to_earlier, seeds_of_groups
 from pageloom.session import pin
 
 TILE = 256
-SMALL_GROUP = 2_000
 SIDES = list(G.SIDES)
 
 
@@ -175,184 +173,44 @@ def union_merged_regions(regions: DataFrame, merges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- order-dependent choices
 
 
-def bands(df: DataFrame, gap: int) -> DataFrame:
-    """Adds ``band``: parts of a page between empty horizontal strips taller than ``gap``.
+def _without(df: DataFrame, lost: DataFrame) -> DataFrame:
+    lost = lost.withColumn("region_id", F.col("region_id").cast(df.schema["region_id"].dataType))
+    return df.join(lost, ["page_id", "region_id"], "left_anti")
 
-    Only one row per page and pixel line is ordered, so the window is bounded by the page height.
-    """
-    rows = df.groupBy("page_id", "y1").agg(F.max("y2").alias("_y2"))
-    order = Window.partitionBy("page_id").orderBy("y1")
-    reach = F.max("_y2").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = rows.withColumn("_new", F.coalesce(F.col("y1") > reach + gap, F.lit(True)).cast("int"))
-    numbered = starts.withColumn("band", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.join(numbered.select("page_id", "y1", "band"), ["page_id", "y1"])
-
-
-def _split_by_size(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sized = df.join(sizes, list(keys))
-    return sized.filter(F.col("_n") <= limit).drop("_n"), sized.filter(F.col("_n") > limit).drop("_n")
 
-
-def dedupe_overlaps(df: DataFrame, limit: float = 0.5, small: int = SMALL_GROUP) -> DataFrame:
+def dedupe_overlaps(df: DataFrame, limit: float = 0.5, rows: int = CELL_ROWS) -> DataFrame:
     """Of two boxes that overlap by more than ``limit`` the longer text stays; decided in region order.
 
-    A region that loses stops removing others. Groups are the bands of a page that have such pairs; a
-    group with more pairs than ``small`` is settled by joins, in rounds.
+    A region that loses stops removing others.
     """
     a, b = F.col("a"), F.col("b")
-    banded = bands(df, 0)
-    # the pairs are few and used for sizes and for both ways of settling
-    edges = pin(near_pairs_of(banded, banded).filter(a["region_id"] < b["region_id"]).filter(G.iou(a, b) > limit).select(
-        "page_id", a["band"].alias("band"), a["region_id"].alias("i"), b["region_id"].alias("j"),
-        (F.length(a["text"]) >= F.length(b["text"])).alias("i_stays")))
-    few, many = _split_by_size(edges, ["page_id", "band"], small)
-    played = few.groupBy("page_id", "band").agg(F.collect_list(F.array("i", "j", F.col("i_stays").cast("int"))).alias("pairs"))
-    lost = played.select("page_id", F.explode(_losers("pairs")).alias("region_id"))
-    if not many.isEmpty():
-        lost = lost.unionByName(_losers_in_rounds(many))
-    return df.join(lost.withColumn("region_id", F.col("region_id").cast(df.schema["region_id"].dataType)), ["page_id", "region_id"], "left_anti")
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _losers(bands_of_pairs: pd.Series) -> pd.Series:
-    """Play the pairs (i, j, i stays) of each band in order."""
-
-    def play(pairs) -> list[int]:
-        gone: set[int] = set()
-        for i, j, stays in sorted(tuple(p) for p in pairs):
-            if i not in gone and j not in gone:
-                gone.add(j if stays else i)
-        return sorted(gone)
-
-    return bands_of_pairs.map(play)
-
-
-def _losers_in_rounds(edges: DataFrame) -> DataFrame:
-    """The same decisions without gathering: all regions act at once whose earlier neighbours are done.
-
-    A region may act when no living, unplayed region with a smaller number touches it or one of its later
-    neighbours, so that regions acting together never touch the same one.
-    """
-    key = ["page_id", "band"]
-    nodes = pin(edges.select(*key, F.col("i").alias("n")).union(edges.select(*key, F.col("j"))).distinct().withColumns(
-        {"played": F.lit(False), "gone": F.lit(False)}))
-    edges = pin(edges)
-    both = edges.select(*key, F.col("i").alias("n"), F.col("j").alias("m")).union(edges.select(*key, F.col("j"), F.col("i")))
-    both = pin(both.union(nodes.select(*key, "n", F.col("n").alias("m"))))
-    while True:
-        waiting = nodes.filter(~F.col("played") & ~F.col("gone")).select(*key, F.col("n").alias("m"))
-        if waiting.isEmpty():
-            return nodes.filter("gone").select("page_id", F.col("n").cast("int").alias("region_id"))
-        first = both.join(waiting, [*key, "m"]).groupBy(*key, "n").agg(F.min("m").alias("first"))
-        # smallest waiting number within two steps
-        second = both.join(first.withColumnRenamed("n", "m"), [*key, "m"]).groupBy(*key, "n").agg(F.min("first").alias("first"))
-        acting = second.filter(F.col("n") == F.col("first")).join(waiting.withColumnRenamed("m", "n"), [*key, "n"], "left_semi").select(*key, F.col("n").alias("i"))
-        alive = nodes.filter(~F.col("gone")).select(*key, F.col("n").alias("j"))
-        moves = edges.join(acting, [*key, "i"], "left_semi").join(alive, [*key, "j"], "left_semi")
-        stop = moves.groupBy(*key, "i").agg(F.min(F.when(~F.col("i_stays"), F.col("j"))).alias("stop"))
-        judged = moves.join(stop, [*key, "i"])
-        beaten = judged.filter(F.col("stop").isNull() | (F.col("j") < F.col("stop"))).select(*key, F.col("j").alias("n"))
-        beaten = beaten.union(stop.filter(F.col("stop").isNotNull()).select(*key, F.col("i"))).distinct().withColumn("_out", F.lit(True))
-        done = acting.select(*key, F.col("i").alias("n"), F.lit(True).alias("_done"))
-        nodes = pin(nodes.join(beaten, [*key, "n"], "left").join(done, [*key, "n"], "left").select(
-            *key, "n", (F.col("played") | F.coalesce("_done", F.lit(False))).alias("played"),
-            (F.col("gone") | F.coalesce("_out", F.lit(False))).alias("gone")))
-
-
-def dedupe_candidates(df: DataFrame, limit: float = 0.7) -> DataFrame:
-    """Keep a box unless an earlier kept one overlaps it by more than ``limit``.
-
-    In every round the boxes whose earlier rivals are all decided are decided together.
-    """
+    duels = pin(_ordered_pairs(df).filter(G.iou(a, b) > limit).select(
+        "page_id", a["y1"].alias("y1"), a["x1"].alias("x1"), a["region_id"].cast("long").alias("i"), b["region_id"].cast("long").alias("j"),
+        F.coalesce(F.length(a["text"]) >= F.length(b["text"]), F.lit(False)).alias("i_stays")))
+    return _without(df, losers_of_duels(duels, rows))
+
+
+def dedupe_candidates(df: DataFrame, limit: float = 0.7, rows: int = CELL_ROWS) -> DataFrame:
+    """Keep a box unless an earlier kept one overlaps it by more than ``limit`` (below 1)."""
     a, b = F.col("a"), F.col("b")
-    edges = pin(_ids(_ordered_pairs(df).filter(G.iou(a, b) > limit)))
-    state = edges.select("page_id", F.col("b_id").alias("n")).union(edges.select("page_id", F.col("a_id"))).distinct().withColumn(
-        "keep", F.lit(None).cast("boolean"))
-    while True:
-        rivals = edges.join(state.select("page_id", F.col("n").alias("a_id"), F.col("keep").alias("_k")), ["page_id", "a_id"])
-        seen = rivals.groupBy("page_id", F.col("b_id").alias("n")).agg(
-            F.coalesce(F.bool_or(F.col("_k")), F.lit(False)).alias("_beaten"), F.bool_or(F.col("_k").isNull()).alias("_open"))
-        beaten, open_ = F.coalesce("_beaten", F.lit(False)), F.coalesce("_open", F.lit(False))
-        state = pin(state.join(seen, ["page_id", "n"], "left").select(
-            "page_id", "n", F.coalesce("keep", F.when(beaten, False).when(~open_, True)).alias("keep")))
-        if state.filter(F.col("keep").isNull()).isEmpty():
-            lost = state.filter(~F.col("keep")).select("page_id", F.col("n").alias("region_id"))
-            return df.join(lost, ["page_id", "region_id"], "left_anti")
-
-
-def group_nearby(df: DataFrame, gap: int = 18, overlap: float = 0.15, small: int = SMALL_GROUP) -> DataFrame:
+    flat = (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))
+    # of equal boxes only the first can stay, and what it loses to the others lose to as well
+    firsts = df.filter(~flat).groupBy("page_id", *SIDES).agg(F.min("region_id").alias("region_id"))
+    copies = df.filter(~flat).join(firsts.select("page_id", "region_id", F.lit(True).alias("_first")), ["page_id", "region_id"], "left_anti")
+    rivalries = _ordered_pairs(firsts).filter(G.iou(a, b) > limit).select(
+        "page_id", a["region_id"].cast("long").alias("earlier"), b["region_id"].cast("long").alias("later"), b["y1"].alias("y1"), b["x1"].alias("x1"))
+    return _without(df, losers_to_earlier(rivalries, rows).unionByName(copies.select("page_id", F.col("region_id").cast("long").alias("region_id"))))
+
+
+def group_nearby(df: DataFrame, gap: int = 18, overlap: float = 0.15, rows: int = CELL_ROWS) -> DataFrame:
     """Adds ``group_no``: the region (smallest in reading order) a group of near regions starts from.
 
-    A group grows against its own box until nothing more fits. Regions across an empty strip taller than
-    ``gap`` can never meet, so every band stands alone; a band larger than ``small`` is grown by joins.
+    A group grows against its own box until nothing more fits. Regions with an unknown side are in no group.
     """
-    banded = pin(bands(df, gap).select("page_id", F.col("region_id").cast("int").alias("region_id"), "band", *SIDES))
-    few, many = _split_by_size(banded, ["page_id", "band"], small)
-
-    boxed = few.groupBy("page_id", "band").agg(F.collect_list(F.array("y1", "x1", "region_id", "x2", "y2")).alias("boxes"))
-    grown = _seeds(gap, overlap)("boxes")
-    # a region alone in its band needs no growing
-    alone = boxed.filter(F.size("boxes") == 1).select("page_id", F.col("boxes")[0][2].alias("region_id"), F.col("boxes")[0][2].alias("seed"))
-    several = boxed.filter(F.size("boxes") > 1).select("page_id", F.explode(grown).alias("g")).select(
-        "page_id", F.col("g")[0].alias("region_id"), F.col("g")[1].alias("seed"))
-    grouped = alone.unionByName(several)
-    if not many.isEmpty():
-        grouped = grouped.unionByName(_grow_in_rounds(many, gap, overlap).select("page_id", "region_id", "seed"))
-    grouped = grouped.select("page_id", F.col("region_id").cast(df.schema["region_id"].dataType).alias("region_id"), F.col("seed").alias("group_no"))
-    return df.join(grouped, ["page_id", "region_id"])
-
-
-def _seeds(gap: int, overlap: float):
-    """Function over arrays of (y1, x1, id, x2, y2): pairs (id, id of the region its group starts from)."""
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-    def seeds(bands_of_boxes: pd.Series) -> pd.Series:
-        def grow(boxes) -> list[tuple[int, int]]:
-            free = sorted(tuple(b) for b in boxes)
-            out = []
-            while free:
-                y1, x1, seed, x2, y2 = free[0]
-                free, taken = free[1:], [free[0]]
-                while taken:
-                    out += [(b[2], seed) for b in taken]
-                    y1, x1 = min(y1, *(b[0] for b in taken)), min(x1, *(b[1] for b in taken))
-                    x2, y2 = max(x2, *(b[3] for b in taken)), max(y2, *(b[4] for b in taken))
-                    taken, rest = [], []
-                    for b in free:
-                        span = max(b[3], x2) - min(b[1], x1)
-                        fits = max(b[0] - y2, y1 - b[4]) <= gap and span > 0 and min(b[3], x2) - max(b[1], x1) > overlap * span
-                        (taken if fits else rest).append(b)
-                    free = rest
-            return out
-
-        return bands_of_boxes.map(grow)
-
-    return seeds
-
-
-def _grow_in_rounds(rows: DataFrame, gap: int, overlap: float) -> DataFrame:
-    key = ["page_id", "band"]
-    place = F.struct("y1", "x1", "region_id")
-    state = pin(rows.withColumn("seed", F.lit(None).cast("int")).withColumn("open", F.lit(False)))
-    while True:
-        active = state.filter("open").groupBy(*key, F.col("seed").alias("_s")).agg(
-            *[(F.min if s.endswith("1") else F.max)(s).alias(f"g_{s}") for s in SIDES])
-        free = state.filter(F.col("seed").isNull())
-        if free.isEmpty():
-            return state.select("page_id", "region_id", "band", "seed")
-        apart = F.greatest(F.col("y1") - F.col("g_y2"), F.col("g_y1") - F.col("y2"))
-        span = F.greatest("x2", "g_x2") - F.least("x1", "g_x1")
-        common = F.least("x2", "g_x2") - F.greatest("x1", "g_x1")
-        joins = pin(free.join(active, key).filter((apart <= gap) & (span > 0) & (common > F.lit(overlap) * span)).select(*key, "region_id", "_s"))
-        # bands whose group took nothing in start their next group from the first free region
-        grown = joins.select(*key).distinct()
-        fresh = free.join(grown, key, "left_anti").groupBy(*key).agg(F.min_by("region_id", place).alias("region_id")).withColumn("_s", F.col("region_id"))
-        closing = fresh.select(*key).withColumn("_close", F.lit(True))
-        taken = joins.unionByName(fresh.select(*key, "region_id", "_s"))
-        state = pin(state.join(taken, [*key, "region_id"], "left").join(closing, key, "left").select(
-            "page_id", "region_id", "band", *SIDES, F.coalesce("seed", "_s").alias("seed"),
-            (F.col("_s").isNotNull() | (F.col("open") & F.col("_close").isNull())).alias("open")))
+    whole = df.dropna(subset=SIDES)
+    seeds = seeds_of_groups(whole, gap, overlap, rows).select(
+        "page_id", F.col("region_id").cast(df.schema["region_id"].dataType).alias("region_id"), F.col("seed").cast("int").alias("group_no"))
+    return df.join(seeds, ["page_id", "region_id"])
 
 
 def reading_order() -> list[Column]:

@@ -121,15 +121,18 @@ def ids(df):
     return {(r.page_id, r.region_id) for r in df.select("page_id", "region_id").collect()}
 
 
-@pytest.mark.parametrize("small", [2000, 0], ids=["in tasks", "in rounds"])
-def test_dedupe_overlaps(spark, small):
+@pytest.mark.parametrize("cell", [16_384, 9], ids=["one cell", "many cells"])
+def test_dedupe_overlaps(spark, cell):
     rows = random_boxes(1)
-    got = ids(boxes.dedupe_overlaps(frame(spark, rows), 0.2, small))
+    got = ids(boxes.dedupe_overlaps(frame(spark, rows), 0.2, cell))
     assert got == survivors(rows, 0.2) and len(got) < len(rows)
 
 
-def test_dedupe_candidates(spark):
+@pytest.mark.parametrize("cell", [16_384, 9], ids=["one cell", "many cells"])
+def test_dedupe_candidates(spark, cell):
     rows = random_boxes(2)
+    rows += [(0, 100 + i, *rows[3 + i % 2][2:]) for i in range(30)]  # copies
+    rows += [(1, 200 + i, 5, 5, 5, 90, "flat") for i in range(3)]
     kept = set()
     for page, rs in by_page(rows).items():
         chosen = []
@@ -137,7 +140,50 @@ def test_dedupe_candidates(spark):
             if all(iou(r, c) <= 0.2 for c in chosen):
                 chosen.append(r)
         kept |= {(page, r[1]) for r in chosen}
-    assert ids(boxes.dedupe_candidates(frame(spark, rows), 0.2)) == kept
+    assert ids(boxes.dedupe_candidates(frame(spark, rows), 0.2, cell)) == kept
+
+
+def shuffled_chain(n, step=10):
+    """Boxes of 20 down a page, each over half of the one before, in blocks whose numbers run against each other."""
+    order = sorted(range(n), key=lambda i: (i // 50 % 2, i))
+    return [(0, i, 0, order[i] * step, 20, order[i] * step + 20, "x" * (1 + i % 3)) for i in range(n)]
+
+
+def count_rounds(monkeypatch, name):
+    from pageloom.operators import settle
+
+    made, plain = [], getattr(settle, name)
+    monkeypatch.setattr(settle, name, lambda *a: made.append(1) or plain(*a))
+    return made
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rows = shuffled_chain(2000)
+    kept = []
+    for r in rows:
+        if all(iou(r, c) <= 0.3 for c in kept if abs(r[3] - c[3]) < 20):
+            kept.append(r)
+    want = {(r[0], r[1]) for r in kept}
+    frame_ = frame(spark, rows)
+    pins = count_rounds(monkeypatch, "pin")
+    assert ids(boxes.dedupe_candidates(frame_, 0.3, 250)) == want
+    assert len(pins) <= 2 * 2000 // 250 + 2
+    pins.clear()
+    assert ids(boxes.dedupe_candidates(frame_, 0.3)) == want
+    assert len(pins) == 2  # the rivalries, one round
+    pins.clear()
+    assert ids(boxes.dedupe_overlaps(frame_, 0.3, 250)) == survivors(rows, 0.3)
+    assert len(pins) <= 3 * 2000 // 250 + 3
+
+
+def test_a_crowded_band_is_grouped_in_cells(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(0, i, x, y, x + rng.randint(10, 90), y + rng.randint(8, 30), "t") for i in range(20_000) for x, y in [(rng.randint(0, 900), rng.randint(0, 60_000))]]
+    rows += [(p, i, 10 * i, 5, 10 * i + 8, 20, "t") for p in range(1, 30) for i in range(10)]
+    pins = count_rounds(monkeypatch, "pin")
+    got = {(r.page_id, r.region_id): r.group_no for r in boxes.group_nearby(frame(spark, rows), rows=2500).collect()}
+    assert got == swept(rows)
+    assert len(pins) <= 4 * 9  # four tables a round, a round for each of the cells at most
 
 
 def grouped(rows, gap=18, share=0.15):
@@ -158,11 +204,35 @@ def grouped(rows, gap=18, share=0.15):
     return out
 
 
-@pytest.mark.parametrize("small", [2000, 0], ids=["in tasks", "in rounds"])
-def test_group_nearby(spark, small):
+def swept(rows, gap=18, share=0.15):
+    """``grouped`` for many regions: candidates end at the group's lower edge."""
+    out = {}
+    for page, rs in by_page(rows).items():
+        rs = sorted(rs, key=lambda r: (r[3], r[2], r[1]))
+        used = [False] * len(rs)
+        for i, seed in enumerate(rs):
+            if used[i]:
+                continue
+            group, used[i], grew = [seed], True, True
+            while grew:
+                x1, y2, x2 = min(r[2] for r in group), max(r[5] for r in group), max(r[4] for r in group)
+                grew = False
+                for k in range(i + 1, len(rs)):
+                    r = rs[k]
+                    if r[3] - y2 > gap:
+                        break
+                    if not used[k] and (min(r[4], x2) - max(r[2], x1)) / (max(r[4], x2) - min(r[2], x1)) > share:
+                        used[k] = grew = True
+                        group.append(r)
+            out.update({(page, r[1]): seed[1] for r in group})
+    return out
+
+
+@pytest.mark.parametrize("cell", [16_384, 10], ids=["one cell", "many cells"])
+def test_group_nearby(spark, cell):
     rng = random.Random(4)
     rows = [(p, i, x, y, x + rng.randint(10, 60), y + rng.randint(8, 20), "t") for p in range(3) for i in range(25) for x, y in [(rng.randint(0, 500), rng.randint(0, 700))]]
-    got = {(r.page_id, r.region_id): r.group_no for r in boxes.group_nearby(frame(spark, rows), small=small).collect()}
+    got = {(r.page_id, r.region_id): r.group_no for r in boxes.group_nearby(frame(spark, rows), rows=cell).collect()}
     assert got == grouped(rows)
 
 
