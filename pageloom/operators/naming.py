@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.urls import stem, suffix
-from pageloom.plans.ordered import BLOCK_ROWS, dense_position, running_sum
+from pageloom.plans.ordered import BLOCK_ROWS, dense_position, running_sum, with_neighbours
 from pageloom.session import pin
 
 _SLOT = r"^(.+)_([1-9][0-9]{0,17})$"
@@ -33,7 +34,7 @@ def assign_unique_names(work: DataFrame, existing: DataFrame, rows: int = BLOCK_
     ``work`` has folder, name, idx (unique per folder); ``existing`` has folder, name of present files.
     The requests for one name form a family whose slots are handed out in order. A
     slot is lost when the file exists, or when a request for exactly that name came
-    earlier. The second case ties families to each other and is settled in rounds.
+    earlier. The second case ties families to each other; their contests are replayed tree by tree.
     """
     ranked = dense_position(work, _FAMILY, "idx", "_rank", rows)
     firsts = work.groupBy(*_FAMILY).agg(F.min("idx").alias("_first"), F.count(F.lit(1)).alias("_size"))
@@ -51,7 +52,7 @@ def assign_unique_names(work: DataFrame, existing: DataFrame, rows: int = BLOCK_
     lost = fixed
     if not contested.isEmpty():
         contested = pin(contested)
-        lost = _settle(contested, fixed, ranked, rows)
+        lost = pin(_settle(contested, fixed, ranked, rows))
     shifted = _slots_before(lost, rows).groupBy(*_FAMILY, "_shift_at").agg(F.count(F.lit(1)).alias("_step"))
     events = (
         ranked.withColumn("_at", 2 * F.col("_rank") - 1).withColumn("_step", F.lit(0).cast("bigint"))
@@ -64,26 +65,52 @@ def assign_unique_names(work: DataFrame, existing: DataFrame, rows: int = BLOCK_
     return placed.withColumn("unique_name", name).drop("_rank", "_at", "_step", "_skipped")
 
 
+_BARE = r"^(.+?)(?:_[1-9][0-9]{0,17})+$"
+
+
 def _settle(contested: DataFrame, fixed: DataFrame, ranked: DataFrame, rows: int) -> DataFrame:
-    """Decide each contested slot: the family keeps it when its request gets there before the rival's first."""
-    base = fixed.select(*_FAMILY, "slot")
-    guess = None
-    while True:
-        if guess is None:
-            lost = base
+    """Decide each contested slot: the family keeps it when its request gets there before the rival's first. Returns all lost slots.
+
+    A name is a slot of one family at most (its last ``_k`` taken off), so contests form trees, and all of a tree share the name without any
+    ``_k`` at its end. A slot's fate follows from the family's lost slots below it: contested ones, and slot 0 if the family is itself a rival. So a
+    tree is replayed from its root down, slot by slot. It needs the requests of those ranks only that can reach a contested slot.
+    """
+    numbered = dense_position(contested, _FAMILY, "slot", "_nth", rows)  # from 1
+    marks = fixed.withColumn("_lost", F.lit(1).cast("bigint")).unionByName(
+        contested.select(*_FAMILY, (F.col("slot")).alias("slot"), F.lit(0).cast("bigint").alias("_lost")))
+    summed = running_sum(marks.groupBy(*_FAMILY, "slot").agg(F.sum("_lost").alias("_lost")), _FAMILY, "slot", F.col("_lost"), "_upto", rows)
+    asked = numbered.join(summed.select(*_FAMILY, "slot", F.col("_upto").alias("_fixed")), [*_FAMILY, "slot"])
+    # with none or all of the contested slots below lost, and slot 0 too
+    asked = asked.withColumns({"_high": F.col("slot") + 1 - F.col("_fixed"), "_low": F.greatest(F.lit(1), F.col("slot") + 1 - F.col("_fixed") - F.col("_nth"))})
+    # slots near each other are reached by the same ranks, which are listed once
+    pieces = with_neighbours(asked, _FAMILY, "_nth", 1, 0, lambda w: {"_before": F.lag("_high").over(w)}, rows)
+    ranks = pieces.withColumn("_first", F.greatest("_low", F.coalesce(F.col("_before") + 1, "_low"))).filter("_first <= _high").select(
+        *_FAMILY, F.explode(F.sequence("_first", "_high")).alias("_rank"))
+    times = ranks.join(ranked.select(*_FAMILY, "_rank", "idx"), [*_FAMILY, "_rank"])
+    tree = lambda df: df.withColumn("_tree", F.concat(
+        F.when(stem("name").rlike(_BARE), F.regexp_extract(stem("name"), _BARE, 1)).otherwise(stem("name")), suffix("name")))
+    slots = tree(asked.select(*_FAMILY, "slot", "taken", "_rival", "_fixed"))
+    times = tree(times.select(*[F.col(c).alias(c) for c in [*_FAMILY, "_rank", "idx"]]))
+    lost = slots.groupBy("folder", "_tree").cogroup(times.groupBy("folder", "_tree")).applyInArrow(_replay, "folder string, name string, slot long")
+    return fixed.select(*_FAMILY, "slot").unionByName(lost)
+
+
+def _replay(slots: pa.Table, times: pa.Table) -> pa.Table:
+    """The slots that the families of one tree lose to each other."""
+    when = {(n, r): t for n, r, t in zip(*(times.column(c).to_pylist() for c in ("name", "_rank", "idx")), strict=True)}
+    rows = zip(*(slots.column(c).to_pylist() for c in ("name", "slot", "taken", "_rival", "_fixed")), strict=True)
+    first_lost: set[str] = set()
+    below: dict[str, int] = {}
+    out = []
+    # a family's own name is decided with its parent, whose name is shorter
+    for name, slot, taken, rival, fixed in sorted(rows, key=lambda r: (len(r[0]), r[0], r[1])):
+        gone = fixed + below.get(name, 0) + (name in first_lost)
+        reached = when.get((name, slot + 1 - gone))
+        if reached is not None and reached < rival:
+            first_lost.add(taken)
+            out.append((taken, 0))
         else:
-            # a slot the family does not win is lost to it; one it wins costs the rival its slot 0
-            to_rival = guess.filter(~F.col("_wins")).select(*_FAMILY, "slot")
-            from_rival = guess.filter("_wins").select("folder", F.col("taken").alias("name"), F.lit(0).cast("bigint").alias("slot"))
-            lost = base.unionByName(to_rival).unionByName(from_rival).distinct()
-        marks = lost.withColumn("_lost", F.lit(1).cast("bigint")).join(
-            contested.select(*_FAMILY, "slot").withColumn("_asked", F.lit(True)), [*_FAMILY, "slot"], "full_outer")
-        below = running_sum(marks, _FAMILY, "slot", F.coalesce(F.col("_lost"), F.lit(0)), "_upto", rows).filter("_asked")
-        rank = F.col("slot") - (F.col("_upto") - F.coalesce(F.col("_lost"), F.lit(0))) + 1
-        asked = contested.join(below.select(*_FAMILY, "slot", rank.alias("_rank")), [*_FAMILY, "slot"])
-        reached = asked.join(ranked.select(*_FAMILY, "_rank", F.col("idx").alias("_idx")), [*_FAMILY, "_rank"], "left")
-        new = pin(reached.select(*_FAMILY, "slot", "taken",
-                                 F.coalesce(F.col("_idx") < F.col("_rival"), F.lit(False)).alias("_wins")))
-        if guess is not None and new.exceptAll(guess).isEmpty():
-            return lost
-        guess = new
+            below[name] = below.get(name, 0) + 1
+            out.append((name, slot))
+    folder = slots.column("folder").to_pylist()[:1] * len(out)
+    return pa.table({"folder": pa.array(folder, pa.string()), "name": pa.array([n for n, _ in out], pa.string()), "slot": pa.array([s for _, s in out], pa.int64())})

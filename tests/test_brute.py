@@ -273,6 +273,28 @@ def test_unique_names(spark, seed):
     assert {(r.folder, r.idx): r.unique_name for r in got.collect()} == named(work, existing)
 
 
+@pytest.mark.parametrize("shape", ["slots of one name", "names of names", "far apart"])
+def test_long_contests_take_two_tables(spark, monkeypatch, shape):
+    """A thousand names that contest each other: the requests are replayed, the number of written tables stays."""
+    from pageloom.operators import naming
+
+    rng = random.Random(11)
+    if shape == "slots of one name":
+        names = ["a.jpg"] * 1200 + [f"a_{k}.jpg" for k in range(1, 1001)]
+    elif shape == "names of names":
+        names = ["a" + "_1" * k + ".jpg" for k in range(1000)] * 2
+    else:
+        names = ["a.jpg"] * 3000 + [f"a_{k}.jpg" for k in range(3, 4000, 97)] + [f"a_{k}_1.jpg" for k in range(3, 4000, 97)] * 3
+    rng.shuffle(names)
+    work = [("/f", n, i) for i, n in enumerate(names)]
+    pins, plain = [], naming.pin
+    monkeypatch.setattr(naming, "pin", lambda df: pins.append(1) or plain(df))
+    there = [("/f", "a_7.jpg"), ("/f", "a_2_1.jpg")]
+    got = assign_unique_names(spark.createDataFrame(work, "folder string, name string, idx long"), spark.createDataFrame(there, "folder string, name string"), rows=500)
+    assert {(r.folder, r.idx): r.unique_name for r in got.collect()} == named(work, there)
+    assert len(pins) == 2
+
+
 # ---------------------------------------------------------------- terms
 
 
