@@ -10,8 +10,8 @@ Documents are laid out by range of (id, text hash, input position), so that rows
 encodes its sorted rows as a stream, a stretch of texts at a time, and writes under a name no other attempt uses; only the
 files in the list that Spark writes afterwards count. Long texts are cut at blanks for encoding, in memory of a bounded size.
 
-With ``by_word`` (for tokenizers that drop white space and never join over it) each distinct word between ASCII blanks is encoded once
-and its ids are looked up; the result is that of the whole text. Without it whole texts are encoded.
+With ``by_word`` (for tokenizers that lower-case, drop white space, never join over it, and give a run of ASCII letters to the model as
+one piece) each distinct word between ASCII blanks is encoded once per worker and its ids are looked up; the result is that of the whole text. Without it whole texts are encoded.
 
 Defined cases: a null text is empty, an empty one has only the end id; rows without an id come first, rows that share one are ordered by
 text hash and text; repeated rows are documents each; an empty table gives no files and no rows; other columns are not read. Ids
@@ -20,7 +20,9 @@ are integers. Files live below the session's shared folder and are reached throu
 
 from __future__ import annotations
 
+import hashlib
 import math
+import os
 import re
 import struct
 import uuid
@@ -40,10 +42,10 @@ from pageloom.llm.common import quoted, shared_path, staged
 
 MAGIC, VERSION = b"TOKENIDX", 1
 HEADER = struct.Struct("<8sIIqq")
-#: Characters encoded together, and words whose ids a task keeps.
-STRETCH, KEPT_WORDS = 4 << 20, 1 << 20
-#: Longer words are encoded where they stand and not kept.
-LONG_WORD = 200
+#: Characters encoded together, words whose ids a worker keeps, new words encoded in one go.
+STRETCH, KEPT_WORDS, JOINED = 4 << 20, 1_600_000, 4096
+#: After a word of more bytes the kept words are dropped.
+LONG_WORD = 1 << 16
 #: Bytes of text behind one file, at least and at most; between them there are three files per core.
 LEAST_BYTES, MOST_BYTES = 16 << 20, 256 << 20
 FILE_FIELDS = "part int, file string, documents long, tokens long"
@@ -59,61 +61,93 @@ def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
 # -- encoding -----------------------------------------------------------------------------------------------------------------
 
 class Encoder:
-    """Ids of texts with the end id after each document."""
+    """Ids of texts with the end id after each document; ids of known words lie in one array."""
 
     def __init__(self, model: str, end_id: int, by_word: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.by_word = Tokenizer.from_str(model), by_word
+        self.tokenizer, self.by_word, self.end_id = Tokenizer.from_str(model), by_word, end_id
         self.dtype = np.dtype("<u2" if max(end_id, self.tokenizer.get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else "<u4")
-        self.end_id = end_id
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        # an added token that is cut out before anything else is done can stand between words that are encoded in one go
+        self.gap = next(((i, t.content) for i, t in added.items() if not (t.normalized or t.single_word or t.lstrip or t.rstrip)), None)
+        # runs of lower-case ASCII letters go straight to the model: there is nothing to normalise or to cut
+        self.letters = Tokenizer.from_str(model)
+        self.letters.normalizer, self.letters.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self._forget()
 
     def _forget(self) -> None:
-        # word 0 is the end of a document
-        self.places, self.flat, self.used = {}, np.zeros(1 << 16, self.dtype), 1
-        self.flat[0] = self.end_id
-        self.starts, self.lengths = [0], [1]
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        for word, ids in zip(words, self._ids(words), strict=True):
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.places[word] = len(self.starts)
-            self.starts.append(self.used)
-            self.lengths.append(len(ids))
-            self.used += len(ids)
+        # place 0 is the end of a document
+        self.places: dict[str, int] = {}
+        self.flat, self.starts, self.lengths = np.array([self.end_id], self.dtype), np.zeros(1, np.int32), np.ones(1, np.int32)
+
+    def _ids(self, tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, tokenizer, words: list[str], joined: bool) -> None:
+        """Encode new words and keep their ids."""
+        if joined:
+            number, token = self.gap
+            flat = [self._ids(tokenizer, [token.join([*words[at:at + JOINED], ""])])[0] for at in range(0, len(words), JOINED)]
+            ids = np.concatenate(flat)
+            ends = np.flatnonzero(ids == number)
+            lengths = np.diff(ends, prepend=-1) - 1
+            ids = ids[ids != number]
+        else:
+            lists = self._ids(tokenizer, words)
+            ids, lengths = np.concatenate(lists), np.array([len(x) for x in lists])
+        self.places.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, (len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int32)])
+        self.lengths, self.flat = np.concatenate([self.lengths, lengths.astype(np.int32)]), np.concatenate([self.flat, ids])
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Where the ids of distinct words are; new ones are encoded and kept."""
+        if len(self.places) + len(words) > KEPT_WORDS:
+            self._forget()
+        kinds: tuple[list[str], ...] = ([], [], [])
+        for word in words:
+            if word not in self.places:
+                kinds[0 if self.gap is None or any(t in word for t in self.added) else 1 if word.isascii() and word.isalpha() else 2].append(word)
+        for new, tokenizer, joined in zip(kinds, (self.tokenizer, self.letters, self.tokenizer), (False, True, True), strict=True):
+            if new:
+                self._learn(tokenizer, new, joined)
+        return np.fromiter(map(self.places.__getitem__, words), np.int32, len(words))
 
     def encode(self, pieces: list[str], ends: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces one after the other, and how many each has; a piece that ends its document gets the end id."""
         if not self.by_word:
-            lists = [ids + [self.end_id] * end for ids, end in zip(self._ids(pieces), ends, strict=True)]
-            return np.array([i for ids in lists for i in ids], self.dtype), np.array([len(ids) for ids in lists], np.int64)
+            lists = [np.append(ids, self.end_id).astype(self.dtype) if end else ids for ids, end in zip(self._ids(self.tokenizer, pieces), ends, strict=True)]
+            return np.concatenate([np.zeros(0, self.dtype), *lists]), np.array([len(ids) for ids in lists], np.int64)
         words = pc.ascii_split_whitespace(pa.array(pieces, pa.large_string()))
-        seen = words.flatten().dictionary_encode()
-        distinct = seen.dictionary.to_pylist()
-        if len(self.places) + len(distinct) > KEPT_WORDS:
-            self._forget()
-        self._learn([w for w in distinct if w not in self.places])
-        place = np.array([self.places[w] for w in distinct] or [0], np.int64)
-        for word in distinct:
-            if len(word) > LONG_WORD:
-                del self.places[word]
+        each = words.flatten()
+        seen = pc.if_else(pc.string_is_ascii(each), pc.ascii_lower(each), each).dictionary_encode()
+        place = self._places(seen.dictionary.to_pylist())
         bounds = words.offsets.to_numpy()
-        bounds = bounds - bounds[0]
-        ending = np.array(ends, bool)
-        used = np.insert(place[seen.indices.to_numpy(zero_copy_only=False)] if len(seen) else np.zeros(0, np.int64), bounds[1:][ending], 0)
-        starts, lengths = np.array(self.starts, np.int64)[used], np.array(self.lengths, np.int64)[used]
-        stops = np.cumsum(lengths)
-        ids = self.flat[np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - stops + lengths, lengths)]
-        upto = np.concatenate([[0], stops])[bounds + np.concatenate([[0], np.cumsum(ending)])]
+        bounds, ending = bounds - bounds[0], np.array(ends, bool)
+        used = np.insert(place[seen.indices.to_numpy()], bounds[1:][ending], 0)
+        lengths = self.lengths[used]
+        stops = np.cumsum(lengths, dtype=np.int32)
+        ids = self.flat[np.arange(stops[-1] if len(stops) else 0, dtype=np.int32) + np.repeat(self.starts[used] - stops + lengths, lengths)]
+        upto = np.concatenate([[0], stops]).astype(np.int64)[bounds + np.concatenate([[0], np.cumsum(ending)])]
+        if len(seen) and pc.max(pc.binary_length(seen.dictionary)).as_py() > LONG_WORD:
+            self._forget()  # not to hold texts without blanks
         return ids, np.diff(upto)
 
 
+#: The encoder of a Python worker, kept from task to task with the words it knows.
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder_of(model: str, end_id: int, by_word: bool) -> Encoder:
+    key = (hashlib.sha256(model.encode()).digest(), end_id, by_word)
+    if key not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(model, end_id, by_word)
+    return _ENCODERS[key]
+
+
 def pieces_of(text: str, limit: int = STRETCH) -> Iterator[str]:
     """The text in parts of about ``limit`` characters that end before a blank; a run without blanks stays whole."""
     at = 0
@@ -149,14 +183,16 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, model: Broadcast, end
                 part_of_document = 0
         waiting.clear()
         held = 0
+        pa.default_memory_pool().release_unused()
 
     for batch in batches:
         if encoder is None and batch.num_rows:
-            encoder = Encoder(model.value, end_id, by_word)
+            encoder = encoder_of(model.value, end_id, by_word)
             store, path = _opened(name + ".bin")
             store.create_dir(path.rsplit("/", 1)[0], recursive=True)
             out = store.open_output_stream(path, compression=None)
-        documents.append(batch.column("doc_id"))
+        # a copy, as the column would keep the whole batch in memory
+        documents.append(pa.array(batch.column("doc_id").to_pylist(), pa.int64()))
         for text in batch.column("text"):
             parts = list(pieces_of(text.as_py() or "")) if by_word else [text.as_py() or ""]
             for i, piece in enumerate(parts):
