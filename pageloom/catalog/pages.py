@@ -8,7 +8,7 @@ from pageloom.catalog import sql_parts as S
 from pageloom.catalog.registry import query
 from pageloom.functions import html as H
 from pageloom.functions import parsing
-from pageloom.operators import extract, stages
+from pageloom.operators import extract
 from pageloom.operators.naming import assign_unique_names
 from pageloom.plans import downloads, listing
 from pageloom.plans.listing import common_prefix, sub_folder
@@ -302,6 +302,6 @@ def d3(t):
 
 @query("ud7_explode_media")
 def ud7(t):
-    stages.register_table_functions(t.spark)
     t.fx_site.createOrReplaceTempView("fx_site_pages")
-    return t.spark.sql("select p.page_id, m.ord, m.url from fx_site_pages p, lateral explode_media(p.html, p.url) m")
+    extract.register_media_view(t.spark, "fx_site_pages", "explode_media")
+    return t.spark.sql("select page_id, ord, url from explode_media")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from pageloom.catalog import sql_parts as S
-from pageloom.catalog.registry import query
+from pageloom.catalog import flow  # noqa: F401  registers the page context first
+from pageloom.catalog.registry import ORACLES, query
 from pageloom.catalog.sql_parts import trim
-from pageloom.catalog.term_store import flat, now, store
+from pageloom.catalog.term_store import flat, mutated_by, now, store
+from pageloom.functions import lexicon as L
 from pageloom.operators import images, journal
 from pageloom.plans.ordered import best_per_group
 from pageloom.session import pin
@@ -17,19 +21,23 @@ from pageloom.streaming import jobs
 big = lambda c: F.col(c).cast("bigint") if isinstance(c, str) else c.cast("bigint")
 
 
-#: Files, and so tasks, of a micro-batch.
-FILES = 4
+#: Rows of a file and of a micro-batch.
+FILE_ROWS, BATCH_ROWS = 100_000, 2_000_000
 
 
 def staged(df, name: str, order: str, parts: int = 2):
-    """Write a table in ``order`` as successive sets of ``FILES`` files and read it back as a stream, one set per micro-batch."""
+    """Write a table in ``order`` as successive sets of files and read it back as a stream, one set per micro-batch. ``parts`` sets
+    at least; beyond that their number, and that of their files, follows the rows."""
     spark = df.sparkSession
     path = snapshots.scratch_path(spark, name)
+    rows = df.count()
+    parts = max(parts, math.ceil(rows / BATCH_ROWS))
+    files = max(1, math.ceil(rows / parts / FILE_ROWS))
     laid = pin(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
     for part in range(parts):
         # the file source takes files by age; the rows of a part are dealt out evenly, so that each of its tasks writes a file
-        laid.filter(F.col("_part") == part).drop("_part").repartition(FILES).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+        laid.filter(F.col("_part") == part).drop("_part").repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def run(writer, spark):
@@ -46,14 +54,9 @@ def _table(spark, name: str):
   sum(case when type = 'progress' then amount else 0 end)::bigint as done from fx_ev group by 1""")
 def st2(t):
     path, offsets = _table(t.spark, "progress")
-
-    def keep(batch, number):
-        # complete mode: the newest version replaces the one before
-        snapshots.write_snapshot(batch, path)
-
     source = staged(t.fx_ev.select("run_id", "seq", "type", "amount"), "ev", "seq")
-    run(jobs.stream_progress(source).writeStream.outputMode("complete").option("checkpointLocation", offsets).foreachBatch(keep), t.spark)
-    return snapshots.read_snapshot(t.spark, path, "run_id bigint, entries bigint, success bigint, failed bigint, done bigint")
+    run(jobs.stream_progress(source).writeStream.outputMode("update").option("checkpointLocation", offsets).foreachBatch(jobs.progress_sink(path)), t.spark)
+    return jobs.latest_progress(t.spark, path)
 
 
 @query("st3_stream_distinct_urls", "select distinct url from fx_att")
@@ -75,31 +78,46 @@ def st4(t):
 
 
 @query("st5_stream_recent_context", f"""
-select series_id, seg_id, coalesce(len(r), 0)::bigint as n, coalesce(array_to_string(r, chr(10)), '') as recent from (select series_id, seg_id,
-  (list({trim('src')} || ' => ' || {trim('trans')}) filter ({trim('src')} <> '' and {trim('trans')} <> '') over (partition by series_id order by seg_id rows between unbounded preceding and 1 preceding))[-12:] as r from fx_ctx)""")
+with w6 as ({ORACLES["w6_page_context"]})
+select c.series_id, c.seg_id, coalesce(len(r), 0)::bigint as n, coalesce(array_to_string(r, chr(10)), '') as recent, w6.context as pages from (select series_id, page_id, seg_id,
+  (list({trim('src')} || ' => ' || {trim('trans')}) filter ({trim('src')} <> '' and {trim('trans')} <> '') over (partition by series_id order by seg_id rows between unbounded preceding and 1 preceding))[-12:] as r from fx_ctx) c
+join w6 on c.series_id = w6.series_id and c.page_id = w6.page_id""")
 def st5(t):
     path, offsets = _table(t.spark, "context")
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    source = staged(t.fx_ctx.select("series_id", "seg_id", "src", "trans"), "ctx", "seg_id")
+    _rocksdb(t.spark)
+    source = staged(t.fx_ctx.select("series_id", "page_id", "seg_id", "src", "trans"), "ctx", "seg_id")
     run(jobs.stream_recent_context(source).writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", offsets), t.spark)
     return t.spark.read.parquet(path)
 
 
+def _rocksdb(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def _extract(chosen):
     """Stand-in for the outside extraction: the source is the term."""
     return chosen.select(F.col("seg_id").alias("pos"), F.col("src").alias("zh"), F.col("trans").alias("vi"),
                          F.concat(F.lit("series "), F.col("series_id").cast("string")).alias("source"))
 
 
-@query("st1_stream_learn_terms")
+#: Rounds of four pages, in each the pairs that fit the budget.
+_LEARNED = f"""select seg_id as pos, {trim('src')} as zh, {trim('trans')} as vi, false as enabled, 'series ' || series_id::varchar as source from (
+  select *, row_number() over w as rn, sum(length(src) + length(trans) + {L.LEARN_PAIR_OVERHEAD}) over w as s from (
+    select series_id, round, src, arg_min(trans, seg_id) as trans, min(seg_id) as seg_id from (
+      select *, (dense_rank() over (partition by series_id order by page_id) - 1) // 4 as round from fx_seg)
+    where src <> '' and trans <> '' group by all) window w as (partition by series_id, round order by length(src), seg_id))
+where rn <= {L.LEARN_MAX_PAIRS} and s <= {L.LEARN_MAX_CHARS} and {trim('src')} <> '' and {trim('trans')} <> ''"""
+
+
+@query("st1_stream_learn_terms", "with learned as (" + _LEARNED + "), " + mutated_by("learned"))
 def st1(t):
     root = snapshots.scratch_path(t.spark, "learn")
-    snapshots.write_snapshot(store(t), f"{root}/terms")
-    sink = jobs.learn_sink(root, _extract, now, every=4)
-    source = staged(t.fx_seg.select("series_id", "page_id", "seg_id", "src", "trans"), "segs", "seg_id", 3)
-    run(source.writeStream.option("checkpointLocation", f"{root}/offsets").foreachBatch(sink), t.spark)
-    sink.finish(t.spark)
-    return flat(snapshots.read_terms(t.spark, f"{root}/terms"))
+    _rocksdb(t.spark)
+    source = staged(t.fx_seg.select("series_id", "page_id", "seg_id", "src", "trans"), "segs", "seg_id")
+    released = jobs.stream_learning_batches(source, every=4)
+    run(released.writeStream.outputMode("append").option("checkpointLocation", f"{root}/offsets").foreachBatch(jobs.learn_sink(f"{root}/learned", _extract)), t.spark)
+    jobs.learn_rest(t.spark, f"{root}/offsets", f"{root}/learned", _extract)
+    return flat(jobs.learned_terms(store(t), f"{root}/learned", now()))
 
 
 @query("st6_stream_live_terms")

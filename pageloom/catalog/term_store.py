@@ -254,6 +254,11 @@ select m + row_number() over (order by pos), n.zh, {'v1' if overwrite else 'v0'}
 from n join r on n.zh = r.zh, top where n.zh not in (select zh from fx_store)"""
 
 
+def mutated_by(pairs: str) -> str:
+    """The store after learning from a table of pairs, without the ``with`` in front."""
+    return _mutated(False).replace("fx_pair", pairs).removeprefix("with ")
+
+
 @query("m1_learn_pending", _mutated(False))
 def m1(t):
     return flat(terms.learn_pending(store(t), t.fx_pair, now()))

@@ -110,6 +110,26 @@ def is_learnable(zh: ColumnLike, vi: ColumnLike) -> Column:
     return learnable_shape(zh, vi) & ~col(zh).isin(*L.STOPWORDS)
 
 
+def _thrice(words: Column, tail: int, last: Column) -> Column:
+    """Places i, up to ``last``, where the end of a word (``tail`` characters, words of at least so many; 1: shorter ones than 4) and the next word
+    begin like those of three places or more, itself included. Sorted keys that begin alike stand together."""
+
+    def key(i: Column) -> Column:
+        return F.struct(F.concat(F.right(F.get(words, i - 1), F.lit(tail)), F.lit(" "), F.get(words, i)).alias("key"), i.alias("at"))
+
+    def places(keys: Column) -> Column:
+        def among_three(e: Column, r: Column) -> Column:
+            like = lambda n: F.coalesce(F.get(keys, r + n)["key"].startswith(e["key"]), F.lit(False))
+            same = lambda n: F.coalesce((r >= n) & (F.get(keys, F.greatest(r - n, F.lit(0)))["key"] == e["key"]), F.lit(False))
+            size = F.length(F.get(words, e["at"] - 1))
+            counts = (size >= tail) if tail > 1 else (size < 4)
+            return (e["at"] <= last) & counts & (like(2) | (like(1) & same(1)) | same(2))
+
+        return F.transform(F.filter(keys, among_three), lambda e: e["at"])
+
+    return let(F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), key)), places)
+
+
 def is_repetitive(text: ColumnLike, threshold: int = 5) -> Column:
     """Character, word or phrase repeated the way a stuck model repeats itself."""
     text = col(text)
@@ -119,9 +139,18 @@ def is_repetitive(text: ColumnLike, threshold: int = 5) -> Column:
         def hit(i: Column) -> Column:
             phrase = F.array_join(F.slice(words, i, F.lit(size)), " ")
             later = F.array_join(F.slice(words, i + size, F.size(words)), " ")
-            return let(phrase, lambda p: F.when(literal_count(text, p) >= 3, later.contains(p)).otherwise(False))
+            return let(phrase, lambda p: F.when(stands_thrice(p), later.contains(p)).otherwise(False))
+
+        def stands_thrice(p: Column) -> Column:
+            after = lambda at: F.position(p, text, at + F.length(p))
+            second = let(F.position(p, text), after)
+            return let(second, lambda at: (at > 0) & (after(at) > 0))
 
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - t + 1, F.lit(1)))
+        if size >= 2:
+            # a phrase that stands three times leaves its first two words at three places, or ends of words like them
+            likely = F.array_union(_thrice(words, 4, F.size(words) - t + 1), _thrice(words, 1, F.size(words) - t + 1))
+            starts = F.array_sort(likely)
         return F.when(F.size(words) >= 2 * t, F.exists(starts, hit)).otherwise(False)
 
     def same_token_run(tokens: Column) -> Column:

@@ -43,6 +43,27 @@ def is_blank(text: ColumnLike) -> Column:
     return F.coalesce(strip(text) == "", F.lit(True))
 
 
+def running_sums(values: Column, block: int = 32, levels: int = 3) -> Column:
+    """Sums of an array of integers up to each place. A place adds up its block's start; what the blocks before it hold is found the same
+    way from their totals. Nothing that is built grows with every step."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda acc, x: acc + x)
+
+    def direct(part: Column, before: Column) -> Column:
+        return F.transform(part, lambda x, i: before + total(F.slice(part, F.lit(1), i + 1)))
+
+    if levels == 1:
+        return direct(values, F.lit(0))
+
+    def over(blocks: Column) -> Column:
+        upto = let(F.transform(blocks, total), lambda ts: running_sums(ts, block, levels - 1))
+        return let(upto, lambda us: F.flatten(F.transform(blocks, lambda part, k: let(F.coalesce(F.get(us, k - 1), F.lit(0)), lambda b: direct(part, b)))))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(block))
+    return let(F.transform(starts, lambda s: F.slice(values, s, F.lit(block))), over)
+
+
 def swap(text: ColumnLike, old: str, new: str) -> Column:
     return F.replace(col(text), F.lit(old), F.lit(new))
 
@@ -147,15 +168,13 @@ def normalize_newlines(text: ColumnLike, variant: str = "translate") -> Column:
     plain = swap_all(strip_artifacts(text, variant), [(e, "\n") for e in L.ESCAPED_LINE_ENDS])
 
     def glue(lines: Column) -> Column:
-        def step(done: Column, line: Column) -> Column:
+        # a glued line ends like the line itself, so a line and the one before it decide
+        def piece(line: Column, i: Column) -> Column:
             short = strip(line)
-            last = F.coalesce(F.element_at(done, -1), F.lit(""))
-            joins = (F.size(done) > 0) & (short != "") & (F.length(short) <= 2) & ~last.rlike(L.GLUE_STOP)
-            glued = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, short)))
-            return F.when(joins, glued).otherwise(F.concat(done, F.array(line)))
+            joins = (short != "") & (F.length(short) <= 2) & ~F.get(lines, i - 1).rlike(L.GLUE_STOP)
+            return F.when(i == 0, line).when(joins, short).otherwise(F.concat(F.lit("\n"), line))
 
-        start = F.array().cast("array<string>")
-        return F.array_join(F.aggregate(lines, start, step), "\n")
+        return F.array_join(F.transform(lines, piece), "")
 
     def whole(t: Column) -> Column:
         # A closing line end starts no further line.
@@ -236,7 +255,6 @@ def repair_brackets(text: ColumnLike) -> Column:
     openers = F.lit("".join(o for o, _ in L.BRACKETS))
     closers = F.lit("".join(c for _, c in L.BRACKETS if c not in {o for o, _ in L.BRACKETS}))
     fits = F.lit("".join(c for _, c in L.BRACKETS))
-    state = "struct<open array<struct<at int, mark string>>, fix array<struct<at int, mark string>>>"
     marks = list(dict.fromkeys(m for pair in L.BRACKETS for m in pair))
     near, far = [m for m in marks if m < "\u0100"], [m for m in marks if m >= "\u0100"]
     # ordinary letters are turned away by the first class and the range test
@@ -245,28 +263,37 @@ def repair_brackets(text: ColumnLike) -> Column:
     def fitting(opener: Column) -> Column:
         return F.substring(fits, F.position(opener, openers), F.lit(1))
 
-    def step(acc: Column, mark: Column) -> Column:
-        top = F.element_at(acc["open"], -1)
-        opened = F.struct(F.concat(acc["open"], F.array(mark)).alias("open"), acc["fix"].alias("fix"))
-        closed = F.struct(
-            F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - 1).alias("open"),
-            F.concat(acc["fix"], F.array(
-                top, F.struct(mark["at"].alias("at"), fitting(top["mark"]).alias("mark")))).alias("fix"),
-        )
-        return (
-            F.when(F.position(mark["mark"], openers) > 0, opened)
-            .when((F.position(mark["mark"], closers) > 0) & (F.size(acc["open"]) > 0), closed)
-            .otherwise(acc)
-        )
-
     def rebuild(parts: Column) -> Column:
-        # parts alternate: text before a bracket, the bracket, text ... ; kept brackets come from the fold
-        marks = F.transform(F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("at"), p.alias("mark"))),
-                                     lambda m: m["at"] % 2 == 1), lambda m: m)
-        start = F.struct(F.array().alias("open"), F.array().alias("fix")).cast(state)
-        kept = F.map_from_entries(F.aggregate(marks, start, step)["fix"])
-        return let(kept, lambda k: F.array_join(
-            F.transform(parts, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.coalesce(F.element_at(k, i), F.lit("")))), ""))
+        # parts alternate: text before a bracket, the bracket, text ...
+        marks = F.filter(parts, lambda p, i: i % 2 == 1)
+        steps = let(marks, lambda ms: F.transform(ms, lambda m: F.when(F.position(m, openers) > 0, 1).when(F.position(m, closers) > 0, -1).otherwise(0)))
+        depths = let(steps, lambda s: running_sums(s))
+
+        def paired(ms: Column, ds: Column) -> Column:
+            # an opener's level is the depth it opens, a closer's the one it closes; in the order of level and place a pair stands together
+            def event(m: Column, i: Column) -> Column:
+                opens = F.position(m, openers) > 0
+                return F.struct(F.when(opens, F.get(ds, i)).otherwise(F.get(ds, i) + 1).alias("level"), i.alias("at"), opens.alias("opens"), m.alias("mark"))
+
+            # other marks of the list neither open nor close
+            events = F.array_sort(F.filter(F.transform(ms, event), lambda e: e["opens"] | (F.position(e["mark"], closers) > 0)))
+
+            def keep(es: Column) -> Column:
+                def one(e: Column, i: Column) -> Column:
+                    before, after = F.get(es, i - 1), F.get(es, i + 1)
+                    closed = e["opens"] & (after["level"] == e["level"]) & ~after["opens"]
+                    closes = ~e["opens"] & (i > 0) & (before["level"] == e["level"]) & before["opens"]
+                    return F.struct(e["at"].alias("at"), F.when(closed, e["mark"]).when(closes, fitting(before["mark"])).otherwise("").alias("mark"))
+
+                return F.array_sort(F.transform(es, one))
+
+            return let(events, keep)
+
+        def fill(fixed: Column) -> Column:
+            return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, p).otherwise(
+                F.coalesce(F.get(fixed, F.floor((i - 1) / 2).cast("int"))["mark"], F.lit("")))), "")
+
+        return let(let(marks, lambda ms: let(depths, lambda ds: paired(ms, ds))), fill)
 
     text = col(text)
     sep = "\x00"
@@ -388,17 +415,21 @@ def list_breaks(text: ColumnLike) -> Column:
 
 
 def repeat_unit(text: ColumnLike) -> Column:
-    """Shortest prefix that tiles the text; the text itself when none of at most half its length does."""
+    """Shortest prefix that tiles the text; the text itself when none of at most half its length does.
+
+    With such a prefix the text's first half stands again where the second tile begins; and the first place where it stands again is the
+    only one to look at: were it no period but a later one were, both would be periods of the half, and so their common divisor of the text.
+    """
     text = col(text)
     n = F.length(text)
+    half = F.left(text, F.ceil(n / 2).cast("int"))
 
-    def tiles(size: Column) -> Column:
+    def tile(size: Column) -> Column:
         # text is periodic with this size exactly when it equals itself shifted by it
-        return F.left(text, n - size) == F.right(text, n - size)
+        found = (size > 0) & (size <= F.floor(n / 2)) & (F.left(text, n - size) == F.right(text, n - size))
+        return F.when(found, F.left(text, size)).otherwise(text)
 
-    sizes = F.when(n >= 2, F.sequence(F.lit(1), F.greatest(F.floor(n / 2).cast("int"), F.lit(1)))).otherwise(
-        F.array().cast("array<int>"))
-    return F.coalesce(F.left(text, F.get(F.filter(sizes, tiles), F.lit(0))), text)
+    return F.when(n < 2, text).otherwise(let(F.position(half, text, F.lit(2)) - 1, tile))
 
 
 def replace_prefix(text: ColumnLike, old: str, new: str) -> Column:

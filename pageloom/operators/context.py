@@ -58,14 +58,18 @@ def pronoun_block(items: ColumnLike = "recent", shown: int = L.PRONOUN_CONTEXT_S
     return F.when(F.size(col(items)) < 2, "").otherwise(F.array_join(F.flatten(F.transform(_last(items, shown), lines)), "\n\n"))
 
 
+def story_line(trans: ColumnLike, chars: int = L.CONTEXT_CHARS) -> Column:
+    """A translation as one line of a page's story; what stands further in front than ``chars`` can never show."""
+    return F.right(strip(F.replace(strip(trans), F.lit("\n"), F.lit(" "))), F.lit(chars + 1))
+
+
 def page_story(df: DataFrame, series: str = "series_id", page: str = "page_id", pos: str = "seg_no", trans: str = "trans",
                pages: int = L.CONTEXT_PAGES, chars: int = L.CONTEXT_CHARS) -> DataFrame:
     """Per page: the Vietnamese lines of the last pages, joined, only the last characters kept.
 
     Only the tail can show, so at most as many lines as can reach it are gathered per page.
     """
-    line = F.right(strip(F.replace(strip(trans), F.lit("\n"), F.lit(" "))), F.lit(chars + 1))
-    told = df.filter(has_vietnamese_marks(trans)).select(series, page, pos, line.alias("line"))
+    told = df.filter(has_vietnamese_marks(trans)).select(series, page, pos, story_line(trans, chars).alias("line"))
     tail = top_per_group(told, [series, page], [F.col(pos).desc()], chars // 4 + 2)
     joined = tail.groupBy(series, page).agg(F.array_sort(F.collect_list(F.struct(pos, "line"))).alias("l")).select(
         series, page, F.right(F.array_join(F.transform("l", lambda x: x["line"]), " / "), F.lit(chars + 1)).alias("story"))

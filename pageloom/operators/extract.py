@@ -5,9 +5,9 @@ A page is read within its row: the scan feeds projections and one generate, ther
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions import html as H
@@ -44,6 +44,17 @@ def _script_candidates(items: Column, origin: str) -> Column:
     return F.transform(items, lambda i: _candidate(i["raw"], origin, i["ready"]))
 
 
+def first_of(items: Column, key: Callable[[Column], Column]) -> Column:
+    """The first item of each key, in order: sorted by key and place the first of each key stays, then places order what is left."""
+
+    def first(seen: Column) -> Column:
+        ranked = F.array_sort(F.transform(seen, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+        fresh = let(ranked, lambda r: F.filter(r, lambda e, n: (n == 0) | ~F.get(r, n - 1)["k"].eqNullSafe(e["k"])))
+        return F.transform(F.array_sort(F.transform(fresh, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
+
+    return let(items, first)
+
+
 def media_array(html: ColumnLike, base: ColumnLike, external: Column | None = None) -> Column:
     """Distinct (url, origin) of a page in the order of first sight: attributes, srcset, inline scripts, script files."""
     found = [_tag_candidates(H.tags(H.markup(html), "img", "source")), _script_candidates(F.flatten(F.transform(H.inline_scripts(html), script_url_lists)), "inline")]
@@ -54,14 +65,7 @@ def media_array(html: ColumnLike, base: ColumnLike, external: Column | None = No
         F.when(c["ready"], c["raw"]).otherwise(resolve_url(base, c["raw"])).alias("url"), c["origin"].alias("origin"),
         (c["ready"] | c["typed"]).alias("sure")))
 
-    def first(seen: Column) -> Column:
-        # by address and place: the first of each address stays, then places order what is left
-        ranked = F.array_sort(F.transform(seen, lambda f, i: F.struct(f["url"].alias("url"), i.alias("i"), f["origin"].alias("origin"), f["sure"].alias("sure"))))
-        fresh = let(ranked, lambda r: F.filter(r, lambda f, k: (k == 0) | (F.get(r, k - 1)["url"] != f["url"])))
-        placed = F.array_sort(F.transform(fresh, lambda f: F.struct(f["i"].alias("i"), f["url"].alias("url"), f["origin"].alias("origin"), f["sure"].alias("sure"))))
-        return F.transform(placed, lambda f: F.struct(f["url"].alias("url"), f["origin"].alias("origin"), f["sure"].alias("sure")))
-
-    return let(F.filter(full, lambda f: f["sure"] | is_image_url(f["url"])), first)
+    return first_of(F.filter(full, lambda f: f["sure"] | is_image_url(f["url"])), lambda f: f["url"])
 
 
 def external_scripts(pages: DataFrame) -> DataFrame:
@@ -91,6 +95,11 @@ def extract_media_urls(pages: DataFrame, scripts: DataFrame | None = None, keep:
     return source.select("page_id", *keep, F.explode(numbered).alias("m")).select("page_id", *keep, "m.*")
 
 
+def register_media_view(spark: SparkSession, pages: str, view: str = "explode_media") -> None:
+    """For SQL users: a view page_id, ord, total, url, origin over a table or view of pages (page_id, url, html)."""
+    extract_media_urls(spark.table(pages)).createOrReplaceTempView(view)
+
+
 def article_media(pages: DataFrame) -> DataFrame:
     """page_id, title, ord, url of an article page: its own section, else the whole page."""
     heading = H.inner_text(F.coalesce(F.get(H.blocks("html", "h1", "post-title"), F.lit(0)), F.lit("")))
@@ -113,8 +122,7 @@ def article_items(html: ColumnLike, base: ColumnLike) -> Column:
         u.alias("item_id"),
         F.coalesce(F.nullif(strip(F.coalesce(a["title"], F.lit(""))), F.lit("")), F.nullif(a["text"], F.lit("")), u).alias("title"),
         u.alias("url"))))
-    return let(links, lambda found: F.filter(found, lambda x, i: F.array_position(
-        F.transform(found, lambda y: y["url"]), x["url"]) == i + 1))
+    return first_of(links, lambda x: x["url"])
 
 
 def gallery_items(html: ColumnLike, base: ColumnLike) -> Column:
@@ -128,19 +136,23 @@ def gallery_items(html: ColumnLike, base: ColumnLike) -> Column:
         F.filter(H.anchors(H.markup(html)), lambda a: a["href"].rlike(pattern)),
         lambda a: F.struct(F.regexp_extract(a["href"], pattern, 1).alias("id"), a["text"].alias("text"), a["href"].alias("href")))
 
-    def best(found: Column) -> Column:
-        def fold(item: Column) -> Column:
-            made = F.concat(F.lit("gallery_"), item)
-            mine = F.filter(found, lambda f: f["id"] == item)
-            title = lambda f: F.when(f["text"] != "", sanitize_name(f["text"])).otherwise(made)
-            keep = lambda f: F.struct(title(f).alias("title"), f["href"].alias("href"))
-            start = keep(F.get(mine, F.lit(0)))
-            won = F.aggregate(mine, start, lambda acc, f: F.when(F.length(f["text"]) > F.length(acc["title"]), keep(f)).otherwise(acc))
-            return let(won, lambda w: F.struct(item.alias("item_id"), w["title"].alias("title"), resolve_url(base, w["href"]).alias("url")))
+    title = lambda f: F.when(f["text"] != "", sanitize_name(f["text"])).otherwise(F.concat(F.lit("gallery_"), f["id"]))
+    keep = lambda f: F.struct(title(f).alias("title"), f["href"].alias("href"))
+
+    def best(sorted_links: Column) -> Column:
+        # links of one gallery stand together; each run is folded once
+        begins = F.filter(F.transform(sorted_links, lambda f, n: F.when((n == 0) | (F.get(sorted_links, n - 1)["id"] != f["id"]), n + 1)), lambda n: n.isNotNull())
+
+        def fold(run: Column) -> Column:
+            won = F.aggregate(run, keep(F.get(run, F.lit(0))), lambda acc, f: F.when(F.length(f["text"]) > F.length(acc["title"]), keep(f)).otherwise(acc))
+            return let(won, lambda w: F.struct(F.get(run, F.lit(0))["i"].alias("i"), F.get(run, F.lit(0))["id"].alias("item_id"), w["title"].alias("title"),
+                                               resolve_url(base, w["href"]).alias("url")))
 
-        return F.transform(F.array_distinct(F.transform(found, lambda f: f["id"])), fold)
+        runs = let(begins, lambda bs: F.transform(bs, lambda b, k: F.slice(sorted_links, b, F.coalesce(F.get(bs, k + 1), F.size(sorted_links) + 1) - b)))
+        return F.transform(F.array_sort(F.transform(runs, fold)), lambda g: F.struct(g["item_id"].alias("item_id"), g["title"].alias("title"), g["url"].alias("url")))
 
-    return let(links, best)
+    placed = F.transform(links, lambda f, i: F.struct(f["id"].alias("id"), i.alias("i"), f["text"].alias("text"), f["href"].alias("href")))
+    return let(F.array_sort(placed), lambda r: best(r))
 
 
 def max_page_no(html: ColumnLike, style: str = "query") -> Column:

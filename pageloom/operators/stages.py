@@ -6,14 +6,10 @@ tasks, one call per batch; a failing batch never fails the job.
 
 from __future__ import annotations
 
-import html as html_text
-import json
-import re
 from collections.abc import Callable, Iterator, Sequence
-from urllib.parse import urljoin, urlparse
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,44 +116,3 @@ def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Ob
     """Count while the frame is used for something else; read ``observation.get`` after the action."""
     watch = Observation(name)
     return df.observe(watch, *[c.alias(n) for n, c in metrics.items()]), watch
-
-
-# ---------------------------------------------------------------- SQL table function
-
-
-@F.udtf(returnType=T.StructType([T.StructField("ord", T.LongType()), T.StructField("url", T.StringType())]))
-class ExplodeMedia:
-    """explode_media(html, base): the addresses ``extract_media_urls`` gives, for SQL users."""
-
-    def eval(self, html: str, base: str):
-        body = re.sub(r"(?s)<!--.*?-->|(?is:<style\b.*?</style>)", "", html or "")
-        scripts = re.findall(r"(?is)<script(?![^>]*\ssrc\s*=)[^>]*>(.*?)</script>", body)
-        tags = re.findall(r"""(?is)<(?:img|source)\b(?:[^>"']|"[^"]*"|'[^']*')*>""", re.sub(r"(?is)<script\b.*?</script>", "", body))
-        plain, sets, listed = [], [], []
-        for tag in tags:
-            attrs: dict[str, str] = {}
-            for key, value in re.findall(r"""([A-Za-z_:][\w:.\-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", tag):
-                attrs.setdefault(key.lower(), html_text.unescape(value.strip("\"'")))
-            typed = "image" in attrs.get("type", "")
-            plain += [(attrs.get(n, "").strip(), typed) for n in L.SOURCE_ATTRIBUTES]
-            sets += [(p.split()[0], False) for p in attrs.get("srcset", "").split(",") if p.strip()]
-        for script in scripts:
-            for quote in "\"'":
-                for items in re.findall(rf"(?is){quote}{L.SCRIPT_LIST_KEYS}{quote}\s*:\s*(\[.*?\])", script):
-                    try:
-                        listed += [(i.strip(), False) for i in json.loads(items) if isinstance(i, str)]
-                    except ValueError:
-                        continue
-            listed += [(m[0], True) for m in re.findall(L.SCRIPT_QUOTED_IMAGE, script)]
-        seen: dict[str, None] = {}
-        for raw, accepted in plain + sets + listed:
-            if raw and not raw.startswith("data:"):
-                full = urljoin(base, raw)
-                if accepted or urlparse(full).path.lower().endswith(L.PAGE_IMAGE_EXTENSIONS):
-                    seen.setdefault(full)
-        for n, url in enumerate(seen, start=1):
-            yield n, url
-
-
-def register_table_functions(spark: SparkSession) -> None:
-    spark.udtf.register("explode_media", ExplodeMedia)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions.geometry import REGION_TYPE
 from pageloom.operators.regions import sane_dilate, sane_mode
+from pageloom.sources.appended import add_batch, batches, latest, next_batch
 
 SIDECAR_SCHEMA = f"image string, mode string, mask_dilate int, regions array<{REGION_TYPE}>"
 
@@ -27,12 +30,24 @@ def read_sidecars(spark: SparkSession, path: str, max_dilate: int = 6) -> DataFr
 
 
 def write_sidecars(regions: DataFrame, path: str) -> None:
-    """Only the images present are replaced; an image without regions must be absent."""
+    """Add the images present to a container table: rows in ranges of images, so that a file holds many of them and its statistics tell which. What
+    is there already stays; of an image's versions the last counts. An image without regions must be absent. One writer at a time."""
+    spark = regions.sparkSession
     text = F.to_json(F.struct("image", "mode", "mask_dilate", "regions")).alias("value")
-    (regions.filter(F.size("regions") > 0).select("image", text).repartition("image").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("image").text(path))
+    rows = regions.filter(F.size("regions") > 0).select("image", text)
+    add_batch(rows.repartitionByRange("image").sortWithinPartitions("image"), path, next_batch(spark, path))
+
+
+def read_sidecar_table(spark: SparkSession, path: str, max_dilate: int = 10, images: Sequence[str] = ()) -> DataFrame:
+    """What ``write_sidecars`` wrote; with ``images`` only theirs, found by the files' statistics."""
+    rows = batches(spark, path, "image string, value string")
+    chosen = rows.filter(F.col("image").isin(*images)) if images else rows
+    return parse_sidecars(latest(chosen, "image"), max_dilate)
 
 
-def read_sidecar_table(spark: SparkSession, path: str, max_dilate: int = 10) -> DataFrame:
-    """What ``write_sidecars`` wrote."""
-    return parse_sidecars(spark.read.schema("value string, image string").text(path), max_dilate)
+def export_sidecars(spark: SparkSession, path: str, target: str, images: Sequence[str] = ()) -> None:
+    """One folder per image with its JSON text, for tools that want single files."""
+    rows = batches(spark, path, "image string, value string")
+    chosen = rows.filter(F.col("image").isin(*images)) if images else rows
+    (latest(chosen, "image").select("image", "value").repartition("image").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("image").text(target))

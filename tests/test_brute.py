@@ -298,6 +298,40 @@ def test_long_contests_take_two_tables(spark, monkeypatch, shape):
 # ---------------------------------------------------------------- terms
 
 
+def test_a_short_term_does_not_cost_the_long_ones(spark):
+    """Rows at the join: places and matches, whatever else begins with the short term."""
+    rng = random.Random(3)
+    terms = [("天" + "".join(rng.choice("地玄黄宇宙洪荒") for _ in range(rng.randint(3, 6))), f"t{i}", i) for i in range(3000)]
+    terms = list({t[0]: t for t in terms}.values())
+    texts = ["天" * 300 + rng.choice(terms)[0] for _ in range(5)]
+    seg = spark.createDataFrame([(i, s, s) for i, s in enumerate(texts)], "seg_id long, src string, trans string")
+
+    def run(some):
+        df = segments.enforce_terms(seg, spark.createDataFrame(some, "zh string, vi string, pos long"), ["seg_id"])
+        got = {r.seg_id: r.enforced for r in df.collect()}
+        want = {}
+        for i, text_ in enumerate(texts):
+            out = text_
+            for zh, vi, _ in sorted((t for t in some if t[0] in text_), key=lambda t: (-len(t[0]), t[2])):
+                out = out.replace(zh, vi) if zh in out and vi.lower() not in out.lower() else out
+            want[i] = out
+        assert got == want
+        plan = df._jdf.queryExecution().executedPlan()
+        rows, nodes = 0, [plan.finalPhysicalPlan() if "Adaptive" in plan.nodeName() else plan]
+        while nodes:
+            node = nodes.pop()
+            if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+                rows = max(rows, node.metrics().apply("numOutputRows").value())
+            children = node.children()
+            nodes += [children.apply(k) for k in range(children.size())]
+            if "QueryStage" in node.nodeName():
+                nodes.append(node.plan())
+        return rows
+
+    plain = run(terms)
+    assert run([*terms, ("天", "trời", 9999)]) <= plain + sum(map(len, texts))
+
+
 def test_longer_terms_first_and_only_where_left(spark):
     seg = spark.createDataFrame([(1, "青云宗弟子在青云山", "青云宗 ở 青云 sơn"), (2, "李雷", "李雷 Lý Lôi"), (3, "无", "青云")], "seg_id long, src string, trans string")
     terms = spark.createDataFrame([("青云", "Thanh Vân", 1), ("青云宗", "Thanh Vân Tông", 2), ("李雷", "lý lôi", 3)], "zh string, vi string, pos long")

@@ -157,13 +157,13 @@ def test_failed_attempts_say_why(spark):
     assert {r.url: r.error for r in resolve_attempts(attempts.drop("error")).collect()} == {"u": None, "v": "HTTP 404"}
 
 
-def test_table_function_and_frame_agree_on_escapes(spark):
+def test_view_and_frame_agree_on_escapes(spark):
     from pageloom.operators.extract import extract_media_urls
-    from pageloom.operators.stages import register_table_functions
+    from pageloom.operators.extract import register_media_view
 
     html = """<img data-src='b&quot;.png'><script>{"images": ["https:\\/\\/h.x\\/p\\/1.jpg", 7, "c.png"]}</script><img src=c.png>"""
     pages = spark.createDataFrame([(1, "https://h.x/a/", html)], "page_id long, url string, html string")
-    register_table_functions(spark)
     pages.createOrReplaceTempView("escaped_pages")
-    by_sql = [r.url for r in spark.sql("select m.* from escaped_pages p, lateral explode_media(p.html, p.url) m order by ord").collect()]
+    register_media_view(spark, "escaped_pages")
+    by_sql = [r.url for r in spark.sql("select ord, url from explode_media order by ord").collect()]
     assert by_sql == [r.url for r in extract_media_urls(pages).orderBy("ord").collect()] and "https://h.x/p/1.jpg" in by_sql
