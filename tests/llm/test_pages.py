@@ -10,6 +10,8 @@ import pyarrow as pa
 import pytest
 import zstandard
 
+from pyspark.sql import functions as F
+
 from pageloom.llm import url_filter, warc
 
 
@@ -57,6 +59,9 @@ def test_archives_round_trip(spark):
     archives = warc.write_archives(pages, warc.archive_folder(spark), archive_bytes=1 << 12)
     got = warc.read_archives(archives).collect()
     assert archives.count() >= 5 and not [r for r in got if r.problem]
+    # small addresses of large archives: as many reading tasks as archives
+    read = warc.read_archives(archives).withColumn("task", F.spark_partition_id()).select("archive", "task").distinct().collect()
+    assert len({r.task for r in read}) > archives.count() / 2 and len(read) == archives.count()
     first = {}
     for i, _, html in rows:
         if i is not None and len((html or "").encode()) >= 100:
