@@ -90,31 +90,45 @@ class LabelModel:
         self.names, self.prior = names, PRIOR
         self.chance = {y: {r: list(START[y]) for r in names} for y in ("good", "bad")}
 
+    def _differences(self, rule: str) -> list[float]:
+        """Log odds that a vote of the rule (bad, none, good) adds."""
+        return [math.log(g) - math.log(b) for g, b in zip(self.chance["good"][rule], self.chance["bad"][rule], strict=True)]
+
     def posterior(self) -> Column:
         """P(good | votes) as a column over the vote columns."""
         odds = F.lit(math.log(self.prior) - math.log(1 - self.prior))
         for r in self.names:
-            d = [math.log(g) - math.log(b) for g, b in zip(self.chance["good"][r], self.chance["bad"][r], strict=True)]
+            d = self._differences(r)
             odds = odds + F.when(F.col(r) < 0, d[0]).when(F.col(r) > 0, d[2]).otherwise(d[1])
         return 1 / (1 + F.exp(-odds))
 
     def fit(self, patterns: DataFrame, steps: int = STEPS) -> LabelModel:
-        """``patterns``: one row per distinct vote pattern with its count ``n``."""
+        """``patterns``: one row per distinct vote pattern with its count ``n``. There are 3 to the power of the rules at most; they come to the
+        driver once, and the steps are arithmetic over them."""
+        found = patterns.select(*self.names, "n").limit(3 ** len(self.names) + 1).collect()
+        if len(found) > 3 ** len(self.names):
+            raise ValueError("patterns repeat, or hold other votes than -1, 0 and 1")
+        # votes as places 0, 1, 2 of a chance list; a fixed order makes sums repeatable
+        votes = sorted(([1 + r[name] for name in self.names], r["n"]) for r in found)
+        total = sum(n for _, n in votes)
+        if not total:
+            return self
         for _ in range(steps):
-            p, n = F.col("p"), F.col("n")
-            sums = [F.sum(n * p).alias("good"), F.sum(n * (1 - p)).alias("bad")]
-            for r in self.names:
-                for v in (-1, 0, 1):
-                    sums += [F.sum(F.when(F.col(r) == v, n * p).otherwise(0.0)).alias(f"good_{r}_{v}"),
-                             F.sum(F.when(F.col(r) == v, n * (1 - p)).otherwise(0.0)).alias(f"bad_{r}_{v}")]
-            got = patterns.withColumn("p", self.posterior()).agg(*sums).first()
-            if not (got["good"] or got["bad"]):
-                return self
+            start = math.log(self.prior) - math.log(1 - self.prior)
+            add = [self._differences(r) for r in self.names]
+            good = 0.0
+            sums = {y: [[0.0, 0.0, 0.0] for _ in self.names] for y in ("good", "bad")}
+            for places, n in votes:
+                p = 1 / (1 + math.exp(-(start + sum(add[k][v] for k, v in enumerate(places)))))
+                good += n * p
+                for k, v in enumerate(places):
+                    sums["good"][k][v] += n * p
+                    sums["bad"][k][v] += n * (1 - p)
             # one document's worth of the starting chances keeps every chance above zero
-            self.prior = min(1 - 1e-6, max(1e-6, (got["good"] + PRIOR) / (got["good"] + got["bad"] + 1)))
-            for y in ("good", "bad"):
-                for r in self.names:
-                    self.chance[y][r] = [(got[f"{y}_{r}_{v}"] + START[y][v + 1]) / (got[y] + 1) for v in (-1, 0, 1)]
+            self.prior = min(1 - 1e-6, max(1e-6, (good + PRIOR) / (total + 1)))
+            for y, size in (("good", good), ("bad", total - good)):
+                for k, r in enumerate(self.names):
+                    self.chance[y][r] = [(sums[y][k][v] + START[y][v]) / (size + 1) for v in range(3)]
         return self
 
     def accuracies(self) -> dict[str, tuple[float, float]]:
@@ -127,7 +141,7 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_abo
     """One row per document: the measures, one column of votes per rule, base_failed, quality (posterior) and kept."""
     votes = rules()
     measured = staged(measures(docs, doc_id, text).select("*", *[v.alias(r) for r, v in votes.items()]))
-    patterns = staged(measured.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")))
+    patterns = measured.groupBy(*votes).agg(F.count(F.lit(1)).alias("n"))
     model = LabelModel(list(votes)).fit(patterns, steps)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (measured.withColumn("base_failed", failed).withColumn("quality", model.posterior())
