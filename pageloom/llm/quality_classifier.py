@@ -75,9 +75,9 @@ class Features:
         text = text or ""
         last, at = np.zeros(0, np.uint64), 0
         while at < len(text):
-            # stretches end at a blank, so no token is cut
-            end = text.find(" ", at + _BLOCK)
-            end = len(text) if end < 0 else end
+            # a stretch ends where the token ends that its last place falls into
+            rest = _TOKEN.match(text, at + _BLOCK) if at + _BLOCK < len(text) else None
+            end = rest.end() if rest else at + _BLOCK
             tokens = _TOKEN.findall(text, at, end)
             at = end
             if tokens:
