@@ -361,22 +361,21 @@ def ud2(t):
     return stages.retry_until_valid(rows, _stub, ["page_id"], "seg_no", 2, accept=lambda s, r: ~(F.col(s) == F.col(r))).select("page_id", "seg_no", "trans", "accepted", "rounds")
 
 
-@query("ud3_fallback_stage", "select doc_id, case when doc_id % 4 = 0 then upper(source) else lang end as ocr, doc_id % 4 = 0 as rescued from documents")
+@query("ud3_fallback_stage", "select doc_id, case when doc_id % 4 = 0 then replace(text, ' ', '_') else text end as ocr, doc_id % 4 = 0 as rescued from documents")
 def ud3(t):
-    rows = t.documents.select("doc_id", (F.col("doc_id") % 7).alias("page_id"), "source", F.when(F.col("doc_id") % 4 == 0, " ").otherwise(F.col("lang")).alias("ocr"))
-    return stages.fallback_stage(rows, lambda xs: [x.upper() for x in xs], ["page_id"], "doc_id", "ocr", "source").select("doc_id", "ocr", "rescued")
+    rows = t.documents.select("doc_id", (F.col("doc_id") % 7).alias("page_id"), "text", F.when(F.col("doc_id") % 4 == 0, " ").otherwise(F.col("text")).alias("ocr"))
+    return stages.fallback_stage(rows, lambda xs: [x.replace(" ", "_") for x in xs], ["page_id"], "doc_id", "ocr", "text").select("doc_id", "ocr", "rescued")
 
 
-@query("ud4_row_errors", "select doc_id, case when n_chars % 5 = 0 then lang else reverse(lang) end as result, case when n_chars % 5 = 0 then 'failed' else 'ok' end as status from documents")
+@query("ud4_row_errors", """select doc_id, case when length(text) % 5 = 0 then text else replace(text, ' ', '_') end as result,
+  case when length(text) % 5 = 0 then 'failed' else 'ok' end as status from documents""")
 def ud4(t):
-    def backwards(x):
-        lang, n = x.split("|")
-        if int(n) % 5 == 0:
+    def joined(x):
+        if len(x) % 5 == 0:
             raise ValueError("no")
-        return lang[::-1]
+        return x.replace(" ", "_")
 
-    rows = t.documents.select("doc_id", F.concat_ws("|", "lang", F.col("n_chars").cast("string")).alias("x"))
-    return stages.row_errors(rows, backwards, "x").select("doc_id", F.substring_index("result", "|", 1).alias("result"), "status")
+    return stages.row_errors(t.documents.select("doc_id", "text"), joined, "text").select("doc_id", "result", "status")
 
 
 # ---------------------------------------------------------------- files

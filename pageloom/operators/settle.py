@@ -193,8 +193,14 @@ def seeds_of_groups(regions: DataFrame, gap: int, share: float, rows: int = CELL
     known, dirty = None, None
     while True:
         own = laid.withColumn("target", F.col("cell"))
-        further = laid.join(sights, "page_id").filter((F.col("cell") > F.col("target")) & (F.col("cell") <= F.col("target") + F.col("sight"))) \
-            .select(*laid.columns, "target")
+        widest = sights.agg(F.max("sight")).first()[0] or 1
+
+        def seen_from(df: DataFrame) -> DataFrame:
+            """Rows of pages that go on, once for each earlier cell that sees them."""
+            near = df.join(ends.select("page_id"), "page_id", "left_semi").withColumn("target", F.explode(F.expr(f"sequence(cell - {widest}, cell - 1)")))
+            return near.join(sights.select("target", "page_id", "sight"), ["target", "page_id"]).filter(F.col("cell") <= F.col("target") + F.col("sight")).drop("sight")
+
+        further = seen_from(laid).select(*laid.columns, "target")
         if known is None:
             seen = own.unionByName(further).withColumn("taken", F.lit(None).cast("int"))
         else:
@@ -210,7 +216,7 @@ def seeds_of_groups(regions: DataFrame, gap: int, share: float, rows: int = CELL
         blind = played.filter("kind = 2").select(F.col("cell").alias("target")).distinct().withColumn("blind", F.lit(True))
         # a region's claim concerns its own cell and those that see it
         homes = laid.select("page_id", "region_id", "cell").join(changed.select("page_id", "region_id"), ["page_id", "region_id"], "left_semi")
-        watching = homes.join(sights, "page_id").filter((F.col("cell") > F.col("target")) & (F.col("cell") <= F.col("target") + F.col("sight"))).select("target")
+        watching = seen_from(homes).select("target")
         dirty = pin(homes.select(F.col("cell").alias("target")).union(watching).union(blind.select("target")).distinct())
         known = new
         if dirty.isEmpty():
