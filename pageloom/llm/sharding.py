@@ -4,8 +4,8 @@ Pass 1 scatters records to memory-sized buckets by a seeded hash of the record's
 records spread like any others. Pass 2 takes each bucket as one array, permutes it (Spark's ``shuffle`` is a Fisher-Yates shuffle)
 and writes it to the shared folder. The written buckets, one after the other, are the shuffled order; shards are equal stretches of it.
 
-Law: ``rows`` - the counts of any two shards differ by one at most. The written order is fixed; another run with the same seed over
-the same files and split settings scatters alike, the order within buckets may differ.
+Law: ``rows`` - the counts of any two shards differ by one at most. A bucket is put in the order of its records' numbers before it is
+permuted, so the seed decides the result: another run over the same files and split settings, or a task run again, gives the same shards and slots.
 
 Defined cases: null texts count as empty; repeated rows, null ids and ties are separate records; an empty table gives no rows; with
 fewer records than shards the last shards in number stay without records here and there; input columns named like an output column
@@ -32,11 +32,13 @@ def shuffled(df: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES
     size = (F.coalesce(F.octet_length(quoted(text)), F.lit(0)).cast("long") + 16).alias("size")
     total = df.select(size).agg(F.sum("size")).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
-    scattered = df.select(F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(buckets)).cast("int").alias("bucket"),
-                          F.struct(size, packed(df, *reserved).alias("record")).alias("r"))
+    numbered = df.select(F.monotonically_increasing_id().alias("no"), size, packed(df, *reserved).alias("record"))
+    scattered = numbered.select(F.pmod(F.xxhash64(F.lit(seed), F.col("no")), F.lit(buckets)).cast("int").alias("bucket"), F.struct("no", "size", "record").alias("r"))
     # one bucket per partition: nothing but its own records is in memory with it
     arrays = scattered.repartitionById(buckets, "bucket").groupBy("bucket").agg(F.collect_list("r").alias("rs"))
-    return staged(arrays.select("bucket", F.posexplode(F.shuffle("rs", seed)).alias("place", "r"))
+    # records arrive as the network has it; by number they have one order, which the seed permutes
+    by_number = F.array_sort("rs", lambda a, b: F.when(a["no"] < b["no"], -1).when(a["no"] > b["no"], 1).otherwise(0))
+    return staged(arrays.select("bucket", F.posexplode(F.shuffle(by_number, seed)).alias("place", "r"))
                   .select("bucket", "place", "r.size", "r.record"))
 
 

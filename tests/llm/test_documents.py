@@ -99,6 +99,18 @@ def test_shards_are_whole_and_even(edge_docs, bucket_bytes):
     assert max(sizes) - min(sizes) <= 1 and all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
+def test_the_seed_fixes_the_order(spark, small_docs):
+    docs, runs = small_docs, []
+    for reducers in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", reducers)
+        rows = sharding.shard_records(docs, bucket_bytes=20_000).collect()
+        runs.append(sorted((r.doc_id, r.shard, r.slot) for r in rows))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert runs[0] == runs[1]
+    other = sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard_records(docs, bucket_bytes=20_000, seed=5).collect())
+    assert other != runs[0]
+
+
 def test_no_records_no_shards(no_docs):
     assert sharding.shard_records(no_docs).count() == 0
 
