@@ -194,9 +194,10 @@ def _products(batches: Iterator[pa.RecordBatch], dims: int, n: int, sums: list[i
 def covariance(fit: DataFrame, dims: int, n: int, sums: list[int], axes: np.ndarray | None = None) -> np.ndarray:
     """Covariance of the fit list, divisor n, centred before multiplying; with ``axes``, of its projection on them."""
     parts = fit.mapInArrow(lambda batches: _products(batches, dims, n, sums, axes), "i int, j int, total double")
-    found = parts.groupBy("i", "j").agg(F.sum("total").alias("total")).toPandas()  # a row per entry of the matrix
+    found = parts.groupBy("i", "j").agg(F.sum("total").alias("total")).toArrow()  # a row per entry of the matrix
+    i, j, total = (found[c].to_numpy() for c in ("i", "j", "total"))
     out = np.zeros((dims, dims) if axes is None else (axes.shape[1],) * 2)
-    out[found["i"], found["j"]] = out[found["j"], found["i"]] = found["total"] / n
+    out[i, j] = out[j, i] = total / n
     return out
 
 
