@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from pageloom.llm.common import quoted, staged
 
 BITS, HASHES = 8, 3
-MAX_FILTER_MB = 256
+MAX_FILTER_MB = 128
 FREQUENT = 1 << 19
 PRIOR = 5.0
 SMOOTH = 0.1
@@ -389,6 +389,17 @@ def scored_by_blocks(rows: DataFrame, model: DataFrame, slices: int, sent, total
     return back.mapInArrow(lambda batches: _score_blocks(batches, sent, slices, *totals), fields)
 
 
+def joined_filter(model: DataFrame, slices: int) -> tuple[np.ndarray, bytes]:
+    """Bits of each slice and the slices one after the other: Arrow's copy and the joined one are all the driver holds. A slice that no
+    n-gram fell into is empty."""
+    table = model.select("slice", "bits", "filter").toArrow()
+    bits, views = np.full(slices, 64, np.int64), [memoryview(bytes(8))] * slices
+    for batch in table.to_batches():
+        for k, b, value in zip(batch.column("slice").to_pylist(), batch.column("bits").to_pylist(), batch.column("filter"), strict=True):
+            bits[k], views[k] = b, memoryview(value.as_buffer())
+    return bits, b"".join(views)
+
+
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, max_filter_mb: int = MAX_FILTER_MB) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, (model, slices) = docs.sparkSession, trained(docs, doc_id, text)
@@ -409,10 +420,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent
     rows = docs.select(F.monotonically_increasing_id().alias("row"), quoted(doc_id).alias("doc_id"), held_out(quoted(doc_id)).alias("held_out"), quoted(text).alias("text"))
     fields, totals = SCORE_FIELDS.format(kind=rows.schema["doc_id"].dataType.simpleString()), (n_all, v_all, n_docs)
     if (model.agg(F.sum("bits")).first()[0] or 0) <= max_filter_mb * 8e6:
-        # a slice that no n-gram fell into is empty
-        by_slice = {r["slice"]: (r["bits"], bytes(r["filter"])) for r in model.select("slice", "bits", "filter").collect()}
-        filled = [by_slice.get(k, (64, bytes(8))) for k in range(slices)]
-        sent = spark.sparkContext.broadcast((np.array([b for b, _ in filled], np.int64), b"".join(f for _, f in filled), h[order], n[order]))
+        sent = spark.sparkContext.broadcast((*joined_filter(model, slices), h[order], n[order]))
         scored = staged(rows.mapInArrow(lambda batches: _score(batches, sent, *totals), fields))
     else:
         sent = spark.sparkContext.broadcast((h[order], n[order]))

@@ -10,11 +10,12 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
-from test_documents import brute_groups, brute_measures, brute_print
+from test_documents import brute_groups, brute_measures, brute_print, is_held, lm_tokens
 
+from pageloom.llm import lm_scoring, quality_rules
 from pageloom.llm import quality_classifier as qc
-from pageloom.llm import quality_rules
 from pageloom.llm.catalog import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -146,3 +147,80 @@ def test_patterns_of_other_votes_are_refused(spark):
     rows = spark.range(3 ** len(names) + 1).select(*[F.col("id").cast("int").alias(n) for n in names], F.lit(1).alias("n"))
     with pytest.raises(ValueError, match="patterns"):
         quality_rules.LabelModel(names).fit(rows)
+
+
+# -- language model
+
+K1, K2, K3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+
+
+def mix(x):
+    x = (x ^ (x >> 31)) * K1 & MASK
+    return x ^ (x >> 29)
+
+
+class PlainFilter:
+    """Counts kept as levels in a Bloom filter of one set of bits per slice."""
+
+    def __init__(self, counts, slices):
+        self.slices, members = slices, {}
+        for h, c in counts.items():
+            members.setdefault(self.slice(h), []).append((h, c.bit_length()))
+        self.bits = {s: max(64, math.ceil(sum(q for _, q in m) * lm_scoring.BITS / 64) * 64) for s, m in members.items()}
+        self.set = {s: {p for h, q in m for level in range(1, q + 1) for p in self.places(h, level, self.bits[s])} for s, m in members.items()}
+
+    def slice(self, h):
+        return (mix((h + K3) & MASK) >> 33) % self.slices
+
+    def places(self, h, level, bits):
+        g = mix((h + level * K2) & MASK)
+        return [((g + i * (mix((g + K3) & MASK) | 1)) & MASK) % bits for i in range(lm_scoring.HASHES)]
+
+    def count(self, h):
+        s, level = self.slice(h), 0
+        while s in self.bits and all(p in self.set[s] for p in self.places(h, level + 1, self.bits[s])):
+            level += 1
+        return (2.0**level + 2.0 ** (level - 1) - 1) / 2 if level else 0.0
+
+
+def plain_scores(rows, frequent, slice_tokens):
+    hashes = {}
+    word = lambda t: hashes.setdefault(t, xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) & ~1)
+    pair = lambda a, b: mix((a * K2 + b * K3) & MASK) | 1
+    start = word("\t")
+    lists = [[word(t) for t in lm_tokens(text)] for _, text in rows]
+    train = [(h, text) for h, (doc, text) in zip(lists, rows) if not is_held(doc)]
+    words = Counter(x for h, _ in train for x in h)
+    grams = words + Counter(pair(a, b) for h, _ in train for a, b in zip([start, *h], h))
+    size = sum(len(text.encode()) / 5 + 1 for _, text in train if text is not None)
+    model = PlainFilter(grams, max(1, math.ceil(size / slice_tokens)))
+    whole = sum(words.values()) + lm_scoring.SMOOTH * (len(words) + 1)
+    # whole bands of sixteenths of a power of two, from the top while they fit
+    bands, least = Counter(math.floor(math.log2(c) * 16) for c in words.values()), math.inf
+    room = frequent
+    for band in sorted(bands, reverse=True):
+        room -= bands[band]
+        if room < 0:
+            break
+        least = min(c for c in words.values() if math.floor(math.log2(c) * 16) == band)
+    count = lambda h: words[h] if words[h] >= least else model.count(h)
+    out = []
+    for (doc, _), h in zip(rows, lists):
+        total, before, c_before = 0.0, start, len(train)
+        for x in h:
+            c = count(x)
+            p = (model.count(pair(before, x)) + lm_scoring.PRIOR * (c + lm_scoring.SMOOTH) / whole) / (c_before + lm_scoring.PRIOR)
+            total, before, c_before = total + math.log10(min(p, 1.0)), x, c
+        out.append((str(doc), len(h), total))
+    return sorted(out, key=lambda r: (r[:2], round(r[2], 3)))
+
+
+@pytest.mark.parametrize("frequent", [0, 300, 1 << 19])
+def test_scores_against_the_plain_model(small_docs, edge_docs, monkeypatch, frequent):
+    monkeypatch.setattr(lm_scoring, "SLICE_TOKENS", 30_000)
+    docs = small_docs.select("doc_id", "text").limit(60).unionByName(edge_docs.select("doc_id", "text").filter("coalesce(length(text), 0) < 30000"))
+    docs = docs.sparkSession.createDataFrame(docs.collect(), docs.schema)  # one fixed set of rows
+    want = plain_scores([(r.doc_id, r.text) for r in docs.collect()], frequent, 30_000)
+    got = sorted(((str(r.doc_id), r.n_tokens, r.score) for r in lm_scoring.scores(docs, frequent=frequent).collect()), key=lambda r: (r[:2], round(r[2], 3)))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(g[2] == pytest.approx(w[2], abs=1e-6) for g, w in zip(got, want))
