@@ -258,7 +258,8 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """One row per record of the archives (column archive: URIs). Archives are dealt out to as many tasks as there are archives: they are large and
     their addresses small, so a number left to Spark would follow the addresses. Each archive is read as a stream."""
-    return archives.select("archive").repartition(max(1, archives.count())).mapInArrow(lambda batches: _read(batches, payloads), RECORD_FIELDS)
+    # from one partition rows are dealt out one by one; from several each would start anywhere, and some tasks get none
+    return archives.select("archive").coalesce(1).repartition(max(1, archives.count())).mapInArrow(lambda batches: _read(batches, payloads), RECORD_FIELDS)
 
 
 def archive_folder(spark: SparkSession) -> str:
