@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import quoted, shared_path, staged
@@ -258,8 +258,9 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """One row per record of the archives (column archive: URIs). Archives are dealt out to as many tasks as there are archives: they are large and
     their addresses small, so a number left to Spark would follow the addresses. Each archive is read as a stream."""
-    # from one partition rows are dealt out one by one; from several each would start anywhere, and some tasks get none
-    return archives.select("archive").coalesce(1).repartition(max(1, archives.count())).mapInArrow(lambda batches: _read(batches, payloads), RECORD_FIELDS)
+    # numbered, the list is one partition, whose rows are dealt out one by one; several partitions would each start anywhere, and some tasks get none
+    listed = archives.select("archive", F.row_number().over(Window.orderBy("archive")).alias("number"))
+    return listed.repartition(max(1, archives.count())).mapInArrow(lambda batches: _read(batches, payloads), RECORD_FIELDS)
 
 
 def archive_folder(spark: SparkSession) -> str:
