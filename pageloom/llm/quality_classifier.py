@@ -83,7 +83,7 @@ class Features:
             if tokens:
                 part = np.fromiter(map(self.known, tokens), np.uint64, len(tokens))
                 yield self._numbers(last, part)
-                last = np.concatenate([last, part])[-2:]
+                last = np.concatenate([last, part])[-3:]  # the third tells whether the second repeats it
 
     def _numbers(self, last: np.ndarray, part: np.ndarray) -> np.ndarray:
         both = np.concatenate([last, part])
