@@ -13,7 +13,8 @@ from pageloom.session import ship_package, spread
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels"
           " conversations").split()
 
-TEXT_TABLES = ("documents", "pages", "conversations")
+#: Tables whose rows are much work each or are many: a few MB on disk are one or two splits, whatever they cost.
+SPREAD_TABLES = ("documents", "pages", "conversations", "part", "orders", "lineitem", "events")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,7 +54,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-            return spread(df) if name in TEXT_TABLES else df
+            return spread(df) if name in SPREAD_TABLES else df
         if name in VIEWS:
             return self.sql(f"select * from {name}")
         raise AttributeError(name)

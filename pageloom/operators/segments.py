@@ -84,27 +84,31 @@ def enforce_terms(df: DataFrame, terms: DataFrame, seg_key: Sequence[str], term_
     terms: term_key..., zh (unique within it), vi, pos. A source gives one piece per place, as long as the longest term. Terms are
     known by a head of 1, 2, 4, 8 ... characters, as many as fit, so a head is more than half of its term; the piece's heads of these sizes, as far as
     terms have them, meet the terms that begin alike, and the piece tells whether the whole term stands there. So a size of terms costs
-    one row per place of the text and its matches, and a term of one character adds nothing to those of the others.
+    one row per place of the text and its matches, and a term of one character adds nothing to those of the others. Terms are looked for
+    once per text and term_key, so ``seg_key`` need not be unique.
     """
     terms = terms.filter(F.col("zh") != "")
     bound = lambda of: terms.agg(of(F.length("zh")).alias("n")).scalar()
     size = F.pow(F.lit(2), F.floor(F.log2(F.length("zh").cast("double")))).cast("int")
     sizes = terms.agg(F.collect_set(size).alias("s")).scalar()  # one entry per doubling of the length
-    pieces = _pieces(F.coalesce(F.col(src), F.lit("")), F.col("_least"), F.col("_most"))
-    cut = df.withColumns({"_least": bound(F.min), "_most": bound(F.max), "_sizes": sizes}).filter(F.col("_least").isNotNull()).select(
-        *seg_key, *[k for k in term_key if k not in seg_key], "_sizes", F.explode(F.array_distinct(pieces)).alias("_piece"))
+    pieces = _pieces(F.col("_src"), F.col("_least"), F.col("_most"))
+    # a text that stands in many segments is looked through once
+    texts = df.select(*term_key, F.col(src).alias("_src")).filter(F.col("_src") != "").distinct()
+    text_key = [*term_key, "_src"]
+    cut = texts.withColumns({"_least": bound(F.min), "_most": bound(F.max), "_sizes": sizes}).filter(F.col("_least").isNotNull()).select(
+        *text_key, "_sizes", F.explode(F.array_distinct(pieces)).alias("_piece"))
     heads = cut.withColumn("_size", F.explode(F.filter("_sizes", lambda n: n <= F.length("_piece")))).withColumn(
         "_head", F.left("_piece", F.col("_size"))).drop("_size", "_sizes")
     fixed = terms.select(*term_key, "zh", "vi", "pos", F.left("zh", size).alias("_head"))
     found = heads.join(fixed, [*term_key, "_head"]).filter(F.col("_piece").startswith(F.col("zh")))
-    per_seg = found.groupBy(*seg_key).agg(
+    per_text = found.groupBy(*text_key).agg(
         F.array_sort(F.collect_set(F.struct((-F.length("zh")).alias("n"), "pos", "zh", "vi"))).alias("_terms"))
 
     def step(acc: Column, term: Column) -> Column:
         left = acc.contains(term["zh"]) & ~F.lower(acc).contains(F.lower(term["vi"]))
         return F.when(left, F.replace(acc, term["zh"], term["vi"])).otherwise(acc)
 
-    joined = df.join(per_seg, list(seg_key), "left")
+    joined = df.withColumn("_src", F.col(src)).join(per_text, text_key, "left").select(*df.columns, "_terms")
     folded = F.when(F.col("_terms").isNull(), F.col(trans)).otherwise(F.aggregate("_terms", F.col(trans), step))
     return joined.withColumn(out, folded).drop("_terms")
 
