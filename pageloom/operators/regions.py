@@ -44,6 +44,14 @@ def _same_box(r: Column) -> Column:
     return F.struct(*[F.round(r[n], 4).alias(n) for n in "xywh"], flag("inpaint_only"), flag("erase_flat"))
 
 
+def _lacking(own: Column, offered: Column) -> Column:
+    """The offered regions whose box is not among ``own``, each box once, in their order. Boxes are sorted, and equal ones stand together."""
+    at = lambda r, i: F.struct(_same_box(r).alias("box"), i.alias("at"))
+    boxes = F.array_sort(F.concat(F.transform(own, lambda r: at(r, F.lit(-1))), F.transform(offered, at)))
+    new = lambda every: F.filter(every, lambda b, i: (b["at"] >= 0) & ((i == 0) | (F.get(every, i - 1)["box"] != b["box"])))
+    return F.transform(F.array_sort(F.transform(let(boxes, new), lambda b: b["at"])), lambda i: F.get(offered, i))
+
+
 def broadcast_regions(current: DataFrame, template: DataFrame, images: DataFrame, overwrite: bool = False) -> DataFrame:
     """Give the one region set of ``template`` (mode, mask_dilate, regions) to every image of ``images``.
 
@@ -57,10 +65,7 @@ def broadcast_regions(current: DataFrame, template: DataFrame, images: DataFrame
         new = target.select("image", "_t.mode", F.col("_t.dilate").alias("mask_dilate"), "_t.regions")
     else:
         def add(own: Column) -> Column:
-            keys = F.transform(own, _same_box)
-            fresh = F.filter(F.col("_t.regions"), lambda r: ~F.array_contains(keys, _same_box(r)))
-            # a template that repeats a box adds it once
-            return F.concat(own, let(fresh, lambda f: F.filter(f, lambda r, i: F.array_position(F.transform(f, _same_box), _same_box(r)) == i + 1)))
+            return F.concat(own, _lacking(own, F.col("_t.regions")))
 
         own = F.coalesce("regions", F.array().cast(EMPTY))
         new = target.select("image", sane_mode("mode").alias("mode"), sane_dilate("mask_dilate").alias("mask_dilate"),

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import time
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from pageloom.catalog.registry import Tables
-from pageloom.operators import segments
+from pageloom.operators import regions, segments
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -23,3 +28,17 @@ def test_terms_are_enforced_in_repeated_texts(spark):
     got = segments.enforce_terms(df, terms, ["seg_id"], ["k"])
     assert got.columns == [*df.columns, "enforced"]
     assert sorted(r.enforced for r in got.collect()) == ["nhẫn said"] * 6 + ["red"] * 4
+
+
+def test_many_regions_are_spread_without_pairing_them(spark):
+    boxes = [(i % 997 / 1000.0, i % 7 / 10.0, i % 3 == 0) for i in range(6_000)]
+    shape = T._parse_datatype_string(f"image string, mode string, mask_dilate int, regions {regions.EMPTY}")
+    blank = (None,) * 7
+    row = lambda x, y, only: (x, y, 0.003, 0.03, None, only or None, False, *blank)
+    one = lambda image, of: spark.createDataFrame([(image, "merge", 1, [row(*b) for b in of])], shape)
+    own, template = one("a", boxes[::2]), one("t", boxes + boxes[1:9]).drop("image")
+    begun = time.monotonic()
+    made = regions.broadcast_regions(own, template, own.select("image")).first()
+    assert time.monotonic() - begun < 20
+    want = boxes[::2] + [b for b in dict.fromkeys(boxes) if b not in set(boxes[::2])]
+    assert [(r.x, r.y, bool(r.inpaint_only)) for r in made.regions] == want
