@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,23 +94,31 @@ def fallback_stage(df: DataFrame, fn: BatchFunction, keys: Sequence[str], pos: s
     return df.filter(~is_blank(first)).withColumn("rescued", F.lit(False)).unionByName(filled.select(*df.columns, "rescued"))
 
 
+#: Rows that are answered together: what a task holds beside the batch it was sent.
+SLICE_ROWS = 256
+
+
 def row_errors(df: DataFrame, fn: Callable[[str], str], text: str, out: str = "result") -> DataFrame:
     """Apply a function per row; a failing row keeps its text and carries status and error."""
-
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            try:
-                rows.append((fn(t), "ok", None))
-            except Exception as exc:  # noqa: BLE001 - reported per row
-                rows.append((t, "failed", f"{type(exc).__name__}: {exc}"))
-        return pd.DataFrame(rows, columns=["value", "status", "error"])
-
-    shape = T.StructType([T.StructField(n, T.StringType()) for n in ("value", "status", "error")])
-    apply = F.pandas_udf(run, returnType=shape)
-    # the struct is used three times, so it is materialised by its own projection
-    called = df.withColumn("_r", apply(F.col(text)))
-    return called.select(*df.columns, F.col("_r.value").alias(out), F.col("_r.status").alias("status"), F.col("_r.error").alias("error"))
+    at = df.columns.index(text)
+    new = T.StructType([T.StructField(n, T.StringType()) for n in (out, "status", "error")])
+    schema = T.StructType([*df.schema.fields, *new.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                rows = []
+                for t in part.column(at):
+                    t = t.as_py()
+                    try:
+                        rows.append((fn(t), "ok", None))
+                    except Exception as exc:  # noqa: BLE001 - reported per row
+                        rows.append((t, "failed", f"{type(exc).__name__}: {exc}"))
+                answers = [pa.array([r[k] for r in rows], pa.string()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *answers], schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.catalog.registry import Tables
-from pageloom.operators import regions, segments
+from pageloom.operators import regions, segments, stages
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -42,3 +42,13 @@ def test_many_regions_are_spread_without_pairing_them(spark):
     assert time.monotonic() - begun < 20
     want = boxes[::2] + [b for b in dict.fromkeys(boxes) if b not in set(boxes[::2])]
     assert [(r.x, r.y, bool(r.inpaint_only)) for r in made.regions] == want
+
+
+def test_failing_rows_are_answered_in_slices(spark):
+    seen = spark.range(1000, numPartitions=1).select("id", F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id").cast("string")).alias("t"))
+
+    made = stages.row_errors(seen, lambda x: x + "!", "t", "out")
+    assert made.columns == ["id", "t", "out", "status", "error"]
+    assert all((r.out, r.status) == ((f"{r.id}!", "ok") if r.t else (None, "failed")) for r in made.collect())
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and stages.SLICE_ROWS < 1000
