@@ -20,6 +20,8 @@ from pageloom.operators.settle import CELL_ROWS, losers_of_duels, losers_to_earl
 from pageloom.session import pin
 
 TILE = 256
+#: Tile (i, j) is number i * stride + j: apart as long as sides stay within 32 bits.
+_STRIDE = 1 << 32
 SIDES = list(G.SIDES)
 
 
@@ -35,18 +37,23 @@ def near_pairs_of(left: DataFrame, right: DataFrame, reach: Column | int = 0, ke
     """
     r = reach if isinstance(reach, Column) else F.lit(reach)
     grown = [F.col("x1") - r, F.col("y1") - r, F.col("x2") + r, F.col("y2") + r]
-    a = left.select(*keys, F.struct(*left.columns).alias("a"), F.struct(*[c.alias(n) for c, n in zip(grown, SIDES)]).alias("_g"),
-                    F.explode(_tiles(*grown, tile)).alias("_t"))
-    b = right.select(*keys, F.struct(*right.columns).alias("b"), F.explode(_tiles(*[F.col(s) for s in SIDES], tile)).alias("_t"))
+    # the keys travel once, beside the rest of the row, and a tile is one number
+    plain = lambda df: [c for c in df.columns if c not in keys]
+    row = lambda df, side: F.struct(*[F.col(c) if c in keys else F.col(f"_{side}.{c}").alias(c) for c in df.columns]).alias(side)
+    packed = lambda t: F.transform(t, lambda p: p["i"] * _STRIDE + p["j"])
+    a = left.select(*keys, F.struct(*plain(left)).alias("_a"), r.alias("_r"), F.explode(packed(_tiles(*grown, tile))).alias("_t"))
+    b = right.select(*keys, F.struct(*plain(right)).alias("_b"), F.explode(packed(_tiles(*[F.col(s) for s in SIDES], tile))).alias("_t"))
     pairs = a.join(b, [*keys, "_t"])
-    touch = (F.col("_g.x1") <= F.col("b.x2")) & (F.col("b.x1") <= F.col("_g.x2")) & (
-        F.col("_g.y1") <= F.col("b.y2")) & (F.col("b.y1") <= F.col("_g.y2"))
-    home = (F.floor(F.greatest("_g.x1", "b.x1") / tile) == F.col("_t.i")) & (F.floor(F.greatest("_g.y1", "b.y1") / tile) == F.col("_t.j"))
-    return pairs.filter(touch & home).select(*keys, "a", "b")
+    g = {n: F.col(f"_a.{n}") + (-F.col("_r") if n.endswith("1") else F.col("_r")) for n in SIDES}
+    touch = (g["x1"] <= F.col("_b.x2")) & (F.col("_b.x1") <= g["x2"]) & (g["y1"] <= F.col("_b.y2")) & (F.col("_b.y1") <= g["y2"])
+    home = F.floor(F.greatest(g["x1"], "_b.x1") / tile) * _STRIDE + F.floor(F.greatest(g["y1"], "_b.y1") / tile) == F.col("_t")
+    return pairs.filter(touch & home).select(*keys, row(left, "a"), row(right, "b"))
 
 
-def _ordered_pairs(df: DataFrame, reach: Column | int = 0) -> DataFrame:
-    return near_pairs_of(df, df, reach).filter(F.col("a.region_id") < F.col("b.region_id"))
+def _ordered_pairs(df: DataFrame, reach: Column | int = 0, *columns: str, tile: int = TILE) -> DataFrame:
+    """Pairs with what decides them: numbers, sides and the named ``columns``."""
+    slim = df.select("page_id", "region_id", *SIDES, *columns)
+    return near_pairs_of(slim, slim, reach, tile=tile).filter(F.col("a.region_id") < F.col("b.region_id"))
 
 
 def _ids(pairs: DataFrame, *extra: Column) -> DataFrame:
@@ -71,7 +78,8 @@ def mergeable_lines(df: DataFrame, coarse: bool = False) -> DataFrame:
     font = F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     test = G.lines_mergeable_coarse if coarse else G.lines_mergeable
     reach = F.ceil(font * (3.4 if coarse else 0.6)).cast("int")
-    return _ids(_ordered_pairs(df, reach).filter(test(F.col("a"), F.col("b"))))
+    # a reach of many font sizes crosses small tiles, and a row travels once per tile
+    return _ids(_ordered_pairs(df, reach, tile=2 * TILE if coarse else TILE).filter(test(F.col("a"), F.col("b"))))
 
 
 def best_container(regions: DataFrame, containers: DataFrame) -> DataFrame:
@@ -184,9 +192,10 @@ def dedupe_overlaps(df: DataFrame, limit: float = 0.5, rows: int = CELL_ROWS) ->
     A region that loses stops removing others.
     """
     a, b = F.col("a"), F.col("b")
-    duels = pin(_ordered_pairs(df).filter(G.iou(a, b) > limit).select(
+    sized = df.withColumn("_length", F.length("text"))
+    duels = pin(_ordered_pairs(sized, 0, "_length").filter(G.iou(a, b) > limit).select(
         "page_id", a["y1"].alias("y1"), a["x1"].alias("x1"), a["region_id"].cast("long").alias("i"), b["region_id"].cast("long").alias("j"),
-        F.coalesce(F.length(a["text"]) >= F.length(b["text"]), F.lit(False)).alias("i_stays")))
+        F.coalesce(a["_length"] >= b["_length"], F.lit(False)).alias("i_stays")))
     return _without(df, losers_of_duels(duels, rows))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.catalog.registry import Tables
-from pageloom.operators import regions, segments, stages
+from pageloom.functions import geometry as G
+from pageloom.operators import boxes, regions, segments, stages
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -52,3 +53,23 @@ def test_failing_rows_are_answered_in_slices(spark):
     assert all((r.out, r.status) == ((f"{r.id}!", "ok") if r.t else (None, "failed")) for r in made.collect())
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and stages.SLICE_ROWS < 1000
+
+
+def test_pairs_travel_without_what_does_not_decide_them(spark):
+    rows = [(1, i, i * 40 % 900, i * 70 % 1200, i * 40 % 900 + 150, i * 70 % 1200 + 30, "text " * 50) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, region_id int, x1 int, y1 int, x2 int, y2 int, text string")
+    pairs = {(r.a_id, r.b_id) for r in boxes.mergeable_lines(df, coarse=True).collect()}
+    for tile in (64, 4096):
+        wide = boxes._ordered_pairs(df, 200, tile=tile)
+        assert pairs == {(r.a_id, r.b_id) for r in boxes._ids(wide.filter(G.lines_mergeable_coarse(F.col("a"), F.col("b")))).collect()}
+    whole = boxes.near_pairs_of(df, df, 10, tile=64)
+    assert whole.columns == ["page_id", "a", "b"] and whole.select("a.*").columns == df.columns
+    assert whole.filter("a.page_id = 1 and b.text is not null").count() == whole.count() >= 60
+    distinct = len({(r.a, r.b) for r in whole.select(F.col("a.region_id").alias("a"), F.col("b.region_id").alias("b")).collect()})
+    assert distinct == whole.count()
+
+
+def test_coarse_lines_list_fewer_tiles(spark):
+    df = spark.createDataFrame([(1, 1, 300, 300, 450, 340)], "page_id long, region_id int, x1 int, y1 int, x2 int, y2 int")
+    plan = boxes.mergeable_lines(df, coarse=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "512" in plan and "_g" not in plan
