@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
@@ -47,19 +50,23 @@ def stream_journal(journal: DataFrame, path: str, checkpoint: str) -> DataStream
             .option("checkpointLocation", checkpoint))
 
 
-#: Rows of a frame that a state handler returns.
-FRAME_ROWS = 5_000
+#: Rows and characters of a frame that a state handler returns.
+FRAME_ROWS, FRAME_CHARS = 5_000, 4_000_000
 
 
 def _in_order(frames: Iterator[pd.DataFrame], pos: str) -> Iterator[tuple]:
-    """Rows of one key in the order of ``pos``: those of a micro-batch come unordered, and are held as far as it has any of the key."""
-    parts = list(frames)
-    order = sorted(((v, i, k) for i, part in enumerate(parts) for k, v in enumerate(part[pos].tolist())))
-    rows = [list(part.itertuples(index=False)) for part in parts]
-    parts.clear()
-    for _, i, k in order:
-        row, rows[i][k] = rows[i][k], None
-        yield row
+    """Rows of one key in the order of ``pos``: those of a micro-batch come unordered, and are held as far as it has any of the key, packed
+    as Arrow; an object is made of a row when its turn comes."""
+    parts = [pa.Table.from_pandas(part, preserve_index=False) for part in frames]
+    if not parts:
+        return
+    parts = pa.concat_tables(parts, promote_options="permissive")
+    row = namedtuple("Row", parts.column_names)
+    # a stable order: of equal positions the first to come stays first
+    order = np.argsort(parts.column(pos).to_numpy(), kind="stable")
+    columns = [parts.column(name) for name in parts.column_names]
+    for k in order.tolist():
+        yield row(*[c[k].as_py() for c in columns])
 
 
 class RecentContext(StatefulProcessor):
@@ -83,7 +90,7 @@ class RecentContext(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pairs, pages = [p[0] for p in self.pairs.get()], [p[0] for p in self.pages.get()]
         page, story = self.open_page.get() if self.open_page.exists() else (None, None)
-        out = []
+        out, chars = [], 0
         for row in _in_order(rows, "seg_id"):
             if page is not None and row.page_id != page and story is not None:
                 pages = [*pages, story][-self.kept_pages:]
@@ -95,9 +102,10 @@ class RecentContext(StatefulProcessor):
                 pairs = [*pairs, row.pair][-self.kept_pairs:]
             if row.line is not None:
                 story = self._story(story, row.line)
-            if len(out) == FRAME_ROWS:
+            chars += len(out[-1][3]) + len(out[-1][4])
+            if len(out) == FRAME_ROWS or chars >= FRAME_CHARS:
                 yield pd.DataFrame(out, columns=["series_id", "seg_id", "n", "recent", "pages"])
-                out = []
+                out, chars = [], 0
         for state, items in ((self.pairs, pairs), (self.pages, pages)):
             if items:  # an empty list is no state
                 state.put([(i,) for i in items])

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import time
+import tracemalloc
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.catalog.registry import Tables
 from pageloom.functions import geometry as G
 from pageloom.operators import boxes, regions, segments, stages
+from pageloom.streaming import jobs
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -73,3 +76,18 @@ def test_coarse_lines_list_fewer_tiles(spark):
     df = spark.createDataFrame([(1, 1, 300, 300, 450, 340)], "page_id long, region_id int, x1 int, y1 int, x2 int, y2 int")
     plan = boxes.mergeable_lines(df, coarse=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "512" in plan and "_g" not in plan
+
+
+def test_rows_of_a_key_are_held_packed():
+    frames = [pd.DataFrame({"seg_id": [5, 1], "pair": ["e", None]}), pd.DataFrame({"seg_id": [3, 1], "pair": ["c", "second"]}), pd.DataFrame({"seg_id": [9], "pair": [None]})]
+    got = jobs._in_order(iter(frames), "seg_id")
+    assert [(r.seg_id, r.pair) for r in got] == [(1, None), (1, "second"), (3, "c"), (5, "e"), (9, None)]
+    assert list(jobs._in_order(iter([]), "seg_id")) == []
+    many = (pd.DataFrame({"seg_id": range(i, 20_000, 20), "pair": [f"{i} đ" * 100 for _ in range(i, 20_000, 20)]}) for i in range(20))
+    tracemalloc.start()
+    rows = jobs._in_order(many, "seg_id")
+    assert next(rows).seg_id == 0
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    # as objects the texts alone are 15 MB
+    assert held < 5_000_000 and sum(1 for _ in rows) == 19_999
