@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from pageloom.functions.text import (
     pattern_count,
     strip,
     strip_artifacts,
+    text_lines,
 )
 from pageloom.functions.urls import is_image_url
 
@@ -62,7 +63,6 @@ def effectively_empty(text: ColumnLike) -> Column:
 def needs_retry(text: ColumnLike, variant: str = "chat") -> Column:
     """Is the translation still Chinese, Japanese or English? ``chat`` tests Han only, the others kana too."""
     foreign = L.HAN if variant == "chat" else L.JAPANESE
-    cleaned = clean_watermark_lines(strip_artifacts(F.coalesce(col(text), F.lit("")), variant), variant=variant)
 
     def decide(c: Column) -> Column:
         return (
@@ -71,7 +71,25 @@ def needs_retry(text: ColumnLike, variant: str = "chat") -> Column:
             .otherwise(c.rlike(L.TWO_ENGLISH_WORDS))
         )
 
-    return let(cleaned, decide)
+    def by_lines(raw: Column, c: Column, lines: Column) -> Column:
+        # no sign and no word reaches over a line's end, so only lines that would decide are tested for being site marks
+        def kept(test: Callable[[Column], Column]) -> Column:
+            return F.exists(lines, lambda line: test(line) & ~is_watermark(line, variant))
+
+        # signs are no ASCII, and neither are the texts that are searched for them
+        signs = F.length(c) < F.octet_length(c)
+        single = F.filter(lines, lambda line: line.rlike(L.ENGLISH_WORD) & ~is_watermark(line, variant))
+        return (
+            F.when(~kept(lambda line: F.length(line) >= 4), let(clean_watermark_lines(raw, variant=variant), decide))
+            .when(signs & c.rlike(foreign) & kept(lambda line: line.rlike(foreign)), True)
+            .when(signs & c.rlike(L.VIETNAMESE_MARK) & kept(lambda line: line.rlike(L.VIETNAMESE_MARK)), False)
+            .when(kept(lambda line: line.rlike(L.TWO_ENGLISH_WORDS)), True)
+            .otherwise(F.size(single) >= 2)
+        )
+
+    # leftovers go twice, as cleaning the lines of a text without them does it again
+    once = strip_artifacts(F.coalesce(col(text), F.lit("")), variant)
+    return let(once, lambda raw: let(strip_artifacts(raw, variant), lambda c: let(text_lines(c), lambda lines: by_lines(raw, c, lines))))
 
 
 def has_vietnamese_marks(text: ColumnLike) -> Column:

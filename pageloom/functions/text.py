@@ -76,6 +76,14 @@ def resub(text: ColumnLike, steps: Iterable[tuple[str, str]]) -> Column:
     return reduce(lambda acc, step: F.regexp_replace(acc, step[0], step[1]), steps, col(text))
 
 
+def resub_if(text: ColumnLike, signs: Sequence[str], steps: Iterable[tuple[str, str]]) -> Column:
+    """The same for patterns that need one of ``signs``: a text that has none is searched for these only, not once for each pattern."""
+    def rewrite(t: Column) -> Column:
+        return F.when(reduce(lambda acc, sign: acc | t.contains(sign), signs[1:], t.contains(signs[0])), resub(t, steps)).otherwise(t)
+
+    return let(col(text), rewrite)
+
+
 def matches(text: ColumnLike, pattern: str) -> Column:
     return col(text).rlike(pattern)
 
@@ -94,7 +102,7 @@ def literal_count(text: ColumnLike, needle: Column | str) -> Column:
 
 def text_lines(text: ColumnLike) -> Column:
     """Non-blank lines, trimmed."""
-    return F.filter(F.transform(F.split(col(text), L.LINE_END), lambda line: strip(line)), lambda line: line != "")
+    return F.filter(F.transform(F.split(col(text), L.LINE_ENDS), lambda line: strip(line)), lambda line: line != "")
 
 
 def chars(text: ColumnLike) -> Column:
@@ -109,9 +117,12 @@ def strip_artifacts(text: ColumnLike, variant: str = "translate", keep_markers:
     steps = [(L.ARTIFACT_THOUGHT[variant], "")] + list(L.ARTIFACT_STEPS)
     if not keep_markers:
         steps.append((L.ARTIFACT_MARKER, ""))
-        if variant == "chat":
-            steps.append((r"\|", ""))
-    return strip(resub(text, steps + list(L.ARTIFACT_TAIL)))
+    out = resub_if(text, ("<", "["), steps)
+    if not keep_markers and variant == "chat":
+        out = swap(out, "|", "")
+    for signs, step in L.ARTIFACT_TAIL:
+        out = resub_if(out, signs, [step])
+    return strip(out)
 
 
 def mark_compact(text: ColumnLike) -> Column:

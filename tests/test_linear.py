@@ -216,3 +216,32 @@ def test_character_class_is_the_set(spark):
     every = [chr(c) for c in range(32, 0x2000)]
     hits = column(spark, every, lambda s: F.col(s).rlike(L.VIETNAMESE_MARK))
     assert {c for c, hit in zip(every, hits) if hit} == set(chars)
+
+
+def test_texts_without_leftovers_are_not_searched_for_each(spark):
+    body = "\n".join(f"the plain line number {i} of a long text" for i in range(300_000))
+    steps = [(L.ARTIFACT_THOUGHT["chat"], ""), *L.ARTIFACT_STEPS, (L.ARTIFACT_MARKER, ""), (r"\|", "")]
+    passes, _ = seconds(spark, body, lambda s: F.length(text.resub(s, steps)))
+    took, again = seconds(spark, body, predicates.needs_retry)
+    assert again and took < 2.5 * passes, (took, passes)
+
+
+def test_run_of_blanks_before_a_line_end(spark):
+    took, out = seconds(spark, "a" + " " * 200_000 + "x \t \ny", lambda s: F.regexp_replace(text.strip_artifacts(s), " +", " "))
+    assert out == "a x\ny" and took < 10, took
+
+
+@pytest.mark.parametrize("variant", ["chat", "translate", "common"])
+def test_retry_by_lines_is_retry_of_the_cleaned_text(spark, variant):
+    rng = random.Random(3)
+    parts = ["the", "cat", "ab", "www.x.com", "a c g", "你好", "な", "ế", "é", "\n", "\n", "\r\n", " \n", " ", " ", "<think>", "</think>", "</", "<|1|>", "|", "[INST]", "x"]
+    samples = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 2, 4, 8, 20]))) for _ in range(1500)]
+    foreign = L.HAN if variant == "chat" else L.JAPANESE
+
+    def plain(s):
+        cleaned = text.clean_watermark_lines(text.strip_artifacts(s, variant), variant=variant)
+        return text.let(cleaned, lambda c: F.when(F.length(text.strip(c)) < 4, False).when(c.rlike(foreign), True).when(
+            c.rlike(L.VIETNAMESE_MARK), False).otherwise(c.rlike(L.TWO_ENGLISH_WORDS)))
+
+    got = column(spark, samples, lambda s: predicates.needs_retry(s, variant))
+    assert got == column(spark, samples, plain) and {True, False} == set(got)
