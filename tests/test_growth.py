@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from pageloom.catalog.registry import Tables
 from pageloom.functions import geometry as G
-from pageloom.operators import boxes, regions, segments, stages
+from pageloom.operators import boxes, images, regions, segments, stages
 from pageloom.streaming import jobs
 
 SMALL = "/root/testdata/sf0.001"
@@ -91,3 +91,21 @@ def test_rows_of_a_key_are_held_packed():
     tracemalloc.stop()
     # as objects the texts alone are 15 MB
     assert held < 5_000_000 and sum(1 for _ in rows) == 19_999
+
+
+def test_pictures_reach_python_in_small_batches(spark):
+    plain, framed = bytes([9]) * (20 * 20 * 3), bytearray([250]) * (20 * 20 * 3)
+    for y in range(4, 16):
+        framed[(y * 20 + 4) * 3:(y * 20 + 16) * 3] = bytes(range(100, 136))
+    rows = [("a", 20, 20, 3, bytes(framed), True), ("b", 20, 20, 3, plain, True), ("c", -1, -1, -1, b"", False), ("d", 20, 20, 3, b"x", True), ("e", 20, 20, 3, plain, None)]
+    made = spark.createDataFrame(rows, "origin string, height int, width int, nChannels int, data binary, readable boolean")
+    boxes_ = images.autotrim_boxes(made)
+    done = images.crop_images(made, boxes_)
+    found = {r.origin: (tuple(r.box) if r.box else None, r.error) for r in boxes_.collect()}
+    assert found["a"] == ((4, 4, 16, 16), None) and found["b"] == (None, None) and found["c"] == found["e"] == (None, "unreadable")
+    assert found["d"][0] is None and found["d"][1].startswith("ValueError")
+    got = {r.origin: (r.status, r.width, r.height, r.nChannels, len(r.data)) for r in done.collect()}
+    assert got == {"a": ("cropped", 12, 12, 3, 432), "b": ("copied", 20, 20, 3, 1200), **{o: ("failed", 0, 0, 0, 0) for o in "cde"}}
+    for df in (boxes_, done):  # an Arrow batch holds up to 10,000 pictures, a plain one 100
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "MapInPandas" not in plan and "Arrow" not in plan
