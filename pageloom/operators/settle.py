@@ -187,6 +187,8 @@ def seeds_of_groups(regions: DataFrame, gap: int, share: float, rows: int = CELL
     laid = in_cells(regions.select("page_id", F.col("region_id").cast("long").alias("region_id"), "x1", "y1", "x2", "y2"), _PLACE, rows)
     ends = pin(laid.groupBy("page_id").agg(F.min("cell").alias("begins"), F.max("cell").alias("ends")).filter("begins < ends"))
     fields = "cell int, kind int, page_id long, region_id long, seed long"
+    # Pages that go on, and cells that start one, are no more than there are cells: sent to all tasks, so that the rows of other pages stay where they are.
+    crossing = pin(laid.join(F.broadcast(ends.select("page_id")), "page_id", "left_semi"))
     # cells that start a page which goes on, and how many cells further they see
     sights = ends.withColumn("target", F.explode(F.expr("sequence(begins, ends - 1)"))).select(
         "target", "page_id", "ends", F.lit(1).alias("sight"), F.lit(True).alias("dirty"))
@@ -196,17 +198,17 @@ def seeds_of_groups(regions: DataFrame, gap: int, share: float, rows: int = CELL
         widest = sights.agg(F.max("sight")).first()[0] or 1
 
         def seen_from(df: DataFrame) -> DataFrame:
-            """Rows of pages that go on, once for each earlier cell that sees them."""
-            near = df.join(ends.select("page_id"), "page_id", "left_semi").withColumn("target", F.explode(F.expr(f"sequence(cell - {widest}, cell - 1)")))
-            return near.join(sights.select("target", "page_id", "sight"), ["target", "page_id"]).filter(F.col("cell") <= F.col("target") + F.col("sight")).drop("sight")
+            """Rows of ``crossing``, once for each earlier cell that sees them."""
+            near = df.withColumn("target", F.explode(F.expr(f"sequence(cell - {widest}, cell - 1)")))
+            return near.join(F.broadcast(sights.select("target", "page_id", "sight")), ["target", "page_id"]).filter(F.col("cell") <= F.col("target") + F.col("sight")).drop("sight")
 
-        further = seen_from(laid).select(*laid.columns, "target")
+        further = seen_from(crossing).select(*laid.columns, "target")
         if known is None:
             seen = own.unionByName(further).withColumn("taken", F.lit(None).cast("int"))
         else:
             claims = known.filter("kind = 1").groupBy("page_id", "region_id").agg(F.min("cell").alias("taken"))
             seen = own.unionByName(further).join(dirty, "target", "left_semi").join(claims, ["page_id", "region_id"], "left")
-        seen = seen.join(sights.select("target", "page_id", "ends", (F.col("target") + F.col("sight")).alias("upto")), ["target", "page_id"], "left").select(
+        seen = seen.join(F.broadcast(sights.select("target", "page_id", "ends", (F.col("target") + F.col("sight")).alias("upto"))), ["target", "page_id"], "left").select(
             "target", *_PLACE, "x2", "y2", "cell", "taken", F.coalesce("upto", F.lit(0)).alias("upto"), F.coalesce("ends", F.lit(0)).alias("ends"))
         played = pin(seen.groupBy("target").applyInArrow(_grown(gap, share), fields))
         new = played if known is None else pin(known.join(dirty.withColumnRenamed("target", "cell"), "cell", "left_anti").unionByName(played))
@@ -215,7 +217,7 @@ def seeds_of_groups(regions: DataFrame, gap: int, share: float, rows: int = CELL
             .filter(~F.col("by").eqNullSafe(F.col("before")))
         blind = played.filter("kind = 2").select(F.col("cell").alias("target")).distinct().withColumn("blind", F.lit(True))
         # a region's claim concerns its own cell and those that see it
-        homes = laid.select("page_id", "region_id", "cell").join(changed.select("page_id", "region_id"), ["page_id", "region_id"], "left_semi")
+        homes = crossing.select("page_id", "region_id", "cell").join(changed.select("page_id", "region_id"), ["page_id", "region_id"], "left_semi")
         watching = seen_from(homes).select("target")
         dirty = pin(homes.select(F.col("cell").alias("target")).union(watching).union(blind.select("target")).distinct())
         known = new

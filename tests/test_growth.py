@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from pageloom.catalog.registry import Tables
 from pageloom.functions import geometry as G
-from pageloom.operators import boxes, images, regions, segments, stages
+from pageloom.operators import boxes, images, regions, segments, settle, stages
 from pageloom.streaming import jobs
 
 SMALL = "/root/testdata/sf0.001"
@@ -109,3 +109,15 @@ def test_pictures_reach_python_in_small_batches(spark):
     for df in (boxes_, done):  # an Arrow batch holds up to 10,000 pictures, a plain one 100
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" in plan and "MapInPandas" not in plan and "Arrow" not in plan
+
+
+def test_only_rows_of_pages_that_go_on_are_seen_from_other_cells(spark, monkeypatch):
+    pinned = []
+    monkeypatch.setattr(settle, "pin", lambda df, real=settle.pin: pinned.append(real(df)) or pinned[-1])
+    rows = [(p, r, 5, 30 * r, 60, 30 * r + 20) for p in range(40) for r in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, region_id int, x1 int, y1 int, x2 int, y2 int")
+    got = boxes.group_nearby(df, rows=16).collect()
+    assert len(got) == 160 and {r.group_no for r in got} == {0}
+    laid, crossing = [d for d in pinned if "y2" in d.columns][:2]
+    on = {p for p, n in laid.groupBy("page_id").agg(F.countDistinct("cell")).collect() if n > 1}
+    assert laid.count() == 160 and {r.page_id for r in crossing.collect()} == on and crossing.count() == 4 * len(on) < 160
