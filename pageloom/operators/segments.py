@@ -151,7 +151,7 @@ def sentence_islands(df: DataFrame, answers: DataFrame | None = None, keys: Sequ
     joins = (F.col("pair_kind") == "forced") | ((F.col("pair_kind") == "ask") & F.coalesce("_yes", F.lit(False)))
     joined = kinds.withColumn("_joins", F.coalesce(joins, F.lit(False)))
     before = with_neighbours(joined, keys, "_n", 1, 0, lambda w: {"_prev": F.coalesce(F.lag("_joins").over(w), F.lit(False))})
-    islands = running_sum(before, keys, "_n", (~F.col("_prev")).cast("bigint"), "island")
+    islands = running_sum(before, keys, "_n", (~F.col("_prev")).cast("bigint"), "island", dense=True)
     return islands.select(*df.columns, "pair_kind", "island")
 
 
@@ -202,7 +202,7 @@ def pack_prompts(df: DataFrame, limit: int, keys: Sequence[str] = ("page_id",),
     ``budget``: a prompt takes segments that start within the same ``limit`` characters.
     """
     sized = df.withColumn("_len", F.length(src).cast("bigint"))
-    run = running_sum(dense_position(sized, keys, pos, "_n"), keys, "_n", F.col("_len"), "_run")
+    run = running_sum(dense_position(sized, keys, pos, "_n"), keys, "_n", F.col("_len"), "_run", dense=True)
     if by == "budget":
         numbered = run.withColumn("prompt_no", F.floor((F.col("_run") - F.col("_len")) / F.lit(limit)).cast("bigint"))
         firsts = numbered.groupBy(*keys, "prompt_no").agg(F.min("_n").alias("_first"))
@@ -210,7 +210,7 @@ def pack_prompts(df: DataFrame, limit: int, keys: Sequence[str] = ("page_id",),
     else:
         totals = sized.groupBy(*keys).agg(F.sum("_len").alias("_total"))
         closing = run.join(totals, list(keys)).withColumn("_close", (F.col("_total") - F.col("_run") > limit).cast("bigint"))
-        counted = running_sum(closing, keys, "_n", F.col("_close"), "_closed")
+        counted = running_sum(closing, keys, "_n", F.col("_close"), "_closed", dense=True)
         # once the rest fits, no further prompt is closed: every earlier prompt holds one line
         lined = counted.withColumn("prompt_no", F.col("_closed") - F.col("_close")).withColumn(
             "line_no", F.col("_n") - F.col("prompt_no"))

@@ -1,9 +1,11 @@
 """Order-dependent columns for groups of any size.
 
 A plain window puts a whole group into one task, so one run, folder or series
-that holds a third of the rows would decide the length of the job. Here a group
-is cut into blocks along its order: each block is handled by its own window, a
-small table of block totals carries the effect of the earlier blocks forward.
+that holds a third of the rows would decide the length of the job. Here a group of
+more than a block's rows is cut into blocks along its order: each block is
+handled by its own window, a small table of block totals carries the effect of
+the earlier blocks forward. Other groups are one block, however far apart their
+positions lie, and have no totals.
 """
 
 from __future__ import annotations
@@ -35,21 +37,42 @@ def _unkeyed(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Data
     return df.select(*[F.col(f"_key.{c}").alias(c) if c in keys else F.col(c) for c in columns])
 
 
-def _blocks(df: DataFrame, keys: Sequence[str], pos: str, rows: int) -> DataFrame:
-    return _keyed(df.withColumn("_block", F.floor(F.col(pos) / F.lit(rows)).cast("bigint")), keys)
+def _blocks(df: DataFrame, keys: Sequence[str], pos: str, rows: int, long: DataFrame | None = None, dense: bool = False) -> DataFrame:
+    """Number the blocks of the groups that have more than ``rows`` rows: one in ``rows`` at most, so their keys go to every task."""
+    keyed, block = _keyed(df, keys), F.floor(F.col(pos) / F.lit(rows)).cast("bigint")
+    if dense:
+        return keyed.withColumns({"_long": F.lit(True), "_block": block})
+    if long is None:
+        long = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows).select("_key")
+    else:
+        long = _keyed(long.select(*keys), keys)
+    marked = keyed.join(F.broadcast(long.withColumn("_long", F.lit(True))), "_key", "left")
+    return marked.withColumn("_block", F.when(F.col("_long"), block).otherwise(F.lit(0).cast("bigint")))
 
 
 def _carried(blocked: DataFrame, total: Column, combine: Callable[[Column], Column]) -> DataFrame:
     """What the earlier blocks of each group amount to, one row per block that has any."""
-    totals = blocked.groupBy("_key", "_block").agg(total.alias("_total"))
+    totals = blocked.filter("_long").groupBy("_key", "_block").agg(total.alias("_total"))
     earlier = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.withColumn("_carry", combine(F.col("_total")).over(earlier))
     return carry.filter(F.col("_carry").isNotNull()).drop("_total")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Sum of ``value`` up to and including the row. ``pos`` is an integer, unique within ``keys``."""
-    blocked = _blocks(df.withColumn("_value", value), keys, pos, rows)
+def running_sum(
+    df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str, rows: int = BLOCK_ROWS, long: DataFrame | None = None,
+    dense: bool = False,
+) -> DataFrame:
+    """Sum of ``value`` up to and including the row. ``pos`` is an integer, unique within ``keys``.
+
+    ``long`` has the keys of all groups with more than ``rows`` rows, if they are known; otherwise the rows are counted first. If it is
+    empty (looked up at once), no group is cut, and the rows are read once only. Positions that are ``dense`` (see ``dense_position``) fill
+    their blocks, so nothing is counted.
+    """
+    if long is not None and long.isEmpty():
+        whole = Window.partitionBy("_key").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+        summed = _keyed(df.withColumn("_value", value), keys).withColumn(out, F.sum("_value").over(whole))
+        return _unkeyed(summed, keys, [c for c in df.columns if c != out] + [out])
+    blocked = _blocks(df.withColumn("_value", value), keys, pos, rows, long, dense)
     inside = Window.partitionBy("_key", "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     carry = _carried(blocked, F.sum("_value"), F.sum)
     joined = blocked.withColumn("_inside", F.sum("_value").over(inside)).join(carry, ["_key", "_block"], "left")
@@ -57,9 +80,11 @@ def running_sum(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out
     return _unkeyed(summed, keys, [c for c in df.columns if c != out] + [out])
 
 
-def dense_position(df: DataFrame, keys: Sequence[str], pos: str, out: str = "position", rows: int = BLOCK_ROWS) -> DataFrame:
+def dense_position(
+    df: DataFrame, keys: Sequence[str], pos: str, out: str = "position", rows: int = BLOCK_ROWS, long: DataFrame | None = None,
+) -> DataFrame:
     """1, 2, 3 ... in the order of an integer that is unique within ``keys``."""
-    return running_sum(df, keys, pos, F.lit(1).cast("bigint"), out, rows)
+    return running_sum(df, keys, pos, F.lit(1).cast("bigint"), out, rows, long)
 
 
 def carry_last(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str, rows: int = BLOCK_ROWS) -> DataFrame:

@@ -8,12 +8,14 @@ import time
 import tracemalloc
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.catalog.registry import Tables
 from pageloom.functions import geometry as G
-from pageloom.operators import boxes, images, regions, segments, settle, stages
+from pageloom.operators import boxes, images, naming, regions, segments, settle, stages
+from pageloom.plans import ordered
 from pageloom.streaming import jobs
 
 SMALL = "/root/testdata/sf0.001"
@@ -121,3 +123,31 @@ def test_only_rows_of_pages_that_go_on_are_seen_from_other_cells(spark, monkeypa
     laid, crossing = [d for d in pinned if "y2" in d.columns][:2]
     on = {p for p, n in laid.groupBy("page_id").agg(F.countDistinct("cell")).collect() if n > 1}
     assert laid.count() == 160 and {r.page_id for r in crossing.collect()} == on and crossing.count() == 4 * len(on) < 160
+
+
+def test_small_groups_are_one_block_however_far_apart_their_rows_lie(spark):
+    rows = spark.range(1000).select((F.col("id") % 200).alias("k"), (F.col("id") * 1000).alias("pos"), F.lit("x").alias("s"))
+    blocks = ordered._blocks(rows, ["k"], "pos", 16).select("_key", "_block")
+    assert blocks.count() == 1000 and blocks.distinct().count() == 200
+    longer = rows.withColumn("k", F.when(F.col("k") < 100, 0).otherwise(F.col("k")))
+    assert ordered._blocks(longer, ["k"], "pos", 16).filter("_key.k = 0").select("_block").distinct().count() > 400
+    want = longer.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("pos")).cast("bigint"))
+    none, some = longer.select("k").limit(0), longer.filter("k = 0").select("k").distinct()
+    for long in (None, none, some):
+        assert sorted(ordered.dense_position(longer, ["k"], "pos", "n", 16, long).collect()) == sorted(want.collect())
+
+
+def test_contests_rank_only_what_comes_before_the_rivals(spark, monkeypatch):
+    names = ["a.jpg", "a.jpg", "a_1.jpg", "a_1.jpg", "a_2.jpg"] + ["a.jpg", "a_1.jpg", "b.jpg"] * 300
+    work = spark.createDataFrame([(f"/f{f}", n, i) for f in range(30) for i, n in enumerate(names)], "folder string, name string, idx long")
+    ranked, settle_ = [], naming._settle
+    monkeypatch.setattr(naming, "_settle", lambda *given: ranked.append(given[2].count()) or settle_(*given))
+    monkeypatch.setattr(naming, "LOT_ROWS", 25)
+    got = naming.assign_unique_names(work, spark.createDataFrame([("/f1", "a_3.jpg")], "folder string, name string"))
+    assert ranked == [30 * 2]
+    for folder, there in (("/f0", set()), ("/f1", {"a_3.jpg"}), ("/f29", set())):
+        taken, want = set(there), {}
+        for i, n in enumerate(names):
+            want[i] = next(c for k in range(2000) if (c := n if k == 0 else n.replace(".", f"_{k}.")) not in taken)
+            taken.add(want[i])
+        assert {r.idx: r.unique_name for r in got.filter(F.col("folder") == folder).collect()} == want
