@@ -207,7 +207,7 @@ def _crowded(t):
 
 @query("j11_dedupe_candidates")
 def j11(t):
-    return boxes.dedupe_candidates(_crowded(t), 0.4).select("page_id", "region_id")
+    return boxes.dedupe_candidates(_crowded(t).drop("text"), 0.4).select("page_id", "region_id")
 
 
 @query("g13_group_nearby")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import geometry as G
 from pageloom.functions.predicates import has_visible_text
 from pageloom.functions.text import is_watermark
-from pageloom.operators.settle import CELL_ROWS, losers_of_duels, losers_to_earlier, seeds_of_groups
+from pageloom.operators.settle import CELL_ROWS, by_length, first_come, losers_of_duels, losers_to_earlier, seeds_of_groups
 from pageloom.session import pin
 
 TILE = 256
@@ -200,15 +200,20 @@ def dedupe_overlaps(df: DataFrame, limit: float = 0.5, rows: int = CELL_ROWS) ->
 
 
 def dedupe_candidates(df: DataFrame, limit: float = 0.7, rows: int = CELL_ROWS) -> DataFrame:
-    """Keep a box unless an earlier kept one overlaps it by more than ``limit`` (below 1)."""
+    """Keep a box unless an earlier kept one overlaps it by more than ``limit`` (below 1).
+
+    All columns of ``df`` travel with their rows, so select what is wanted before.
+    """
     a, b = F.col("a"), F.col("b")
+    whole, long, total = by_length(df, rows)
     flat = (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))
     # of equal boxes only the first can stay, and what it loses to the others lose to as well
-    firsts = df.filter(~flat).groupBy("page_id", *SIDES).agg(F.min("region_id").alias("region_id"))
-    copies = df.filter(~flat).join(firsts.select("page_id", "region_id", F.lit(True).alias("_first")), ["page_id", "region_id"], "left_anti")
+    firsts = long.filter(~flat).groupBy("page_id", *SIDES).agg(F.min("region_id").alias("region_id"))
+    copies = long.filter(~flat).join(firsts.select("page_id", "region_id", F.lit(True).alias("_first")), ["page_id", "region_id"], "left_anti")
     rivalries = _ordered_pairs(firsts).filter(G.iou(a, b) > limit).select(
         "page_id", a["region_id"].cast("long").alias("earlier"), b["region_id"].cast("long").alias("later"), b["y1"].alias("y1"), b["x1"].alias("x1"))
-    return _without(df, losers_to_earlier(rivalries, rows).unionByName(copies.select("page_id", F.col("region_id").cast("long").alias("region_id"))))
+    lost = losers_to_earlier(rivalries, rows).unionByName(copies.select("page_id", F.col("region_id").cast("long").alias("region_id")))
+    return first_come(whole, limit, total).unionByName(_without(long, lost))
 
 
 def group_nearby(df: DataFrame, gap: int = 18, overlap: float = 0.15, rows: int = CELL_ROWS) -> DataFrame:

@@ -5,6 +5,9 @@ strip of a crowded page, or many small pages, and holds a bounded number of rows
 it knows allows, and only what reaches over a cell's border is handed on. A round leaves little open: pages that lie in one cell are
 done in the first, and of a page that spans cells the decisions of at least its first open one become final, so the number of rounds follows the
 cells that the longest chain of decisions crosses, and not the rows, pages or groups.
+
+Where a decision takes nothing but a page's own rows, pages that fit a cell need no layout by place: their rows meet in a task, which finds the pairs as
+it plays, so neither pairs nor what becomes of them travel.
 """
 
 from __future__ import annotations
@@ -12,7 +15,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +25,10 @@ from pageloom.session import pin
 
 #: Rows of a cell, on average.
 CELL_ROWS = 16_384
+#: Rows of a task that plays whole pages, on average.
+TASK_ROWS = 16 * CELL_ROWS
+#: Of whole pages: regions played at a time, and pairs tested at a time.
+BLOCK_ROWS, PIECE_PAIRS = 2_048, 1 << 18
 _PLACE = ["page_id", "y1", "x1", "region_id"]
 
 
@@ -33,6 +42,126 @@ def _lists(table: pa.Table | pa.RecordBatch, *names: str) -> list[list]:
     return [table.column(n).to_pylist() for n in names]
 
 
+# -- pages that fit a cell ------------------------------------------------------------------------------------------------------
+
+
+def by_length(df: DataFrame, rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame, int]:
+    """Rows of pages that fit a cell, pinned rows of longer pages, number of all rows. Only the pages are counted; those longer than a cell are fewer
+    than there are cells, and their numbers are broadcast."""
+    sizes = df.groupBy("page_id").agg(F.count(F.lit(1)).alias("_rows"))
+    longer = F.col("page_id").isNotNull() & (F.col("_rows") > rows)
+    total, crowded = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.count_if(longer)).first()
+    if not crowded:
+        return df, df.limit(0), total
+    long = F.broadcast(sizes.filter(longer).select("page_id"))
+    apart = lambda how: df.join(long, "page_id", how).select(*df.columns)
+    return apart("left_anti"), pin(apart("left_semi")), total
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables that end where a page ends, of rows in page order, and for each row the number of its page in the table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        if not table.num_rows:
+            continue
+        page = _turns(table)
+        # the last page may go on; rows without a page come first and need no others
+        done = int(np.searchsorted(page, page[-1])) if table.column("page_id")[-1].is_valid else table.num_rows
+        if done:
+            yield table.slice(0, done), page[:done]
+            held = table.slice(done).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, _turns(table)
+
+
+def _turns(table: pa.Table) -> np.ndarray:
+    pages = pc.fill_null(table.column("page_id"), 0).to_numpy()
+    return np.cumsum(np.concatenate([[False], pages[1:] != pages[:-1]])[:len(pages)])
+
+
+def _pieces(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) with low[i] <= j < high[i], some at a time."""
+    counts = np.maximum(high - low, 0)
+    ends = np.cumsum(counts)
+    first = 0
+    while first < len(counts):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] - counts[first] + PIECE_PAIRS, "right")))
+        n = counts[first:last]
+        i = np.repeat(np.arange(first, last), n)
+        yield i, np.arange(len(i)) + np.repeat(low[first:last] - (np.cumsum(n) - n), n)
+        first = last
+
+
+def _stay(page: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, limit: float) -> np.ndarray:
+    """Which boxes (none of them flat; pages ascend, within a page as they are played) overlap no earlier one that stays by more than ``limit``."""
+    size = (x2 - x1) * (y2 - y1)
+    edges, place = np.unique(np.concatenate([y1, y2]), return_inverse=True)
+    top, bottom = page * len(edges) + place[:len(page)], page * len(edges) + place[len(page):]
+    stays = np.ones(len(page), bool)
+
+    def rivals(a: np.ndarray, b: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of a and those of b, in order of their tops, from ``low`` on that begin above its bottom: pairs that overlap by more than the limit."""
+        for i, j in _pieces(low, np.searchsorted(top[b], bottom[a])):
+            i, j = a[i], b[j]
+            wide = np.minimum(x2[i], x2[j]) - np.maximum(x1[i], x1[j])
+            met = wide > 0
+            i, j, wide = i[met], j[met], wide[met]
+            common = wide * (np.minimum(y2[i], y2[j]) - np.maximum(y1[i], y1[j]))
+            hit = common / (size[i] + size[j] - common) > limit
+            yield i[hit], j[hit]
+
+    for start in range(0, len(page), BLOCK_ROWS):
+        block = np.arange(start, min(start + BLOCK_ROWS, len(page)))
+        begun = int(np.searchsorted(page, page[start]))
+        if begun < start:
+            # the block goes on with a page: what stays of it before the block is known
+            before, mine = begun + np.flatnonzero(stays[begun:start]), block[page[block] == page[start]]
+            before, mine = before[np.argsort(top[before])], mine[np.argsort(top[mine])]
+            for _, j in rivals(before, mine, np.searchsorted(top[mine], top[before])):
+                stays[j] = False
+            for i, _ in rivals(mine, before, np.searchsorted(top[before], top[mine], "right")):
+                stays[i] = False
+            block = block[stays[block]]
+        block = block[np.argsort(top[block])]
+        pairs = [np.concatenate(p) for p in zip(*rivals(block, block, np.arange(1, len(block) + 1)), strict=True)] or [block[:0]] * 2
+        earlier, later = np.minimum(*pairs), np.maximum(*pairs)
+        order = np.argsort(earlier)
+        for i, j in zip(earlier[order].tolist(), later[order].tolist(), strict=True):
+            if stays[i]:
+                stays[j] = False
+    return stays
+
+
+def _first_come(limit: float):
+    """Rows in order of page and region, without those that an earlier one which stays overlaps by more than ``limit``."""
+
+    def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, page in _whole_pages(batches):
+            named = [table.column(n) for n in ("page_id", "region_id", "x1", "y1", "x2", "y2")]
+            x1, y1, x2, y2 = (pc.fill_null(c.cast(pa.int64()), 0).to_numpy() for c in named[2:])
+            plays = np.logical_and.reduce([c.is_valid().to_numpy() for c in named]) & (x2 > x1) & (y2 > y1)
+            if plays.any() and max((x2 - x1)[plays].max(), (y2 - y1)[plays].max()) >= 1 << 31:
+                raise OverflowError("a side of a box is longer than 32 bits hold")
+            kept = np.ones(len(page), bool)
+            kept[plays] = _stay(page[plays], x1[plays], y1[plays], x2[plays], y2[plays], limit)
+            yield from table.filter(pa.array(kept)).to_batches()
+
+    return play
+
+
+def first_come(whole: DataFrame, limit: float, total: int) -> DataFrame:
+    """Rows of ``whole`` (page_id, region_id, integer x1, y1, x2, y2 and others; of ``total`` rows about) whose box no earlier one of the page that stays
+    overlaps by more than ``limit``. Flat boxes and rows with an unknown side, region or page stay and remove none."""
+    parts = max(whole.sparkSession.sparkContext.defaultParallelism, math.ceil(total / TASK_ROWS))
+    # rows without a page do not meet
+    alone = F.when(F.col("page_id").isNull(), F.xxhash64("region_id", "x1", "y1", "x2", "y2"))
+    laid = whole.repartition(parts, "page_id", alone).sortWithinPartitions("page_id", "region_id")
+    return laid.mapInArrow(_first_come(limit), whole.schema)
+
+
 # -- kept unless an earlier kept rival is there -----------------------------------------------------------------------------------
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import random
 import time
 import tracemalloc
+from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,6 +128,72 @@ def test_only_rows_of_pages_that_go_on_are_seen_from_other_cells(spark, monkeypa
     assert laid.count() == 160 and {r.page_id for r in crossing.collect()} == on and crossing.count() == 4 * len(on) < 160
 
 
+def first_come(rows, limit):
+    """Brute force: places of the rows that stay. Rows: page, region, x1, y1, x2, y2."""
+    kept, chosen = [], {}
+    for k, (page, region, x1, y1, x2, y2) in sorted(enumerate(rows), key=lambda r: [v is not None and v for v in r[1][:2]]):
+        plays = None not in rows[k] and x2 > x1 and y2 > y1
+        size = plays and (x2 - x1) * (y2 - y1)
+        for a, b, c, d, other in chosen.get(page, []) if plays else []:
+            common = max(0, min(x2, c) - max(x1, a)) * max(0, min(y2, d) - max(y1, b))
+            if common / (size + other - common) > limit:
+                break
+        else:
+            kept.append(k)
+            if plays:
+                chosen.setdefault(page, []).append((x1, y1, x2, y2, size))
+    return sorted(kept)
+
+
+def scattered(rng, pages, most):
+    """Boxes with copies, flat ones and ones with an unknown page, region or side."""
+    rows = []
+    for page in [None, *pages]:
+        for region in rng.sample(range(1000), rng.randint(1, most)):
+            x, y = rng.randint(-9, 60), rng.randint(-9, 60)
+            rows.append((page, region, x, y, x + rng.randint(-1, 30), y + rng.randint(-1, 30)))
+            if rng.random() < 0.1:
+                rows.append((page, region + 1000, *rows[-1][2:]))
+    holes = [tuple(None if k == rng.randint(0, 5) else v for k, v in enumerate(r)) for r in rows[:5]]
+    return [*rows, *holes]
+
+
+_BOXES = "page_id long, region_id int, x1 int, y1 int, x2 int, y2 int"
+
+
+def test_pages_that_fit_a_cell_are_played_where_they_meet(spark, monkeypatch):
+    pinned = []
+    monkeypatch.setattr(settle, "pin", lambda df, real=settle.pin: pinned.append(real(df)) or pinned[-1])
+    rng = random.Random(11)
+    rows = scattered(rng, range(-20, 40), 60)
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], _BOXES + ", k int")
+    made = boxes.dedupe_candidates(df, 0.3)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Generate" not in plan
+    assert made.columns == df.columns and sorted(r.k for r in made.collect()) == first_come(rows, 0.3)
+    assert [d.count() for d in pinned] == [0, 0]  # no pairs are written down
+    for cell in (25, 50):  # pages of both kinds
+        pinned.clear()
+        assert sorted(r.k for r in boxes.dedupe_candidates(df, 0.3, cell).collect()) == first_come(rows, 0.3)
+        assert pinned[0].count() == sum(n for page, n in Counter(r[0] for r in rows).items() if page is not None and n > cell)
+
+
+def test_whole_pages_are_played_in_blocks_and_pieces(monkeypatch):
+    rng = random.Random(12)
+    rows = sorted(scattered(rng, [-7, 0, 3, 4, 2**40], 150), key=lambda r: [v is not None and (1, v) or (0, 0) for v in r[:2]])
+    names = ["page_id", "region_id", "x1", "y1", "x2", "y2"]
+    table = pa.table({**{n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(names)}, "k": pa.array(range(len(rows)))})
+    want = {limit: first_come(rows, limit) for limit in (0.0, 0.25, 0.6)}
+    assert len(want[0.0]) < len(want[0.25]) < len(want[0.6]) < len(rows)
+    for batch, block, piece in ((1, 1, 1), (7, 5, 3), (40, 16, 1000), (10_000, 2_048, 1 << 18)):
+        monkeypatch.setattr(settle, "BLOCK_ROWS", block)
+        monkeypatch.setattr(settle, "PIECE_PAIRS", piece)
+        for limit, kept in want.items():
+            got = [k for b in settle._first_come(limit)(iter(table.to_batches(batch))) for k in b.column("k").to_pylist()]
+            assert got == kept
+    assert list(settle._first_come(0.5)(iter([]))) == []
+
+
 def test_small_groups_are_one_block_however_far_apart_their_rows_lie(spark):
     rows = spark.range(1000).select((F.col("id") % 200).alias("k"), (F.col("id") * 1000).alias("pos"), F.lit("x").alias("s"))
     blocks = ordered._blocks(rows, ["k"], "pos", 16).select("_key", "_block")
