@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pageloom.catalog import sql_parts as S
@@ -207,7 +208,17 @@ def _crowded(t):
 
 @query("j11_dedupe_candidates")
 def j11(t):
-    return boxes.dedupe_candidates(_crowded(t).drop("text"), 0.4).select("page_id", "region_id")
+    return boxes.dedupe_candidates(_crowded_by_page(t), 0.4).select("page_id", "region_id")
+
+
+def _crowded_by_page(t):
+    """``_crowded`` without texts. Lines go to their page first, so that numbering them within orders and choosing within pages take one exchange."""
+    line = t.lineitem.withColumn("page_id", F.floor(F.col("l_orderkey") / 32)).repartition("page_id")
+    within = Window.partitionBy("page_id", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    x1, y1 = F.col("l_partkey") % 800, F.col("l_suppkey") * 7 % 1100
+    return line.select("page_id", (F.col("l_orderkey") % 32 * 64 + F.row_number().over(within)).cast("int").alias("region_id"), x1.cast("int").alias("x1"),
+                       y1.cast("int").alias("y1"), (x1 + F.col("l_quantity").cast("int") * 3 + 20).cast("int").alias("x2"),
+                       (y1 + F.col("l_linenumber") * 5 + 16).cast("int").alias("y2"))
 
 
 @query("g13_group_nearby")

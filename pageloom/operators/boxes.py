@@ -202,10 +202,10 @@ def dedupe_overlaps(df: DataFrame, limit: float = 0.5, rows: int = CELL_ROWS) ->
 def dedupe_candidates(df: DataFrame, limit: float = 0.7, rows: int = CELL_ROWS) -> DataFrame:
     """Keep a box unless an earlier kept one overlaps it by more than ``limit`` (below 1).
 
-    All columns of ``df`` travel with their rows, so select what is wanted before.
+    All columns of ``df`` travel with their rows, so select what is wanted before. Rows that lie by page already are not dealt out again.
     """
     a, b = F.col("a"), F.col("b")
-    whole, long, total = by_length(df, rows)
+    whole, long = by_length(df, rows)
     flat = (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))
     # of equal boxes only the first can stay, and what it loses to the others lose to as well
     firsts = long.filter(~flat).groupBy("page_id", *SIDES).agg(F.min("region_id").alias("region_id"))
@@ -213,7 +213,7 @@ def dedupe_candidates(df: DataFrame, limit: float = 0.7, rows: int = CELL_ROWS)
     rivalries = _ordered_pairs(firsts).filter(G.iou(a, b) > limit).select(
         "page_id", a["region_id"].cast("long").alias("earlier"), b["region_id"].cast("long").alias("later"), b["y1"].alias("y1"), b["x1"].alias("x1"))
     lost = losers_to_earlier(rivalries, rows).unionByName(copies.select("page_id", F.col("region_id").cast("long").alias("region_id")))
-    return first_come(whole, limit, total).unionByName(_without(long, lost))
+    return first_come(whole, limit).unionByName(_without(long, lost))
 
 
 def group_nearby(df: DataFrame, gap: int = 18, overlap: float = 0.15, rows: int = CELL_ROWS) -> DataFrame:

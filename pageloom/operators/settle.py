@@ -18,16 +18,14 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.session import pin
 
 #: Rows of a cell, on average.
 CELL_ROWS = 16_384
-#: Rows of a task that plays whole pages, on average.
-TASK_ROWS = 16 * CELL_ROWS
-#: Of whole pages: regions played at a time, and pairs tested at a time.
+#: Of pages that fit a cell: regions played at a time, and pairs tested at a time.
 BLOCK_ROWS, PIECE_PAIRS = 2_048, 1 << 18
 _PLACE = ["page_id", "y1", "x1", "region_id"]
 
@@ -45,41 +43,34 @@ def _lists(table: pa.Table | pa.RecordBatch, *names: str) -> list[list]:
 # -- pages that fit a cell ------------------------------------------------------------------------------------------------------
 
 
-def by_length(df: DataFrame, rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame, int]:
-    """Rows of pages that fit a cell, pinned rows of longer pages, number of all rows. Only the pages are counted; those longer than a cell are fewer
-    than there are cells, and their numbers are broadcast."""
+def by_length(df: DataFrame, rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows of pages that fit a cell, and the rest, pinned: rows of longer pages or without a page. Only the pages are counted; those longer than a cell
+    are fewer than there are cells, and their numbers are broadcast."""
     sizes = df.groupBy("page_id").agg(F.count(F.lit(1)).alias("_rows"))
-    longer = F.col("page_id").isNotNull() & (F.col("_rows") > rows)
-    total, crowded = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.count_if(longer)).first()
-    if not crowded:
-        return df, df.limit(0), total
-    long = F.broadcast(sizes.filter(longer).select("page_id"))
-    apart = lambda how: df.join(long, "page_id", how).select(*df.columns)
-    return apart("left_anti"), pin(apart("left_semi")), total
+    rest = F.col("page_id").isNull() | (F.col("_rows") > rows)
+    if not sizes.agg(F.count_if(rest)).first()[0]:
+        return df, df.limit(0)
+    long = sizes.filter(rest).select("page_id", F.lit(True).alias("_rest"))
+    marked = df.join(F.broadcast(long), "page_id", "left")
+    apart = F.col("page_id").isNull() | F.col("_rest").isNotNull()
+    return marked.filter(~apart).select(*df.columns), pin(marked.filter(apart).select(*df.columns))
 
 
 def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables that end where a page ends, of rows in page order, and for each row the number of its page in the table."""
+    """Tables that end where a page ends, of rows in order of page and ``_turn``, and for each row the number of its page in the table."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
         table = pa.Table.from_batches(held)
-        if not table.num_rows:
-            continue
-        page = _turns(table)
-        # the last page may go on; rows without a page come first and need no others
-        done = int(np.searchsorted(page, page[-1])) if table.column("page_id")[-1].is_valid else table.num_rows
+        page = np.cumsum(table.column("_turn").to_numpy() == 1)
+        # the last page may go on
+        done = int(np.searchsorted(page, page[-1])) if len(page) else 0
         if done:
             yield table.slice(0, done), page[:done]
             held = table.slice(done).to_batches()
     if held:
         table = pa.Table.from_batches(held)
-        yield table, _turns(table)
-
-
-def _turns(table: pa.Table) -> np.ndarray:
-    pages = pc.fill_null(table.column("page_id"), 0).to_numpy()
-    return np.cumsum(np.concatenate([[False], pages[1:] != pages[:-1]])[:len(pages)])
+        yield table, np.cumsum(table.column("_turn").to_numpy() == 1)
 
 
 def _pieces(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -136,30 +127,28 @@ def _stay(page: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2:
 
 
 def _first_come(limit: float):
-    """Rows in order of page and region, without those that an earlier one which stays overlaps by more than ``limit``."""
+    """Rows in order of page and turn, without those that an earlier one which stays overlaps by more than ``limit``."""
 
     def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, page in _whole_pages(batches):
-            named = [table.column(n) for n in ("page_id", "region_id", "x1", "y1", "x2", "y2")]
-            x1, y1, x2, y2 = (pc.fill_null(c.cast(pa.int64()), 0).to_numpy() for c in named[2:])
+            named = [table.column(n) for n in ("region_id", "x1", "y1", "x2", "y2")]
+            x1, y1, x2, y2 = (pc.fill_null(c.cast(pa.int64()), 0).to_numpy() for c in named[1:])
             plays = np.logical_and.reduce([c.is_valid().to_numpy() for c in named]) & (x2 > x1) & (y2 > y1)
             if plays.any() and max((x2 - x1)[plays].max(), (y2 - y1)[plays].max()) >= 1 << 31:
                 raise OverflowError("a side of a box is longer than 32 bits hold")
             kept = np.ones(len(page), bool)
             kept[plays] = _stay(page[plays], x1[plays], y1[plays], x2[plays], y2[plays], limit)
-            yield from table.filter(pa.array(kept)).to_batches()
+            yield from table.drop_columns("_turn").filter(pa.array(kept)).to_batches()
 
     return play
 
 
-def first_come(whole: DataFrame, limit: float, total: int) -> DataFrame:
-    """Rows of ``whole`` (page_id, region_id, integer x1, y1, x2, y2 and others; of ``total`` rows about) whose box no earlier one of the page that stays
-    overlaps by more than ``limit``. Flat boxes and rows with an unknown side, region or page stay and remove none."""
-    parts = max(whole.sparkSession.sparkContext.defaultParallelism, math.ceil(total / TASK_ROWS))
-    # rows without a page do not meet
-    alone = F.when(F.col("page_id").isNull(), F.xxhash64("region_id", "x1", "y1", "x2", "y2"))
-    laid = whole.repartition(parts, "page_id", alone).sortWithinPartitions("page_id", "region_id")
-    return laid.mapInArrow(_first_come(limit), whole.schema)
+def first_come(whole: DataFrame, limit: float) -> DataFrame:
+    """Rows of ``whole`` (page_id, region_id, integer x1, y1, x2, y2 and others; pages that fit a cell) whose box no earlier one of the page that stays
+    overlaps by more than ``limit``. Flat boxes and rows with an unknown side or region stay and remove none."""
+    # the window brings a page's rows together, which a task then has whole, in order and beside other pages
+    turns = whole.withColumn("_turn", F.row_number().over(Window.partitionBy("page_id").orderBy("region_id")))
+    return turns.sortWithinPartitions("page_id", "region_id").mapInArrow(_first_come(limit), whole.schema)
 
 
 # -- kept unless an earlier kept rival is there -----------------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pageloom.catalog import page_regions
 from pageloom.catalog.registry import Tables
 from pageloom.functions import geometry as G
 from pageloom.operators import boxes, images, naming, regions, segments, settle, stages
@@ -146,16 +147,15 @@ def first_come(rows, limit):
 
 
 def scattered(rng, pages, most):
-    """Boxes with copies, flat ones and ones with an unknown page, region or side."""
+    """Boxes with copies, flat ones and ones with an unknown region or side."""
     rows = []
-    for page in [None, *pages]:
+    for page in pages:
         for region in rng.sample(range(1000), rng.randint(1, most)):
             x, y = rng.randint(-9, 60), rng.randint(-9, 60)
             rows.append((page, region, x, y, x + rng.randint(-1, 30), y + rng.randint(-1, 30)))
             if rng.random() < 0.1:
                 rows.append((page, region + 1000, *rows[-1][2:]))
-    holes = [tuple(None if k == rng.randint(0, 5) else v for k, v in enumerate(r)) for r in rows[:5]]
-    return [*rows, *holes]
+    return rows + [tuple(None if k == hole else v for k, v in enumerate((r[0], r[1] + 5000, *r[2:]))) for hole, r in enumerate(rows[:6]) if hole]
 
 
 _BOXES = "page_id long, region_id int, x1 int, y1 int, x2 int, y2 int"
@@ -166,23 +166,31 @@ def test_pages_that_fit_a_cell_are_played_where_they_meet(spark, monkeypatch):
     monkeypatch.setattr(settle, "pin", lambda df, real=settle.pin: pinned.append(real(df)) or pinned[-1])
     rng = random.Random(11)
     rows = scattered(rng, range(-20, 40), 60)
-    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], _BOXES + ", k int")
+    frame = lambda: spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], _BOXES + ", k int")
+    df = frame()
     made = boxes.dedupe_candidates(df, 0.3)
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Generate" not in plan
     assert made.columns == df.columns and sorted(r.k for r in made.collect()) == first_come(rows, 0.3)
     assert [d.count() for d in pinned] == [0, 0]  # no pairs are written down
+    rows += scattered(rng, [None], 60)
     for cell in (25, 50):  # pages of both kinds
         pinned.clear()
-        assert sorted(r.k for r in boxes.dedupe_candidates(df, 0.3, cell).collect()) == first_come(rows, 0.3)
-        assert pinned[0].count() == sum(n for page, n in Counter(r[0] for r in rows).items() if page is not None and n > cell)
+        assert sorted(r.k for r in boxes.dedupe_candidates(frame(), 0.3, cell).collect()) == first_come(rows, 0.3)
+        assert pinned[0].count() == sum(n for page, n in Counter(r[0] for r in rows).items() if page is None or n > cell)
+
+
+def test_numbering_and_choosing_share_an_exchange(spark):
+    plan = page_regions.j11(Tables(spark, "/root/testdata/sf0.01"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "Join" not in plan
 
 
 def test_whole_pages_are_played_in_blocks_and_pieces(monkeypatch):
     rng = random.Random(12)
     rows = sorted(scattered(rng, [-7, 0, 3, 4, 2**40], 150), key=lambda r: [v is not None and (1, v) or (0, 0) for v in r[:2]])
     names = ["page_id", "region_id", "x1", "y1", "x2", "y2"]
-    table = pa.table({**{n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(names)}, "k": pa.array(range(len(rows)))})
+    turns = [sum(r[0] == rows[k][0] for r in rows[:k + 1]) for k in range(len(rows))]
+    table = pa.table({**{n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(names)}, "k": pa.array(range(len(rows))), "_turn": pa.array(turns)})
     want = {limit: first_come(rows, limit) for limit in (0.0, 0.25, 0.6)}
     assert len(want[0.0]) < len(want[0.25]) < len(want[0.6]) < len(rows)
     for batch, block, piece in ((1, 1, 1), (7, 5, 3), (40, 16, 1000), (10_000, 2_048, 1 << 18)):
