@@ -78,6 +78,8 @@ class Inertia:
             middle = (low + high) / 2
             found = self.above(middle)
             if found == k:
+                if (below := self.above(middle - finest)) > k > self.above(middle + finest):
+                    return self.cut(below)  # what lies on both sides differs by rounding only
                 # the gap reaches down to the next eigenvalue and up to the k-th
                 down, up = low, middle
                 for _ in range(8):

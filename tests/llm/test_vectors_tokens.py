@@ -204,6 +204,16 @@ def test_registered_whitening(spark):
     check_whitening(spark.read.parquet(f"{SMALL}/embeddings.parquet").collect(), QUERIES["op13_whitening"](spark, SMALL).collect())
 
 
+@pytest.mark.parametrize("step", [0.0, 0.3, 1.0, 3.0])
+def test_no_cut_between_eigenvalues_that_differ_by_rounding(step):
+    near = 1 + step * np.finfo(float).eps * np.arange(12)
+    for k in range(1, 13):
+        assert whitening.Inertia(np.diag(near)).cut(k)[1] == 12
+        shift, found = whitening.Inertia(np.diag([*near, 0.5, 0.4])).cut(k)
+        assert found == 12 and 0.5 < shift < 1
+    assert len(whitening.eigenpairs(np.diag(near), 16)[0]) == 12
+
+
 @pytest.mark.parametrize("spectrum", [
     [5.0] * 3 + [4.0] * 20 + [1.0] * 10, 2.0 ** -np.arange(40.0), [1e9] + [1.0] * 30, [1.0], [0.0, 0.0, 3.0], np.linspace(1, 2, 60), [7.0] * 12])
 def test_eigenpairs(spectrum):
